@@ -301,7 +301,8 @@ def write_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> N
     """
     if not partition_by:
         raise ValueError("partition columns are needed to replace part of a table")
-    (df.repartition(*partition_by, F.pmod(F.xxhash64(*df.columns), F.lit(8)))
+    # rebalance: AQE splits a partition value that holds much of the data and merges small ones.
+    (df.hint("rebalance", *partition_by)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by).parquet(path))
 
