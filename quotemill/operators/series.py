@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.dates import day as as_day
@@ -22,16 +22,18 @@ MA_PERIODS = (5, 10, 20, 60, 120, 250)
 
 
 def daily_bars(ticks: DataFrame, code: str, ts: str, price: str,
-               size: str | None = None, order: Sequence[str] = ()) -> DataFrame:
+               size: str | None = None, order: Column | None = None) -> DataFrame:
     """Open, high, low, close, volume and money per code and day from single prints.
 
-    ``order`` breaks ties between prints of the same instant.
+    ``order`` is the sequence of prints where ``ts`` alone does not tell it. It should be one
+    number or timestamp: fixed-width keys keep the aggregation a hash aggregation, where a
+    struct would make Spark sort every print twice.
     """
-    sort_key = F.struct(ts, *order) if order else F.col(ts)
+    sequence = F.col(ts) if order is None else order
     volume = money_sum(size, 2) if size else F.count(F.lit(1)).cast("double")
     return ticks.groupBy(F.col(code).alias("code"), F.to_date(ts).alias("day")).agg(
-        F.min_by(price, sort_key).alias("open"),
-        F.max_by(price, sort_key).alias("close"),
+        F.min_by(price, sequence).alias("open"),
+        F.max_by(price, sequence).alias("close"),
         F.max(price).alias("high"),
         F.min(price).alias("low"),
         volume.alias("volume"),

@@ -15,6 +15,7 @@ from quotemill.functions.values import money_sum, ratio, round_to
 from quotemill.operators import ledger as ledger_ops
 from quotemill.operators import series
 from quotemill.operators.fundamentals import latest_version
+from quotemill.session import shared_dir
 
 EVENTS_AS_OF = "2024-01-30"
 LEDGER_AS_OF = "2001-11-04"
@@ -35,6 +36,22 @@ class Market:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def stored(self) -> dict[str, DataFrame]:
+        """The tables written once to the shared folder, as a checking run finds them.
+
+        Later tables are derived from the stored earlier ones.
+        """
+        base = shared_dir(self.spark, "market")
+        kept = StoredMarket(self.spark, self.dir, base)
+        for name in ("securities", "bars_li", "ledger", "positions", "accounts", "valuation",
+                     "statements", "indicators"):
+            getattr(Market, name).fget(kept).write.parquet(f"{base}/{name}")
+            kept.done.add(name)
+        return {"stock_list": kept.securities, "price_data": kept.bars_li,
+                "valuation_data": kept.valuation, "indicator_data": kept.indicators,
+                "user_transactions": kept.ledger, "user_positions": kept.positions,
+                "user_account_info": kept.accounts}
+
     @property
     def securities(self) -> DataFrame:
         k, code = F.col("s_suppkey"), code_from(F.col("s_suppkey"))
@@ -58,12 +75,15 @@ class Market:
 
     @property
     def bars_li(self) -> DataFrame:
+        """Bars of line items; within a day prints follow order, line and price in cents."""
+        cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
         lines = self.raw("lineitem").select(
-            "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
-            "l_extendedprice", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
-        bars = series.daily_bars(
-            lines, "l_suppkey", "l_shipdate", "price", size="l_quantity",
-            order=["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"])
+            "l_suppkey", "l_shipdate", "l_quantity",
+            (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+            ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1048576 + cents % 1048576)
+            .alias("seq"))
+        bars = series.daily_bars(lines, "l_suppkey", "l_shipdate", "price", size="l_quantity",
+                                 order=F.col("seq"))
         return bars.drop("money").withColumn("code", code_from(F.col("code")))
 
     @property
@@ -194,6 +214,19 @@ class Market:
             F.when(F.day("day") == 7, -F.col("money")).otherwise(F.col("money")).alias("amount"))
 
 
+class StoredMarket(Market):
+    """Reads a table from storage once it is there."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, base: str):
+        super().__init__(spark, sf_dir)
+        self.base, self.done = base, set()
+
+    def __getattribute__(self, name: str):
+        if name in ("base", "done", "spark", "dir") or name not in self.done:
+            return super().__getattribute__(name)
+        return self.spark.read.parquet(f"{self.base}/{name}")
+
+
 def _code(x: str) -> str:
     return (f"(lpad(CAST({x} AS VARCHAR), 6, '0') || "
             f"CASE {x} % 3 WHEN 0 THEN '.SH' WHEN 1 THEN '.SZ' ELSE '.BJ' END)")
@@ -215,9 +248,6 @@ def dsum(x: str, scale: int = 4) -> str:
     return f"CAST(sum(CAST({x} AS DECIMAL(18,{scale}))) AS DOUBLE)"
 
 
-_ORDER = "l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice"
-_ORDER_DESC = ", ".join(f"{c} DESC" for c in _ORDER.split(", "))
-
 # name -> (tables it is built from, SQL text)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "securities": ((), f"""
@@ -236,16 +266,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                1.0::DOUBLE + (day(CAST(ts AS DATE)) % 3) * 0.5::DOUBLE AS factor
         FROM events GROUP BY user_id, CAST(ts AS DATE)"""),
     "bars_li": ((), f"""
-        SELECT code, day, max(CASE WHEN ra = 1 THEN price END) AS open,
-               max(CASE WHEN rd = 1 THEN price END) AS close, max(price) AS high,
-               min(price) AS low, {dsum('qty', 2)} AS volume
-        FROM (SELECT {_code('l_suppkey')} AS code, CAST(l_shipdate AS DATE) AS day,
-                     l_extendedprice / l_quantity AS price, l_quantity AS qty,
-                     row_number() OVER (PARTITION BY l_suppkey, CAST(l_shipdate AS DATE)
-                                        ORDER BY {_ORDER}) AS ra,
-                     row_number() OVER (PARTITION BY l_suppkey, CAST(l_shipdate AS DATE)
-                                        ORDER BY {_ORDER_DESC}) AS rd
-              FROM lineitem) x GROUP BY code, day"""),
+        SELECT {_code('l_suppkey')} AS code, day, min_by(price, seq) AS open,
+               max_by(price, seq) AS close, max(price) AS high, min(price) AS low,
+               {dsum('l_quantity', 2)} AS volume
+        FROM (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS day, l_quantity,
+                     l_extendedprice / l_quantity AS price,
+                     (l_orderkey * 8 + l_linenumber) * 1048576
+                         + CAST(round(l_extendedprice * 100) AS BIGINT) % 1048576 AS seq
+              FROM lineitem) x GROUP BY l_suppkey, day"""),
     "ledger": ((), f"""
         SELECT *, split_part(remark, '_', 1) AS strategy_id,
                CASE WHEN trade_type = 23 THEN amount + (commission + stamp_tax + other_fees)

@@ -501,12 +501,6 @@ def check_load_rejects(m: Market):
     return flat(checks.load_rejects(price_feed(m.vendor_prices)))
 
 
-def _everything(m: Market) -> dict[str, DataFrame]:
-    return {"stock_list": m.securities, "price_data": m.bars_li, "valuation_data": m.valuation,
-            "indicator_data": m.indicators, "user_transactions": m.ledger,
-            "user_positions": m.positions, "user_account_info": m.accounts}
-
-
 @query("report_by_table", "ledger", "positions", "accounts", sql="""
     SELECT table_name, count(*) FILTER (severity = 'critical') AS critical,
            count(*) FILTER (severity = 'warning') AS warning,
@@ -531,24 +525,24 @@ def report_by_table(m: Market):
 
 @query("quality_report_totals")
 def quality_report_totals(m: Market):
-    return report.totals(runner.run_checks(_everything(m), LEDGER_AS_OF, "standard",
+    return report.totals(runner.run_checks(m.stored(), LEDGER_AS_OF, "standard",
                                            thresholds=_THRESHOLDS))
 
 
 @query("quality_run_standard")
 def quality_run_standard(m: Market):
     """The whole standard rule set over seven tables."""
-    return flat(runner.run_checks(_everything(m), LEDGER_AS_OF, "standard", thresholds=_THRESHOLDS))
+    return flat(runner.run_checks(m.stored(), LEDGER_AS_OF, "standard", thresholds=_THRESHOLDS))
 
 
 @query("quality_routine")
 def quality_routine(m: Market):
-    return flat(runner.routine(_everything(m), LEDGER_AS_OF))
+    return flat(runner.routine(m.stored(), LEDGER_AS_OF))
 
 
 @query("quality_top_issues")
 def quality_top_issues(m: Market):
-    return flat(report.top_issues(runner.run_checks(_everything(m), LEDGER_AS_OF, "quick",
+    return flat(report.top_issues(runner.run_checks(m.stored(), LEDGER_AS_OF, "quick",
                                                     thresholds=_THRESHOLDS)))
 
 

@@ -167,15 +167,22 @@ def rules_at(level: str, rules: Sequence[RowRule]) -> list[RowRule]:
     return [r for r in rules if level == "standard" or r.level == "quick"]
 
 
-def judge_rows(df: DataFrame, rules: Sequence[RowRule]) -> DataFrame:
-    """Issues of one table from its row rules (all of one table and scope)."""
+def judge_rows(df: DataFrame, rules: Sequence[RowRule], not_empty: bool = False) -> DataFrame:
+    """Issues of one table from its row rules (all of one table and scope).
+
+    ``not_empty`` adds the rule that there are rows at all.
+    """
     spark, table = df.sparkSession, rules[0].table
-    counts = df.agg(*[F.count_if(F.expr(r.bad)).alias(r.name) for r in rules]) \
-        .unpivot([], [r.name for r in rules], "check_name", "n")
+    figures = [F.count_if(F.expr(r.bad)).alias(r.name) for r in rules]
+    about = [(r.name, r.category, r.severity, r.description, r.allowed) for r in rules]
+    if not_empty:
+        figures.append(F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).cast("bigint")
+                       .alias("table_not_empty"))
+        about.append(("table_not_empty", "completeness", "critical", "the table has no rows", 0))
+    counts = df.agg(*figures).unpivot([], [a[0] for a in about], "check_name", "n")
     # One row per rule: bounded by the rule list.
     meta = F.broadcast(spark.createDataFrame(
-        [(r.name, r.category, r.severity, r.description, r.allowed) for r in rules],
-        "rule string, category string, severity string, description string, allowed bigint"))
+        about, "rule string, category string, severity string, description string, allowed bigint"))
     found = counts.join(meta, F.col("check_name") == F.col("rule")).filter(
         F.col("n") > F.col("allowed"))
     listing = [r for r in rules if r.samples]

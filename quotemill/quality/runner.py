@@ -37,12 +37,13 @@ def run_checks(tables: Mapping[str, DataFrame], as_of: dt.date | str, level: str
 
     for name in judged:
         df = tables[name]
-        parts.append(checks.table_empty(df, name))
         own = [r for r in rules if r.table == name]
         everywhere = [r for r in own if not r.listed_only]
         listed = [r for r in own if r.listed_only]
         if everywhere:
-            parts.append(judge_rows(df, everywhere))
+            parts.append(judge_rows(df, everywhere, not_empty=True))
+        else:
+            parts.append(checks.table_empty(df, name))
         if listed:
             scope = df if securities is None else cov.within_listing(df, securities)
             parts.append(judge_rows(scope, listed))
