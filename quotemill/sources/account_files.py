@@ -21,13 +21,15 @@ from quotemill.operators.ledger import (
 )
 
 # --- fixed values: field names of the files ---------------------------------
-TRADE_ITEM = (
-    "TradeId STRING, TradeDate STRING, TradeTime STRING, Code STRING, `证券代码` STRING, "
-    "StockCode STRING, TradeType INT, Volume BIGINT, Quantity BIGINT, `成交数量` BIGINT, "
-    "Price DOUBLE, TradePrice DOUBLE, `成交均价` DOUBLE, Value DOUBLE, Amount DOUBLE, "
-    "`成交金额` DOUBLE, Commission DOUBLE, Tax DOUBLE, OtherFees DOUBLE, NetAmount DOUBLE, "
-    "OrderID STRING, OrderId STRING, `订单编号` STRING, Remark STRING"
-)
+# Alternate names of one trade field, first one that is there counts.
+TRADE_FIELDS = {
+    "code": ["Code", "证券代码", "StockCode"],
+    "quantity": ["Volume", "Quantity", "成交数量"],
+    "price": ["Price", "TradePrice", "成交均价"],
+    "amount": ["Value", "Amount", "成交金额"],
+    "net_amount": ["NetAmount", "成交金额"],
+    "order_id": ["OrderID", "OrderId", "订单编号"],
+}
 POSITION_ITEM = (
     "`证券代码` STRING, `持仓数量` INT, `可用数量` INT, `冻结数量` INT, `在途股份` INT, "
     "`昨夜持股` INT, `开仓价格` DOUBLE, `持仓市值` DOUBLE"
@@ -42,7 +44,8 @@ def _struct(columns: str) -> str:
     return "STRUCT<" + ", ".join(c.replace(" ", ": ", 1) for c in columns.split(", ")) + ">"
 
 
-TRADE_FILE = f"trades ARRAY<{_struct(TRADE_ITEM)}>, {BAD} STRING"
+# A map per trade: some field names differ only in case, which columns could not.
+TRADE_FILE = f"trades ARRAY<MAP<STRING, STRING>>, {BAD} STRING"
 POSITION_FILE = (f"timestamp STRING, account_info {_struct(ACCOUNT_ITEM)}, "
                  f"positions ARRAY<{_struct(POSITION_ITEM)}>, {BAD} STRING")
 
@@ -87,28 +90,29 @@ def trades_from(files: DataFrame) -> DataFrame:
     """Trades of the accepted files in the shape of ``user_transactions``."""
     rows = files.filter(F.col("reject_reason").isNull()).select(
         "file_path", "user_id", "file_date", F.posexplode("trades").alias("_pos", "t"))
-    t = {c: F.col(f"t.`{c}`") for c in rows.schema["t"].dataType.fieldNames()}
-    code = F.coalesce(t["Code"], t["证券代码"], t["StockCode"])
-    when = trade_timestamp("file_date", t["TradeTime"])
-    qty = F.coalesce(t["Volume"], t["Quantity"], t["成交数量"], F.lit(0)).cast("double")
-    price = F.coalesce(t["Price"], t["TradePrice"], t["成交均价"], F.lit(0.0))
-    own_id = F.nullif(t["TradeId"], F.lit(""))
-    zero = F.lit(0.0)
+
+    def text(name: str) -> Column:
+        names = TRADE_FIELDS.get(name, [name])
+        return F.coalesce(*[F.try_element_at("t", F.lit(n)) for n in names])
+
+    def number(name: str) -> Column:
+        return F.coalesce(text(name).try_cast("double"), F.lit(0.0))
+
+    code, time_text, remark = text("code"), text("TradeTime"), text("Remark")
+    own_id = F.nullif(text("TradeId"), F.lit(""))
     return rows.select(
-        F.coalesce(own_id, tf.generated_trade_id("user_id", "file_date", code, t["TradeTime"],
-                                                 price, qty, "_pos")).alias("trade_id"),
+        F.coalesce(own_id, tf.generated_trade_id("user_id", "file_date", code, time_text,
+                                                 number("price"), number("quantity"), "_pos"))
+        .alias("trade_id"),
         "user_id", code.alias("stock_code"), F.col("file_date").alias("trade_date"),
-        when.alias("trade_time"), F.coalesce(t["TradeType"], F.lit(23)).alias("trade_type"),
-        tf.strategy_from_prefix(t["Remark"]).alias("strategy_id"), qty.alias("quantity"),
-        price.alias("price"),
-        F.coalesce(t["Value"], t["Amount"], t["成交金额"], zero).alias("amount"),
-        F.coalesce(t["Commission"], zero).alias("commission"),
-        F.coalesce(t["Tax"], zero).alias("stamp_tax"),
-        F.coalesce(t["OtherFees"], zero).alias("other_fees"),
-        F.coalesce(t["NetAmount"], t["成交金额"], zero).alias("net_amount"),
-        F.coalesce(t["OrderID"], t["OrderId"], t["订单编号"], F.lit("")).alias("order_id"),
-        t["Remark"].alias("remark"), F.lit(None).cast("timestamp_ntz").alias("created_at"),
-        "file_path")
+        trade_timestamp("file_date", time_text).alias("trade_time"),
+        F.coalesce(text("TradeType").try_cast("int"), F.lit(23)).alias("trade_type"),
+        tf.strategy_from_prefix(remark).alias("strategy_id"),
+        *[number(c).alias(c) for c in ("quantity", "price", "amount")],
+        number("Commission").alias("commission"), number("Tax").alias("stamp_tax"),
+        number("OtherFees").alias("other_fees"), number("net_amount").alias("net_amount"),
+        F.coalesce(text("order_id"), F.lit("")).alias("order_id"), remark.alias("remark"),
+        F.lit(None).cast("timestamp_ntz").alias("created_at"), "file_path")
 
 
 def positions_from(files: DataFrame) -> DataFrame:
