@@ -51,11 +51,10 @@ def trading_days_between(df: DataFrame, calendar: DataFrame, start: str, end: st
     lo = dense.select(F.col("date").alias("_lo"), F.col("idx").alias("_i_lo"),
                       F.col("is_open").cast("int").alias("_open_lo"))
     hi = dense.select(F.col("date").alias("_hi"), F.col("idx").alias("_i_hi"))
-    bounds = F.broadcast(calendar.agg(F.min("day").alias("_first"), F.max("day").alias("_last")))
     # Dates outside the calendar are clamped onto it, so every lookup finds its row.
-    clamped = df.crossJoin(bounds).select(
-        *df.columns, F.greatest(F.col(start), F.col("_first")).alias("_a"),
-        F.least(F.col(end), F.col("_last")).alias("_b"))
+    clamped = df.select(
+        *df.columns, F.greatest(F.col(start), calendar.agg(F.min("day")).scalar()).alias("_a"),
+        F.least(F.col(end), calendar.agg(F.max("day")).scalar()).alias("_b"))
     return (
         clamped.join(F.broadcast(lo), F.col("_a") == F.col("_lo"), "left")
         .join(F.broadcast(hi), F.col("_b") == F.col("_hi"), "left")
@@ -76,11 +75,9 @@ def last_trading_day(dates: DataFrame, calendar: DataFrame, col: str = "date",
     if n < 0:
         raise ValueError("n must not be negative")
     dense = dense_index(calendar).select(F.col("date").alias("_d"), F.col("idx").alias("_i"))
-    bounds = calendar.agg(F.max("day").alias("_last"))
     days = numbered(calendar).select(F.col("day").alias(out), F.col("idx").alias("_j"))
     return (
-        dates.crossJoin(F.broadcast(bounds))
-        .withColumn("_look", F.least(F.col(col), F.col("_last")))
+        dates.withColumn("_look", F.least(F.col(col), calendar.agg(F.max("day")).scalar()))
         .join(F.broadcast(dense), F.col("_look") == F.col("_d"), "left")
         .join(F.broadcast(days), F.col("_i") - F.lit(n) == F.col("_j"), "left")
         .select(*dates.columns, out)
@@ -110,7 +107,6 @@ def missing_snapshot_days(snapshots: DataFrame, calendar: DataFrame, col: str,
                           start: dt.date | str) -> DataFrame:
     """Trading days from ``start`` to the newest snapshot on which nobody has a snapshot."""
     seen = snapshots.select(F.col(col).alias("day")).filter(F.col("day") >= as_day(start)).distinct()
-    last = snapshots.agg(F.max(col).alias("_last"))
-    open_days = calendar.filter(F.col("day") >= as_day(start))
-    within = open_days.crossJoin(F.broadcast(last)).filter(F.col("day") <= F.col("_last"))
+    last = snapshots.agg(F.max(col)).scalar()
+    within = calendar.filter((F.col("day") >= as_day(start)) & (F.col("day") <= last))
     return within.select("day").join(seen, "day", "left_anti")

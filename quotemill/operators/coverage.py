@@ -178,10 +178,10 @@ def missing_trading_days(securities: DataFrame, prices: DataFrame, calendar: Dat
 
     Each security opens its own dates, so no product of the two tables is formed.
     """
-    bounds = F.broadcast(calendar.agg(F.min("day").alias("_a"), F.max("day").alias("_b")))
-    life = securities.crossJoin(bounds).select(
-        "code", F.greatest("start_date", "_a").alias("_from"),
-        F.least(F.coalesce(F.date_sub("end_date", 1), F.col("_b")), F.col("_b")).alias("_to"))
+    first, last = calendar.agg(F.min("day")).scalar(), calendar.agg(F.max("day")).scalar()
+    life = securities.select(
+        "code", F.greatest(F.col("start_date"), first).alias("_from"),
+        F.least(F.coalesce(F.date_sub("end_date", 1), last), last).alias("_to"))
     open_days = F.broadcast(calendar.select("day"))
     expected = (life.filter(F.col("_from") <= F.col("_to"))
                 .select("code", F.explode(F.sequence("_from", "_to")).alias("day"))
@@ -222,11 +222,10 @@ def day_coverage(securities: DataFrame, prices: DataFrame, calendar: DataFrame)
 def completeness(securities: DataFrame, prices: DataFrame, calendar: DataFrame,
                  as_of: dt.date | str, floor: dt.date = HISTORY_START) -> DataFrame:
     """Per security: bars held over trading days expected, at most 1; nothing expected is 1."""
-    last = F.broadcast(calendar.filter(F.col("day") <= as_day(as_of))
-                       .agg(F.max("day").alias("_last")))
-    spans = securities.crossJoin(last).select(
+    last = calendar.filter(F.col("day") <= as_day(as_of)).agg(F.max("day")).scalar()
+    spans = securities.select(
         "code", F.greatest(F.coalesce("start_date", F.lit(floor)), F.lit(floor)).alias("from_day"),
-        F.least(F.coalesce("end_date", F.col("_last")), F.col("_last")).alias("to_day"))
+        F.least(F.coalesce(F.col("end_date"), last), last).alias("to_day"))
     expected = trading_days_between(spans, calendar, "from_day", "to_day")
     bars = prices.select(F.col("code").alias("_code"), "day")
     held = bars.join(spans, (F.col("_code") == F.col("code")) & (F.col("day") >= F.col("from_day"))

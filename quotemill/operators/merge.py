@@ -192,9 +192,8 @@ def batch_window(table_df: DataFrame, feed: DataFrame, as_of: dt.date | str, dat
     rows = feed.filter(F.col(date_col) <= as_day(as_of))
     if full:
         return rows.filter(F.col(date_col) >= floor)
-    newest = table_df.agg(F.max(date_col).alias("_newest"))
-    return rows.crossJoin(F.broadcast(newest)).filter(
-        F.col(date_col) >= F.coalesce(F.date_add("_newest", 1), floor)).drop("_newest")
+    newest = table_df.agg(F.max(date_col)).scalar()
+    return rows.filter(F.col(date_col) >= F.coalesce(F.date_add(newest, 1), floor))
 
 
 def route_feeds(primary: DataFrame, secondary: DataFrame, table: str = "price_data") -> DataFrame:

@@ -52,10 +52,9 @@ def duplicate_key(df: DataFrame, table: str, keys: Sequence[str] | None = None)
     keys = list(keys or UNIQUE_KEYS[table])
     groups = cov.duplicate_keys(df, keys)
     total = groups.agg(F.sum(F.col("n") - 1).alias("surplus")).filter(F.col("surplus") > 0)
-    both = total.crossJoin(F.broadcast(top_samples(groups, sample_text(keys), 10)))
-    return as_issues(both, severity="critical", category="uniqueness", table=table,
+    return as_issues(total, severity="critical", category="uniqueness", table=table,
                      check="primary_key_unique", description="rows with a repeated key",
-                     count=F.col("surplus"), samples=F.col("samples"))
+                     count=F.col("surplus"), samples=top_samples(groups, sample_text(keys), 10))
 
 
 def at_least(df: DataFrame, value: str, minimum: int, **labels) -> DataFrame:
@@ -328,11 +327,10 @@ def unknown_stock_codes(facts: DataFrame, securities: DataFrame, table: str = "u
     """Rows of codes the master lacks; counted per code before any join."""
     bad = cov.unknown_codes(facts, securities, col)
     total = bad.agg(F.sum("n").alias("total")).filter(F.col("total") > 0)
-    both = total.crossJoin(F.broadcast(top_samples(bad, F.col(col))))
-    return as_issues(both, severity="warning", category="completeness", table=table,
+    return as_issues(total, severity="warning", category="completeness", table=table,
                      check="stock_code_reference_integrity",
                      description="codes the security master lacks", count=F.col("total"),
-                     samples=F.col("samples"))
+                     samples=top_samples(bad, F.col(col)))
 
 
 def non_trading_days(df: DataFrame, calendar: DataFrame, table: str, date_col: str,
@@ -341,10 +339,9 @@ def non_trading_days(df: DataFrame, calendar: DataFrame, table: str, date_col: s
     per_day = cov.count_by(df.filter(F.col(date_col).isNotNull()), date_col)
     bad = cal.off_calendar(per_day, calendar, date_col, start)
     total = bad.agg(F.sum("n").alias("total")).filter(F.col("total") > 0)
-    both = total.crossJoin(F.broadcast(top_samples(bad, F.col(date_col).cast("string"))))
-    return as_issues(both, severity=severity, category="completeness", table=table, check=check,
+    return as_issues(total, severity=severity, category="completeness", table=table, check=check,
                      description="rows dated on a day without trading", count=F.col("total"),
-                     samples=F.col("samples"))
+                     samples=top_samples(bad, F.col(date_col).cast("string")))
 
 
 def missing_days(df: DataFrame, calendar: DataFrame, table: str, date_col: str,

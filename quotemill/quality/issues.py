@@ -57,14 +57,13 @@ def first_samples(df: DataFrame, group: Sequence[str], sample: Column, n: int =
     return top.groupBy(*group).agg(F.array_sort(F.collect_list("_s")).alias("samples"))
 
 
-def top_samples(df: DataFrame, sample: Column, n: int = SAMPLES) -> DataFrame:
-    """One row: the ``n`` smallest samples over everything."""
+def top_samples(df: DataFrame, sample: Column, n: int = SAMPLES) -> Column:
+    """The ``n`` smallest samples over everything, as a scalar subquery."""
     top = df.select(sample.alias("_s")).orderBy("_s").limit(n)
-    return top.agg(F.array_sort(F.collect_list("_s")).alias("samples"))
+    return top.agg(F.array_sort(F.collect_list("_s")).alias("samples")).scalar()
 
 
 def counted_issue(bad: DataFrame, sample: Column, *, n: int = SAMPLES, **labels) -> DataFrame:
     """One issue when ``bad`` has rows: their number and some samples."""
     counted = bad.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0)
-    both = counted.crossJoin(F.broadcast(top_samples(bad, sample, n)))
-    return as_issues(both, count=F.col("n"), samples=F.col("samples"), **labels)
+    return as_issues(counted, count=F.col("n"), samples=top_samples(bad, sample, n), **labels)

@@ -98,9 +98,8 @@ def routine(tables: Mapping[str, DataFrame], as_of: dt.date | str, recent_days:
     spark = prices.sparkSession
     days = trading_calendar(prices, end=as_of)
     recent = [r.day for r in days.orderBy(F.col("day").desc()).limit(recent_days).collect()]
-    week = days.orderBy(F.col("day").desc()).limit(8).agg(F.min("day").alias("edge"))
-    pool = days.crossJoin(F.broadcast(week)).filter(
-        (F.col("day") <= F.col("edge")) & (F.col("day") >= F.date_sub("edge", 365)))
+    edge = days.orderBy(F.col("day").desc()).limit(8).agg(F.min("day")).scalar()
+    pool = days.filter((F.col("day") <= edge) & (F.col("day") >= F.date_sub(edge, 365)))
     from quotemill.operators.scan import sample_rows
 
     past = [r.day for r in sample_rows(pool.select("day"), history_days, "day", seed).collect()]

@@ -12,7 +12,7 @@ import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.operators.calendar import trading_calendar
@@ -49,28 +49,26 @@ def _labels(rule: Mapping, table: str, category: str, suffix: str = "", note: st
             "check": name, "description": rule.get("description", f"{name} failed") + note}
 
 
-def _context_values(table: str, views: Mapping[str, DataFrame], as_of: str) -> DataFrame:
-    """One row: active securities, rows of the table, its rows of the last 30 days."""
+def _context_values(table: str, views: Mapping[str, DataFrame], as_of: str) -> dict[str, Column]:
+    """Scalars: active securities, rows of the table, its rows of the last 30 days."""
     df = views[table]
-    counts = df.agg(F.count(F.lit(1)).alias("total_records"))
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     date_col = DATE_COLUMN_FOR_RECENT.get(table)
     if date_col in df.columns:
         recent = df.filter(F.col(date_col) >= F.date_sub(F.lit(as_of).cast("date"), 30)).agg(
-            F.count(F.lit(1)).alias("recent_records"))
+            F.count(F.lit(1)).alias("n")).scalar()
     else:
-        recent = counts.withColumnRenamed("total_records", "recent_records")
+        recent = total
+    active = F.lit(0)
     if "stock_list" in views:
         from quotemill.operators.coverage import active_count
 
-        active = active_count(views["stock_list"], as_of).withColumnRenamed(
-            "active_count", "active_stocks")
-    else:
-        active = views[table].sparkSession.range(1).select(F.lit(0).alias("active_stocks"))
-    return counts.crossJoin(F.broadcast(recent)).crossJoin(F.broadcast(active))
+        active = active_count(views["stock_list"], as_of).scalar()
+    return {"active_stocks": active, "total_records": total, "recent_records": recent}
 
 
 def _condition_issue(result: DataFrame, condition: str, rule: Mapping, table: str, category: str,
-                     context: DataFrame | None = None) -> DataFrame:
+                     context: Mapping[str, Column] | None = None) -> DataFrame:
     """Issue when the first row does not meet ``field op number`` (or an expression of fields)."""
     m = re.match(r"\s*(\w+)\s*(<=|>=|!=|<>|==|=|<|>)\s*(.+)$", condition.strip())
     if not m:
@@ -78,7 +76,7 @@ def _condition_issue(result: DataFrame, condition: str, rule: Mapping, table: st
     field, op, bound = m[1], m[2].replace("==", "="), m[3]
     first = result.limit(1)
     if context is not None:
-        first = first.crossJoin(F.broadcast(context))
+        first = first.withColumns({k: v for k, v in context.items() if k in bound})
     failed = first.filter(F.coalesce(~F.expr(f"{field} {op} ({bound})"), F.lit(True)))
     return as_issues(failed, count=F.coalesce(F.col(field).cast("bigint"), F.lit(0)),
                      **_labels(rule, table, category))
@@ -88,8 +86,7 @@ def _rows_issue(result: DataFrame, rule: Mapping, table: str, category: str) ->
     """Issue when the SQL returns rows: how many, and five of them."""
     shown = [c for c in result.columns if c != "count"]
     counted = result.agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 0)
-    both = counted.crossJoin(F.broadcast(top_samples(result, sample_text(shown))))
-    return as_issues(both, count=F.col("_rows"), samples=F.col("samples"),
+    return as_issues(counted, count=F.col("_rows"), samples=top_samples(result, sample_text(shown)),
                      **_labels(rule, table, category))
 
 
