@@ -15,7 +15,7 @@ from quotemill.functions import trades as tf
 from quotemill.functions.codes import has_known_suffix, trade_type_name
 from quotemill.functions.dates import day as as_day
 from quotemill.functions.values import money_avg, money_sum, round_to, sum_when
-from quotemill.operators.scan import date_between
+from quotemill.operators.dated import date_between
 from quotemill.operators.series import latest_rows
 from quotemill.schemas import BUY, SELL
 

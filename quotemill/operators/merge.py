@@ -18,6 +18,7 @@ from quotemill.functions.dates import DAILY_BASIC_START, HISTORY_START, window_e
 from quotemill.functions.dates import day as as_day
 from quotemill.operators.calendar import off_calendar, on_calendar
 from quotemill.operators.coverage import latest_dates
+from quotemill.operators.ledger import split_valid
 
 
 def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column] | None = None,
@@ -225,6 +226,27 @@ def financials_due(statements: Sequence[DataFrame], as_of: dt.date | str, days:
                    | F.coalesce(F.datediff(today, "newest") > days, F.lit(False))).alias("due"))
 
 
+def load_master(existing: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New security master after a refresh, and the listed rows that were refused.
+
+    ``listing`` comes from ``security_master`` or ``index_master``; new rows replace old ones.
+    """
+    good, rejects = split_valid(listing, "stock_list")
+    return upsert(existing, good, ["code"], ["update_date"]), rejects
+
+
+def reload_check(stored: DataFrame, loaded: DataFrame, keys: Sequence[str] = ("code", "stat_date"),
+                 version: str = "report_type") -> DataFrame:
+    """One row after a reload or re-keying: rows on both sides, keys, keys with versions."""
+    per_key = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
+                                        F.count_distinct(version).alias("v"))
+    return per_key.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("stored_rows"),
+        F.count(F.lit(1)).alias("n_keys"), F.count_if(F.col("v") > 1).alias("versioned_keys")) \
+        .withColumn("loaded_rows", loaded.agg(F.count(F.lit(1)).alias("n")).scalar()) \
+        .withColumn("complete", F.col("stored_rows") == F.col("loaded_rows"))
+
+
 # --- clean-up and re-keying -------------------------------------------------
 
 def non_trading_preview(df: DataFrame, calendar: DataFrame, date_col: str,

@@ -10,20 +10,13 @@ from pyspark.sql import functions as F
 
 from quotemill.functions.codes import in_exchange_scope, is_active, is_index
 from quotemill.functions.dates import day as as_day
+from quotemill.operators.dated import date_between
 from quotemill.operators.series import latest_rows
 
 # Above this many codes a list becomes a table and the filter a semi join.
 CODE_LIST_LIMIT = 1000
 
 
-def date_between(df: DataFrame, col: str, start=None, end=None) -> DataFrame:
-    if start is not None:
-        df = df.filter(F.col(col) >= as_day(start))
-    if end is not None:
-        df = df.filter(F.col(col) <= as_day(end))
-    return df
-
-
 def choose_fields(df: DataFrame, keys: Sequence[str], fields: Sequence[str] | None,
                   rename: Mapping[str, str] | None = None) -> DataFrame:
     """Keys first, then the asked fields, each once."""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quotemill.functions.dates import day as as_day
 from quotemill.functions.dates import week_end
 from quotemill.functions.values import money_avg, money_sum, pad_change, ratio, round_to
+from quotemill.operators.dated import date_between
 
 TRADING_DAYS_PER_YEAR = 252
 MA_PERIODS = (5, 10, 20, 60, 120, 250)
@@ -54,25 +55,17 @@ def adjusted(bars: DataFrame, adjust: str = "multiply") -> DataFrame:
     raise ValueError(f"adjust must be 'multiply' or 'none', not {adjust!r}")
 
 
-def in_range(bars: DataFrame, start: dt.date | str | None, end: dt.date | str | None) -> DataFrame:
-    if start is not None:
-        bars = bars.filter(F.col("day") >= as_day(start))
-    if end is not None:
-        bars = bars.filter(F.col("day") <= as_day(end))
-    return bars
-
-
 def daily_returns(bars: DataFrame, start=None, end=None, adjust: str = "multiply",
                   pad: bool = True) -> DataFrame:
     """``code, day, close, adj_close, return``."""
-    rows = adjusted(in_range(bars, start, end), adjust)
+    rows = adjusted(date_between(bars, "day", start, end), adjust)
     return rows.select("code", "day", "close", "adj_close",
                        pad_change(F.col("adj_close"), by_day(), pad).alias("return"))
 
 
 def _period_returns(bars: DataFrame, label, start, end, adjust: str, pad: bool,
                     next_label, labels_between) -> DataFrame:
-    rows = adjusted(in_range(bars, start, end), adjust).withColumn("period_end", label)
+    rows = adjusted(date_between(bars, "day", start, end), adjust).withColumn("period_end", label)
     # Rows without a price still open their period, as an empty one.
     last = rows.groupBy("code", "period_end").agg(
         F.max_by("adj_close", F.when(F.col("adj_close").isNotNull(), F.col("day")))
@@ -136,8 +129,7 @@ def moving_averages(bars: DataFrame, end: dt.date | str,
     on both sides of the one shuffle, and the averages are plain conditional sums.
     """
     widest = max(periods)
-    recent = bars.filter((F.col("day") <= as_day(end))
-                         & (F.col("day") >= F.date_sub(as_day(end), 2 * widest)))
+    recent = date_between(bars, "day", F.date_sub(as_day(end), 2 * widest), end)
     newest = Window.partitionBy("code").orderBy(F.col("day").desc())
     ranked = recent.select("code", "close", F.row_number().over(newest).alias("_n")) \
         .filter(F.col("_n") <= widest)
@@ -151,8 +143,7 @@ def moving_averages(bars: DataFrame, end: dt.date | str,
 
 def price_range(bars: DataFrame, as_of: dt.date | str, days: int = 252) -> DataFrame:
     """High, low, last and mean close over a look-back, and where the last close stands."""
-    rows = bars.filter((F.col("day") <= as_day(as_of))
-                       & (F.col("day") >= F.date_sub(as_day(as_of), days)))
+    rows = date_between(bars, "day", F.date_sub(as_day(as_of), days), as_of)
     stats = rows.groupBy("code").agg(
         F.min("day").alias("start_date"), F.max("day").alias("end_date"),
         F.max("high").alias("highest"), F.min("low").alias("lowest"),
@@ -180,7 +171,7 @@ def abnormal_moves(bars: DataFrame, as_of: dt.date | str, limit: float = 0.5,
 
     The look-back applies before the previous close is taken, so its first bar has none.
     """
-    rows = bars if days is None else bars.filter(F.col("day") >= F.date_sub(as_day(as_of), days))
+    rows = bars if days is None else date_between(bars, "day", F.date_sub(as_day(as_of), days))
     moved = rows.select("code", "day", "close",
                         F.lag("close").over(by_day()).alias("prev_close"))
     change = F.try_divide(F.abs(F.col("close") - F.col("prev_close")), F.col("prev_close"))

@@ -424,13 +424,32 @@ def factor_backfill(m: Market):
 
 
 @query("reload_verification", "statements", sql="""
-    SELECT count(*) AS n_rows, count(DISTINCT code || stat_date) AS n_keys,
-           count(*) FILTER (report_type = 2) AS restated FROM statements""")
+    SELECT CAST(sum(n) AS BIGINT) AS stored_rows, count(*) AS n_keys,
+           count(*) FILTER (v > 1) AS versioned_keys,
+           (SELECT count(*) FROM statements) AS loaded_rows,
+           sum(n) = (SELECT count(*) FROM statements) AS complete
+    FROM (SELECT count(*) AS n, count(DISTINCT report_type) AS v FROM statements
+          WHERE report_type <> 0 GROUP BY code, stat_date) x""")
 def reload_verification(m: Market):
-    per_key = m.statements.groupBy("code", "stat_date").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("report_type") == 2).alias("r"))
-    return per_key.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"),
-                       F.sum("r").alias("restated"))
+    return merge.reload_check(m.statements.filter("report_type <> 0"), m.statements)
+
+
+@query("master_refresh", "securities", sql="""
+    SELECT code, display_name, update_date, 'kept' AS state FROM securities WHERE code LIKE '%5.%'
+    UNION ALL SELECT code, 'New ' || display_name, DATE '2002-01-01', 'loaded' FROM securities
+    WHERE code NOT LIKE '%5.%' AND code NOT LIKE '%8.%'
+    UNION ALL SELECT code, display_name, update_date, 'kept' FROM securities WHERE code LIKE '%8.%'""")
+def master_refresh(m: Market):
+    """Codes on 8 come without a name and are refused; codes on 5 are not listed."""
+    from quotemill.sources.landed import align_to_schema
+
+    old = align_to_schema(m.securities, "stock_list")
+    new = old.filter("code NOT LIKE '%5.%'").withColumns({
+        "display_name": F.when(~F.col("code").like("%8.%"), F.concat(F.lit("New "), "display_name")),
+        "update_date": F.to_date(F.lit("2002-01-01"))})
+    state, _ = merge.load_master(old, new)
+    return state.select("code", "display_name", "update_date", F.when(
+        F.year("update_date") == 2002, "loaded").otherwise("kept").alias("state"))
 
 
 @query("generated_trade_ids", "ledger", sql="""

@@ -209,6 +209,9 @@ WATERMARK: dict[str, str] = {
     "user_account_info": "info_date",
 }
 
+# Folder column of tables stored by the year of their WATERMARK date.
+PARTITION_YEAR = "part_year"
+
 STATEMENTS = ("income_statement", "cashflow_statement", "balance_sheet")
 MARGIN_COLUMNS = _MARGIN.split()
 FLOW_COLUMNS = _FLOW.split()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quotemill.schemas import KEYS, SCHEMAS
+from quotemill.schemas import KEYS, PARTITION_YEAR, SCHEMAS, WATERMARK
 
 
 def read_table(spark: SparkSession, base: str, table: str, merge_schema: bool = False) -> DataFrame:
@@ -47,13 +47,18 @@ def snapshot(df: DataFrame, base: str, table: str, stamp: str) -> str:
     return path
 
 
-def write_table(df: DataFrame, base: str, table: str, year_of: str | None = None) -> str:
-    """Writes a whole table, by year of a date column and sorted by key inside the files."""
+def write_table(df: DataFrame, base: str, table: str) -> str:
+    """Writes a whole table sorted by key inside the files, by year where it is dated.
+
+    The year is that of the table's WATERMARK date, so only give that date to range reads that
+    should skip folders. Rebalancing lets AQE split a year that holds much of the data.
+    """
     path = f"{base.rstrip('/')}/{table}"
     keys = [k for k in KEYS.get(table, []) if k in df.columns]
-    if year_of:
-        out = df.withColumn("year", F.year(year_of)).hint("rebalance", "year")
-        out.sortWithinPartitions("year", *keys).write.mode("overwrite").partitionBy("year").parquet(path)
+    if table in WATERMARK:
+        out = df.withColumn(PARTITION_YEAR, F.year(WATERMARK[table])).hint("rebalance", PARTITION_YEAR)
+        out.sortWithinPartitions(PARTITION_YEAR, *keys).write.mode("overwrite") \
+            .partitionBy(PARTITION_YEAR).parquet(path)
     else:
         df.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
     return path

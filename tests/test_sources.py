@@ -179,9 +179,15 @@ def test_tables_round_trip_and_exports(spark):
     df = spark.createDataFrame([("A.SH", D, 1.0), ("B.SH", dt.date(2023, 5, 5), float("nan"))],
                                "code string, day date, close double")
     full = landed.align_to_schema(df, "price_data")
-    tables.write_table(full, base, "price_data", year_of="day")
+    tables.write_table(full, base, "price_data")
     back = tables.read_table(spark, base, "price_data")
     assert rows(back, "code", "day") == [("A.SH", D), ("B.SH", dt.date(2023, 5, 5))]
+    from quotemill.operators.scan import range_scan
+
+    near = range_scan(back, start="2024-01-01", fields=["close"])
+    assert rows(near, "code") == [("A.SH",)]
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "part_year" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
     path = tables.snapshot(back, base, "price_data", "20240110")
     with pytest.raises(Exception):
         tables.snapshot(back, base, "price_data", "20240110")
