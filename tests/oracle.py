@@ -30,7 +30,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return float(f"{v:.12g}") + 0.0
+        return v + 0.0
     if isinstance(v, decimal.Decimal):
         return ("dec", str(v.normalize()))
     if isinstance(v, dt.datetime):
