@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Joins are never forced: Spark broadcasts a side when its measured size is under
 # autoBroadcastJoinThreshold, otherwise it shuffles and AQE splits hot keys.
@@ -33,11 +34,25 @@ def build_session(master: str | None = None, app: str = "quotemill",
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the cluster's ``spark.checkpoint.dir``.
+    """A fresh folder under the cluster's ``spark.checkpoint.dir``; it goes when the session's JVM ends.
 
-    Only where that setting is missing (tests on one machine) is a local folder used.
+    Only a session of one machine (``local[..]``) may go without that setting and then uses a temporary
+    folder; on a cluster executors and driver see different disks, so it is an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        return f"{base.rstrip('/')}/{purpose}-{os.urandom(6).hex()}"
-    return tempfile.mkdtemp(prefix=f"quotemill-{purpose}-")
+        path = f"{base.rstrip('/')}/{purpose}-{os.urandom(6).hex()}"
+    elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        path = tempfile.mkdtemp(prefix=f"quotemill-{purpose}-")
+    else:
+        raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame written to the shared folder and read again: lineage ends there, lost executors lose nothing."""
+    path = f"{shared_dir(df.sparkSession, purpose)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
