@@ -60,13 +60,14 @@ def signatures(windows: np.ndarray, sizes: np.ndarray, rep: int, samples: int) -
     rng = np.random.default_rng([7, rep])
     salt, at = np.uint64(rng.integers(1 << 63)), np.sort(rng.random(samples))
     rows, width = windows.shape
-    steps = 2 * width
+    last = (at[-1] * 2 * sizes).astype(np.int64)  # no row walks beyond its last sampled step
+    steps = int(last[0]) + 1 if rows else 0
     values = mixed(windows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt)
     values[np.arange(width) >= sizes[:, None]] = 0  # a zero never moves on, so no walk leaves its row
     values = np.concatenate([values, np.zeros((rows, 1), np.uint64)], axis=1).ravel()
     place = np.arange(rows) * (width + 1)
     seen = np.zeros((steps, rows), np.uint64)
-    live = np.searchsorted(-sizes, -(np.arange(steps) // 2), side="left")  # rows with 2 * size > step
+    live = np.searchsorted(-last, -np.arange(steps), side="right")
     for j in range(steps):
         m = live[j]
         now = values[place[:m]]
