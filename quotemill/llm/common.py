@@ -85,7 +85,8 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     else:
         out = (moved.select(F.col("b").alias("a"), F.col("m").alias("b"))
                .unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b"))))
-    return out.where("a <> b").distinct()
+    out = out.where("a <> b")
+    return out if larger else out.distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:
