@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,7 +35,9 @@ from quotemill.llm.common import stored
 
 MOST_BROADCAST = 200_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Every alternative ends at the next "<" or after a bounded quotation, so broken markup stays linear.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)
+                        ((?:[^<>"']|"[^"]{0,4096}"|'[^']{0,4096}')*+|[^<>]*)>""", re.S | re.X)
 _ATTRIBUTE = re.compile(r"([A-Za-z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*.?true", re.I)
 _SPACE = re.compile(r"\s+")
@@ -76,7 +79,8 @@ class Page:
         self._linked = 0
         # open elements: (tag, is it dropped, container that holds its content)
         stack: list[tuple[str, bool, int]] = [("", False, 0)]
-        links, at, end, lowered = 0, 0, len(source), None
+        links, at, end, lowered, unclosed = 0, 0, len(source), None, set()
+        self._open = Counter()
         while at < end:
             m = _TOKEN.search(source, at)
             if not m:
@@ -89,11 +93,11 @@ class Page:
                 continue
             tag = m[2].lower()
             if m[1]:
-                if any(s[0] == tag for s in reversed(stack)):
+                if self._open[tag]:
                     if tag in BLOCKS or tag in CONTAINERS or tag in DROPPED:
                         self._break(stack)
                     while True:
-                        left = stack.pop()[0]
+                        left = self._pop(stack)
                         links -= left == "a"
                         if left == tag:
                             break
@@ -101,12 +105,16 @@ class Page:
                     self._break(stack)
                 continue
             if tag in RAW:
+                if tag in unclosed:
+                    continue
                 lowered = source.lower() if lowered is None else lowered
                 if len(lowered) == len(source):
                     close = lowered.find(f"</{tag}", at)
                 else:  # a character changed its length when lowered
                     found = re.compile(f"</{tag}", re.I).search(source, at)
                     close = found.start() if found else -1
+                if close < 0:
+                    unclosed.add(tag)
                 if not m[3].endswith("/"):
                     at = end if close < 0 and tag in ("script", "style") else at if close < 0 else close
                 continue
@@ -118,7 +126,7 @@ class Page:
                 self._break(stack)
                 shut = _CLOSES.get(tag, {"p"})
                 while stack[-1][0] in shut:
-                    stack.pop()
+                    self._pop(stack)
             if tag in VOID:
                 continue
             attributes = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(m[3])} if m[3] else {}
@@ -134,9 +142,15 @@ class Page:
                 holder = len(self.paths) - 1
             if not m[3].endswith("/") or block:
                 links += tag == "a"
+                self._open[tag] += 1
                 stack.append((tag, dropped, holder))
         self._break(stack)
 
+    def _pop(self, stack: list) -> str:
+        tag = stack.pop()[0]
+        self._open[tag] -= 1
+        return tag
+
     def _say(self, text: str, stack: list, links: int) -> None:
         if not stack[-1][1]:
             self._text.append(text)
