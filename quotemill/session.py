@@ -51,8 +51,11 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return path
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """The frame written to the shared folder and read again: lineage ends there, lost executors lose nothing."""
+def stored(df: DataFrame, purpose: str, files: int | None = None) -> DataFrame:
+    """The frame written to the shared folder and read again: lineage ends there, lost executors lose nothing.
+
+    ``files`` bounds the number of files, for tables whose size is known to be small.
+    """
     path = f"{shared_dir(df.sparkSession, purpose)}/rows"
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
