@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.session import stored
 
-__all__ = ["stored", "numbered", "connected", "row_key", "salts", "spread"]
+__all__ = ["stored", "files_for", "numbered", "connected", "salts"]
 
-
-def salts(df: DataFrame) -> int:
-    """Parts that a hot group is split into: as many as a shuffle has partitions."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+#: Rows of a helper table in one file: enough to keep tasks small, few enough files.
+ROWS_PER_FILE = 250_000
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """The rows dealt evenly over the cluster by a hash of ``columns``, before costly work per row."""
-    n = max(df.sparkSession.sparkContext.defaultParallelism * 2, salts(df))
-    return df.repartition(n, *columns)
+def files_for(rows: int) -> int:
+    return max(1, -(-rows // ROWS_PER_FILE))
 
 
-def row_key(*columns: str) -> Column:
-    """A stable 64-bit key of a row's content."""
-    return F.xxhash64(*[F.col(c) for c in columns])
+def salts(df: DataFrame) -> int:
+    """Parts that a hot group is split into: as many as a shuffle has partitions."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
@@ -49,19 +45,20 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> Da
             .drop("_part", "_p", "_first", "_local", *[f"_g_{g}" for g in group]))
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, about: int, most_rounds: int = 60) -> DataFrame:
     """Connected groups of the graph of long columns ``a``, ``b``: rows (node, component).
 
     ``component`` is the group's smallest node. Alternating star rounds: every node hands its larger
     (then its smaller) neighbours to its smallest one, so the depth of a tree falls with each pair of
     rounds. Each round is a grouped minimum (pre-aggregated, so a hub is no hot task) and a join, and
-    is written to the shared folder. Nodes without an edge to another node do not appear.
+    is written to the shared folder. Nodes without an edge to another node do not appear. ``about`` is the
+    size of the graph in rows, for the number of files.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                 .distinct(), "edges")
+                 .distinct(), "edges", files_for(about))
     mark = _mark(now)
     for _ in range(most_rounds):
-        now = stored(_star(_star(now, larger=True), larger=False), "edges")
+        now = stored(_star(_star(now, larger=True), larger=False), "edges", files_for(about))
         last, mark = mark, _mark(now)
         if mark == last:
             heads = now.select(F.col("b").alias("node")).distinct()

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import connected, salts, stored
+from quotemill.llm.common import connected, files_for, stored
 
 BITS, SEED = 64, 42
 #: Fingerprints compared at once; larger groups are cut into pairs of such parts.
@@ -247,8 +247,10 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 3, doc_id:
                    text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links reach."""
     rows = stored(with_fingerprints(docs, shingle, doc_id, text), "fingerprints")
-    prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "prints")
-    groups = connected(links(prints, distance))
+    many = rows.count()
+    prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "prints",
+                    files_for(many))
+    groups = connected(links(prints, distance), many)
     named = prints.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return rows.join(named, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
