@@ -262,12 +262,23 @@ def drop_non_trading_days(df: DataFrame, calendar: DataFrame, date_col: str) ->
     return on_calendar(df, calendar, date_col)
 
 
+def _digits_ok() -> Column:
+    return (F.col("old_code").cast("string").rlike("^[0-9]{1,6}$")
+            & F.col("new_code").cast("string").rlike("^[0-9]{1,6}$"))
+
+
+def code_map_rejects(code_map: DataFrame) -> DataFrame:
+    """Map rows that ``remap_codes`` does not use."""
+    return code_map.filter(~F.coalesce(_digits_ok(), F.lit(False)))
+
+
 def remap_codes(df: DataFrame, code_map: DataFrame, suffix: str = ".BJ") -> DataFrame:
     """Old exchange codes to new ones (``old_code, new_code``, digits only).
 
-    A map row may carry its old code as number or text; other codes stay.
+    A map row may carry its old code as number or text; other codes stay. Map rows whose codes are not
+    one to six digits name no exchange code and are left out; ``code_map_rejects`` lists them.
     """
-    pairs = code_map.select(
+    pairs = code_map.filter(_digits_ok()).select(
         F.concat(F.lpad(F.col("old_code").cast("string"), 6, "0"), F.lit(suffix)).alias("_old"),
         F.concat(F.lpad(F.col("new_code").cast("string"), 6, "0"), F.lit(suffix)).alias("_new")) \
         .groupBy("_old").agg(F.min("_new").alias("_new"))

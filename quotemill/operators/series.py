@@ -38,7 +38,7 @@ def daily_bars(ticks: DataFrame, code: str, ts: str, price: str,
         F.max(price).alias("high"),
         F.min(price).alias("low"),
         volume.alias("volume"),
-        money_sum(price, 2).alias("money"),
+        (money_sum(F.col(price) * F.col(size), 2) if size else money_sum(price, 2)).alias("money"),
     )
 
 

@@ -209,12 +209,12 @@ def update_industry(m: Market):
 
 
 @query("update_many_industries", "securities", sql="""
-    SELECT code, CASE WHEN code LIKE '%3.%' THEN 'I' || left(code, 6) ELSE 'none' END AS industry_code
+    SELECT code, CASE WHEN code LIKE '%3.%' THEN 'I' || split_part(code, '.', 1) ELSE 'none' END AS industry_code
     FROM securities""")
 def update_many_industries(m: Market):
     s = m.securities.withColumn("industry_code", F.lit("none"))
     changes = m.securities.filter("code LIKE '%3.%'").select(
-        "code", F.concat(F.lit("I"), F.substring("code", 1, 6)).alias("industry_code"))
+        "code", F.concat(F.lit("I"), F.substring_index("code", ".", 1)).alias("industry_code"))
     return merge.update_from(s, changes, ["code"]).select("code", "industry_code")
 
 
@@ -241,8 +241,9 @@ _POS = "SELECT position_id, user_id, position_date, market_value FROM positions"
 
 @query("import_snapshots_refused", "positions", sql=f"""
     SELECT position_id FROM ({_POS} WHERE position_date >= DATE '1999-01-01') b
-    WHERE (user_id, position_date) IN (SELECT (user_id, position_date) FROM positions
-                                       WHERE position_date < DATE '2000-01-01')""")
+    WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT user_id, position_date FROM positions
+                                 WHERE position_date < DATE '2000-01-01') d
+                  WHERE d.user_id = b.user_id AND d.position_date = b.position_date)""")
 def import_snapshots_refused(m: Market):
     p = m.positions.select("position_id", "user_id", "position_date", "market_value")
     _, refused = merge.import_snapshots(p.filter("position_date < DATE '2000-01-01'"),
@@ -264,7 +265,8 @@ def import_snapshots_overwrite(m: Market):
 
 @query("reimport_account_days", "ledger", sql="""
     SELECT trade_id, user_id, trade_date, quantity FROM ledger
-    WHERE (user_id, trade_date) NOT IN (SELECT (user_id, trade_date) FROM ledger WHERE trade_type = 24)
+    WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT user_id, trade_date FROM ledger WHERE trade_type = 24) d
+                      WHERE d.user_id = ledger.user_id AND d.trade_date = ledger.trade_date)
     UNION ALL SELECT trade_id, user_id, trade_date, -quantity FROM ledger WHERE trade_type = 24""")
 def reimport_account_days(m: Market):
     cols = ["trade_id", "user_id", "trade_date", "quantity"]
@@ -377,15 +379,16 @@ def non_trading_rows_dropped(m: Market):
 
 def _code_map(m: Market):
     codes = m.securities.filter("code LIKE '%.BJ'").select(
-        F.substring("code", 1, 6).cast("int").alias("old_code"),
-        (F.substring("code", 1, 6).cast("int") + F.when(F.col("code").like("%2.BJ"), 3).otherwise(920000))
+        F.substring_index("code", ".", 1).cast("long").alias("old_code"),
+        (F.substring_index("code", ".", 1).cast("long") + F.when(F.col("code").like("%2.BJ"), 3).otherwise(920000))
         .cast("string").alias("new_code"))
     return codes
 
 
-_MAP = """(SELECT code AS old, lpad(CAST(CAST(left(code, 6) AS INTEGER)
-              + CASE WHEN code LIKE '%2.BJ' THEN 3 ELSE 920000 END AS VARCHAR), 6, '0') || '.BJ' AS new
-           FROM securities WHERE code LIKE '%.BJ')"""
+_MAP = """(SELECT code AS old, lpad(CAST(n AS VARCHAR), 6, '0') || '.BJ' AS new
+           FROM (SELECT code, CAST(split_part(code, '.', 1) AS BIGINT)
+                     + CASE WHEN code LIKE '%2.BJ' THEN 3 ELSE 920000 END AS n
+                 FROM securities WHERE code LIKE '%.BJ' AND length(code) = 9) x WHERE n <= 999999)"""
 
 
 @query("code_remap", "bars_li", "securities", sql=f"""

@@ -22,9 +22,10 @@ LEDGER_AS_OF = "2001-11-04"
 
 
 def code_from(key: Column) -> Column:
-    """Six digits and a suffix by remainder: a code for any integer key."""
+    """At least six digits and a suffix by remainder: a code of its own for any integer key."""
+    digits = key.cast("string")
     suffix = F.when(key % 3 == 0, ".SH").when(key % 3 == 1, ".SZ").otherwise(".BJ")
-    return F.concat(F.lpad(key.cast("string"), 6, "0"), suffix)
+    return F.concat(F.lpad(digits, F.greatest(F.lit(6), F.length(digits)), F.lit("0")), suffix)
 
 
 class Market:
@@ -175,7 +176,7 @@ class Market:
     def indicators(self) -> DataFrame:
         """Ratios of the newest version of each quarter; eps is unknown for every fourth code."""
         s = latest_version(self.statements)
-        unknown = F.substring("code", 6, 1).isin("3", "7")
+        unknown = F.right(F.substring_index("code", ".", 1), F.lit(1)).isin("3", "7")
         return s.select(
             "code", F.col("pub_date").alias("pubDate"), F.col("stat_date").alias("statDate"),
             F.when(~unknown, round_to(F.col("net_profit") / 10000.0, 4)).alias("eps"),
@@ -228,7 +229,7 @@ class StoredMarket(Market):
 
 
 def _code(x: str) -> str:
-    return (f"(lpad(CAST({x} AS VARCHAR), 6, '0') || "
+    return (f"(lpad(CAST({x} AS VARCHAR), CAST(greatest(6, length(CAST({x} AS VARCHAR))) AS INTEGER), '0') || "
             f"CASE {x} % 3 WHEN 0 THEN '.SH' WHEN 1 THEN '.SZ' ELSE '.BJ' END)")
 
 
@@ -338,7 +339,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
               FROM lineitem GROUP BY 1, 2, 3) x"""),
     "indicators": (("statements",), """
         SELECT code, pub_date AS "pubDate", stat_date AS "statDate",
-               CASE WHEN substr(code, 6, 1) NOT IN ('3', '7')
+               CASE WHEN right(split_part(code, '.', 1), 1) NOT IN ('3', '7')
                     THEN round(net_profit / 10000.0::DOUBLE, 4) END AS eps,
                round(net_profit / nullif(total_assets, 0), 6) AS roe,
                round(total_liability / nullif(total_assets, 0), 6) AS roa

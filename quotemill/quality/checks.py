@@ -117,11 +117,12 @@ def price_completeness(securities: DataFrame, prices: DataFrame, calendar: DataF
 
 
 def abnormal_moves(prices: DataFrame, as_of: dt.date | str, limit: float = 0.5,
-                   days: int | None = 30) -> DataFrame:
+                   days: int | None = 30, least: int = 1) -> DataFrame:
+    """Issue when at least ``least`` moves of the last ``days`` exceed ``limit``."""
     moves = series.abnormal_moves(prices, as_of, limit, days)
     sample = F.concat("code", F.lit("@"), F.col("day").cast("string"), F.lit("("),
                       percent_text(F.col("change_ratio")), F.lit(")"))
-    return counted_issue(moves, sample, n=10, severity="warning", category="accuracy",
+    return counted_issue(moves, sample, n=10, least=least, severity="warning", category="accuracy",
                          table="price_data", check="abnormal_volatility",
                          description="day-over-day moves above the limit")
 

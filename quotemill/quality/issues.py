@@ -63,7 +63,7 @@ def top_samples(df: DataFrame, sample: Column, n: int = SAMPLES) -> Column:
     return top.agg(F.array_sort(F.collect_list("_s")).alias("samples")).scalar()
 
 
-def counted_issue(bad: DataFrame, sample: Column, *, n: int = SAMPLES, **labels) -> DataFrame:
-    """One issue when ``bad`` has rows: their number and some samples."""
-    counted = bad.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0)
+def counted_issue(bad: DataFrame, sample: Column, *, n: int = SAMPLES, least: int = 1, **labels) -> DataFrame:
+    """One issue when ``bad`` has at least ``least`` rows: their number and some samples."""
+    counted = bad.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     return as_issues(counted, count=F.col("n"), samples=top_samples(bad, sample, n), **labels)

@@ -34,8 +34,7 @@ THRESHOLDS = {
     "max_volatile_moves": 100,
     "max_missing_valuations": 1000,
     "ratio_limit": 1,
-    "sample_size_quick": 100,
-    "sample_size_standard": 500,
+    "sample_size": None,  # all securities; a number judges a repeatable sample of them
 }
 
 KEY_FIELDS = {

@@ -56,13 +56,13 @@ def run_checks(tables: Mapping[str, DataFrame], as_of: dt.date | str, level: str
     if "price_data" in judged:
         parts.append(checks.recent_breadth(prices, as_of, t["min_recent_codes"]))
         if securities is not None:
-            size = t[f"sample_size_{level}"]
             parts.append(checks.series_completeness(
-                securities, prices, calendar, as_of, size, t["completion_threshold"], seed))
+                securities, prices, calendar, as_of, t["sample_size"], t["completion_threshold"], seed))
         if level == "standard":
             scope = prices if securities is None else cov.within_listing(
                 prices.filter(F.col("day") >= F.date_sub(F.lit(as_of).cast("date"), 30)), securities)
-            parts.append(checks.abnormal_moves(scope, as_of, t["price_change_limit"]))
+            parts.append(checks.abnormal_moves(scope, as_of, t["price_change_limit"],
+                                               least=t["max_volatile_moves"]))
     if "valuation_data" in judged and prices is not None and securities is not None:
         parts.append(checks.alignment_with_price(prices, tables["valuation_data"], securities,
                                                  as_of, t["max_missing_valuations"]))

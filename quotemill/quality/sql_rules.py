@@ -122,7 +122,7 @@ def _one_rule(spark, rule, table, category, views, context, as_of, seed) -> list
         prices = views[table]
         issue = series_completeness(
             views["stock_list"], prices, trading_calendar(prices), as_of,
-            int(context["sample_size"]), float(rule.get("completion_threshold", 0.95)), seed)
+            context["sample_size"], float(rule.get("completion_threshold", 0.95)), seed)
         return [issue.withColumn("severity", F.lit(rule.get("severity", "warning")))]
     raise ValueError(f"rule {rule['name']} has neither sql, sql_template nor check_type")
 
@@ -136,7 +136,7 @@ def run_rule_file(rules: Mapping, views: Mapping[str, DataFrame], as_of: str, le
     config = rules.get("global_config", {})
     levels = config.get("check_levels", {})
     context = {**config.get("thresholds", {}), "as_of": as_of,
-               "sample_size": levels.get(level, {}).get("sample_size", 100)}
+               "sample_size": levels.get(level, {}).get("sample_size")}
     listed = rules["tables"]
     unknown = [t for t in (tables or []) if t not in listed]
     if unknown:

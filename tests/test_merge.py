@@ -123,3 +123,10 @@ def test_partition_overwrite_touches_only_its_partitions(spark):
     assert rows(spark.read.parquet(path), "k", "p", "v") == [
         ("a", 1, 1), ("b", 2, 9), ("c", 2, 2), ("d", 2, 9)]
     assert sorted(f for f in os.listdir(f"{path}/p=1") if f.endswith(".parquet")) == first
+
+
+def test_map_rows_beyond_six_digits_are_rejected(spark):
+    df = spark.createDataFrame([("430001.BJ",), ("000001.BJ",)], "code string")
+    m = spark.createDataFrame([("4300017", "1"), ("1", "920001")], "old_code string, new_code string")
+    assert rows(merge.remap_codes(df, m), "code") == [("430001.BJ",), ("920001.BJ",)]
+    assert rows(merge.code_map_rejects(m), "old_code") == [("4300017",)]

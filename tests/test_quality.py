@@ -13,7 +13,7 @@ from quotemill.session import shared_dir
 
 AS_OF = "2024-01-31"
 D0 = dt.date(2024, 1, 1)
-LOW = {"user_data_start_date": "2024-01-01", "min_active_securities": 2, "min_recent_codes": 2,
+LOW = {"max_volatile_moves": 1, "user_data_start_date": "2024-01-01", "min_active_securities": 2, "min_recent_codes": 2,
        "min_quarter_codes": 2, "max_extreme_prices": 1, "max_extreme_valuations": 1,
        "max_invalid_ratios": 1, "max_missing_valuations": 1}
 
@@ -208,3 +208,13 @@ def test_rule_file(clean, spark):
                    "share": ("warning", 31 + 27 * 2)}
     with pytest.raises(ValueError):
         sql_rules.run_rule_file(RULES, t, AS_OF, tables=["nope"])
+
+
+def test_volatile_moves_are_allowed_up_to_the_limit(clean):
+    day = F.dayofmonth("day")
+    t = {**clean, "price_data": clean["price_data"].withColumn(
+        "close", F.when(day.isin(20) & F.col("code").endswith("SZ"), 20.0).otherwise(F.col("close")))}
+    key = ("price_data", "abnormal_volatility")
+    assert key in found(t)
+    issues = runner.run_checks(t, AS_OF, thresholds={**LOW, "max_volatile_moves": 100})
+    assert key not in {(r.table_name, r.check_name) for r in issues.collect()}

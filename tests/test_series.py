@@ -150,3 +150,18 @@ def test_gap_fill_days(spark):
     b = spark.createDataFrame([("A", D0), ("A", D0 + dt.timedelta(days=5))], "code string, day date")
     assert rows(series.gap_fill_days(b, calendar(spark, 0, 1, 4, 5))) == [
         ("A", D0 + dt.timedelta(days=1)), ("A", D0 + dt.timedelta(days=4))]
+
+
+def test_codes_of_any_length_stay_apart(spark):
+    from quotemill.plans.market import code_from
+
+    keys = [12345, 100000, 1000000, 1000003, 1234567890, 1234567893]
+    codes = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(code_from(F.col("k"))).collect()]
+    assert len(set(codes)) == len(keys)
+    assert codes[0].startswith("012345.") and codes[4].startswith("1234567890.")
+
+
+def test_money_is_price_times_size(spark):
+    prints = spark.createDataFrame([(1, "2024-01-02 10:00:00", 3.125, 100.0), (1, "2024-01-02 11:00:00", 4.001, 200.0)],
+                                   "c int, ts string, p double, n double").withColumn("ts", F.to_timestamp("ts"))
+    assert series.daily_bars(prints, "c", "ts", "p", size="n").first()["money"] == 1112.7
