@@ -18,6 +18,7 @@ ignored. Numbers of sequences have no meaning beyond identity.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -34,7 +35,7 @@ from quotemill.llm.common import numbered, stored
 
 MAX_TOKENS, END_ID = 2048, 0
 #: Words kept with their ids by a worker; beyond that it starts anew (memory only, never results).
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 _SPLIT = re.compile(r"[ \t\r\n]+")
 _STOPS = re.compile(r"(?<=[a-z])([.,])(?=[ \t\r\n])")
@@ -69,7 +70,7 @@ class WordEncoder:
             ids = [t.id for t in self.model.tokenize(spelled)]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
