@@ -75,7 +75,7 @@ def mod97(code: Column) -> Column:
         v = F.ascii(c)
         return F.when(v >= 65, (rest * 100 + v - 55) % 97).otherwise((rest * 10 + v - 48) % 97)
 
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), step) == 1
+    return F.aggregate(F.split(turned, "(?!^)(?!$)"), F.lit(0), step) == 1
 
 
 def _confirmed(kind: Column, found: Column) -> Column:

@@ -23,7 +23,6 @@ an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from math import comb
 
 import numpy as np
@@ -200,10 +199,10 @@ def links(prints: DataFrame, distance: int = 3, choices: tuple[int, ...] = (2, 3
     keys = prints.select("fp", "node", F.inline(own))
     wide = [(k, bits, t) for k, (bits, t) in enumerate(probed) if t > 0]
     if wide:
-        visits = reduce(lambda a, b: F.concat(a, b), [
-            F.transform(_visited(bits, t), lambda v, k=k: F.struct(F.lit(k).cast("int").alias("k"), v.alias("v"),
-                                                                   F.lit(False).alias("own")))
-            for k, bits, t in wide])
+        def visit(k: int):  # one argument only: a second one would be taken for the element's index
+            return lambda v: F.struct(F.lit(k).cast("int").alias("k"), v.alias("v"), F.lit(False).alias("own"))
+
+        visits = F.concat(*[F.transform(_visited(bits, t), visit(k)) for k, bits, t in wide])
         keys = keys.unionByName(prints.select("fp", "node", F.inline(visits)))
     # parts: a key's rows fall into ceil(count / PART) parts by hash; every pair of parts is one list
     sizes = (keys.groupBy("k", "v").agg(F.count("*").alias("n"), F.bool_or("own").alias("owned"))
