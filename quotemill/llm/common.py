@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import os
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotemill.session import stored
 
-__all__ = ["stored", "files_for", "numbered", "connected", "salts"]
+__all__ = ["stored", "files_for", "numbered", "connected", "salts", "workers_import"]
 
 #: Rows of a helper table in one file: enough to keep tasks small, few enough files.
 ROWS_PER_FILE = 250_000
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Python workers find this package where the driver does, whatever folder the driver was started in."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def files_for(rows: int) -> int:
     return max(1, -(-rows // ROWS_PER_FILE))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.llm import chat, decontaminate, html_text, langid, line_dedup, nearest, packing, pii, sharding, simhash
+from quotemill.llm.common import workers_import
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -16,7 +17,11 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(build: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = build
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            workers_import(spark)
+            return build(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             ORACLE[name] = sql
         return build
