@@ -99,13 +99,25 @@ def _as_text(c: Column, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
-def _differs(a: Column, b: Column, dtype: T.DataType, atol: float, rtol: float) -> Column:
-    if isinstance(dtype, T.NumericType):
-        x, y = a.cast("double"), b.cast("double")
-        close = x.eqNullSafe(y) | F.coalesce(
+def _differs(x: Column, y: Column, numeric: bool, atol: float, rtol: float) -> Column:
+    same = x.eqNullSafe(y)
+    if numeric:
+        x, y = x.cast("double"), y.cast("double")
+        same = x.eqNullSafe(y) | F.coalesce(
             F.abs(x - y) <= F.lit(atol) + F.lit(rtol) * F.abs(y), F.lit(False))
-        return ~close
-    return ~_as_text(a, dtype).eqNullSafe(_as_text(b, dtype))
+    return ~same
+
+
+def _cell(x: Column, shift: float, atol: float, rtol: float) -> Column:
+    """Number of the grid cell of ``x``: about 100 tolerances wide, in proportion to large values.
+
+    Values within the tolerance of each other share the cell in at least one of the grids that are
+    half a cell apart (``shift`` 0 and 0.5).
+    """
+    width = max(100 * rtol, 1e-12)
+    unit = max(100 * atol, 1e-15) / width
+    x = x.cast("double")
+    return F.rint(F.signum(x) * F.asinh(F.abs(x) / unit) / width + shift) + 0.0
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str],
@@ -115,32 +127,46 @@ def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str],
 
     ``issue`` is ``left_only`` or ``right_only`` (key on one side), ``row_count`` (different
     number of rows for the key), ``repeated`` (same number above one, contents differ) or
-    ``value`` (one cell). Each side is first folded to one row per key, so a key with very
-    many rows is combined on the map side and never compared pair by pair.
+    ``value`` (one cell). Both sides are folded together to one row per key in one shuffle, so a
+    key with very many rows is combined on the map side and never compared pair by pair, and NULL
+    keys meet each other.
+
+    Contents of repeated keys are compared by sums of row hashes, numbers by grid cell: a
+    difference within the tolerance is no issue, and one below some 100 tolerances may pass.
     """
     keys = list(keys)
     shared = [c for c in left.columns
               if c in right.columns and c not in keys and c not in skip]
     types = {f.name: f.dataType for f in left.schema.fields}
+    numeric = {c: isinstance(types[c], T.NumericType) for c in shared}
+
+    def side(df: DataFrame, is_left: bool) -> DataFrame:
+        own = {f.name: f.dataType for f in df.schema.fields}
+
+        def value(c: str) -> Column:
+            if not numeric[c]:
+                return _as_text(F.col(c), own[c])
+            return F.col(c) if isinstance(own[c], T.NumericType) else F.col(c).try_cast("double")
+
+        return df.select(*keys, F.lit(is_left).alias("_left"),
+                         *[value(c).alias(f"_c{i}") for i, c in enumerate(shared)])
+
+    def contents(shift: float) -> Column:
+        cells = [_cell(F.col(f"_c{i}"), shift, atol, rtol) if numeric[c] else F.col(f"_c{i}")
+                 for i, c in enumerate(shared)]
+        # A NULL does not enter the hash, so its place is hashed as well.
+        nulls = [F.col(f"_c{i}").isNull() for i in range(len(shared))]
+        return F.xxhash64(*cells, *nulls).cast("decimal(20,0)") if shared else F.lit(0).cast("decimal(20,0)")
+
+    def of(is_left: bool, c: Column) -> Column:
+        return F.when(F.col("_left") == is_left, c)
 
-    def fold(df: DataFrame, tag: str) -> DataFrame:
-        contents = F.xxhash64(*[_as_text(F.col(c), types[c]) for c in shared]) if shared \
-            else F.lit(0).cast("bigint")
-        return df.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias(f"{tag}_n"),
-            F.sum(contents.cast("decimal(20,0)")).alias(f"{tag}_hash"),
-            *[F.max(c).alias(f"{tag}_{i}") for i, c in enumerate(shared)])
-
-    lf = fold(left, "l")
-    rf = fold(right, "r").withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)})
-    # NULL keys must meet each other, as the row comparison of two sources expects.
-    cond = None
-    for i, k in enumerate(keys):
-        eq = F.col(k).eqNullSafe(F.col(f"_key_{i}"))
-        cond = eq if cond is None else cond & eq
-    both = lf.join(rf, cond, "full_outer")
-    key_cols = [F.coalesce(F.col(k), F.col(f"_key_{i}")).alias(k) for i, k in enumerate(keys)]
-    single = (F.col("l_n") == 1) & (F.col("r_n") == 1)
+    both = side(left, True).unionByName(side(right, False)).groupBy(*keys).agg(
+        *[F.count(of(s, F.lit(1))).alias(f"{t}_n") for s, t in ((True, "l"), (False, "r"))],
+        *[F.sum(of(s, contents(shift))).alias(f"{t}_hash{g}")
+          for s, t in ((True, "l"), (False, "r")) for g, shift in enumerate((0.0, 0.5))],
+        *[F.max(of(s, F.col(f"_c{i}"))).alias(f"{t}_{i}")
+          for s, t in ((True, "l"), (False, "r")) for i in range(len(shared))])
 
     def issue(kind: str, column: Column, lv: Column, rv: Column) -> Column:
         return F.struct(F.lit(kind).alias("issue"), column.cast("string").alias("column_name"),
@@ -148,19 +174,20 @@ def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str],
                         rv.cast("string").alias("right_value"))
 
     none = F.lit(None).cast("string")
+    l_n, r_n = F.col("l_n"), F.col("r_n")
+    in_both = (l_n > 0) & (r_n > 0)
     found = [
-        F.when(F.col("r_n").isNull(), issue("left_only", none, F.col("l_n"), none)),
-        F.when(F.col("l_n").isNull(), issue("right_only", none, none, F.col("r_n"))),
-        F.when(F.col("l_n") != F.col("r_n"), issue("row_count", none, F.col("l_n"), F.col("r_n"))),
-        F.when((F.col("l_n") == F.col("r_n")) & (F.col("l_n") > 1)
-               & ~F.col("l_hash").eqNullSafe(F.col("r_hash")),
-               issue("repeated", none, F.col("l_n"), F.col("r_n"))),
+        F.when(r_n == 0, issue("left_only", none, l_n, none)),
+        F.when(l_n == 0, issue("right_only", none, none, r_n)),
+        F.when(in_both & (l_n != r_n), issue("row_count", none, l_n, r_n)),
+        F.when((l_n == r_n) & (l_n > 1) & (F.col("l_hash0") != F.col("r_hash0"))
+               & (F.col("l_hash1") != F.col("r_hash1")), issue("repeated", none, l_n, r_n)),
     ]
     for i, c in enumerate(shared):
         a, b = F.col(f"l_{i}"), F.col(f"r_{i}")
-        found.append(F.when(single & _differs(a, b, types[c], atol, rtol),
-                            issue("value", F.lit(c), _as_text(a, types[c]), _as_text(b, types[c]))))
-    return both.select(*key_cols, F.explode(F.array_compact(F.array(*found))).alias("_i")) \
+        found.append(F.when((l_n == 1) & (r_n == 1) & _differs(a, b, numeric[c], atol, rtol),
+                            issue("value", F.lit(c), a, b)))
+    return both.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("_i")) \
         .select(*keys, "_i.*")
 
 

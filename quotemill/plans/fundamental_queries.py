@@ -148,3 +148,15 @@ def reconcile_ledger_totals(m: Market):
     right = m.ledger.filter("trade_type = 23").select(*cols)
     return fun.reconcile(left, right, ["trade_id"]).groupBy("issue").agg(
         F.count(F.lit(1)).alias("n"))
+
+
+@query("reconcile_repeated_keys", "ledger", sql="""
+    SELECT user_id, count(*) AS n FROM ledger GROUP BY user_id
+    HAVING count(*) > 1 AND count(*) FILTER (user_id LIKE '%7') > 0""")
+def reconcile_repeated_keys(m: Market):
+    """Users with many rows on both sides; only the amounts of some of them differ beyond the tolerance."""
+    left = m.ledger.select("user_id", "trade_id", "quantity", "amount")
+    changed = F.when(F.col("user_id").endswith("7"), F.col("amount") + 1.0).otherwise(F.col("amount") * (1 + 1e-12))
+    right = left.withColumn("amount", changed)
+    return fun.reconcile(left, right, ["user_id"]).filter("issue = 'repeated'").select(
+        "user_id", F.col("left_value").cast("bigint").alias("n"))

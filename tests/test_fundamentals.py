@@ -86,3 +86,18 @@ def test_missing_columns_and_checks(spark):
     v = spark.createDataFrame([("A", Q, 1.0, 1000.0), ("B", Q, 2.0, 1000.0)],
                               "code string, day date, market_cap double, capitalization double")
     assert rows(fun.market_cap_errors(p, v), "code") == [("B",)]
+
+
+def test_reconcile_repeated_keys_within_the_tolerance(spark):
+    ints = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 2)], "k string, v int")
+    near = spark.createDataFrame([("a", 2.0), ("a", 1.0), ("b", 1.0), ("b", 2.0000000001)], "k string, v double")
+    assert rows(fun.reconcile(ints, near, ["k"])) == []
+    assert rows(fun.reconcile(near, ints, ["k"])) == []
+    far = spark.createDataFrame([("a", 2.0), ("a", 1.0), ("b", 1.0), ("b", None)], "k string, v double")
+    assert rows(fun.reconcile(ints, far, ["k"]), "k", "issue") == [("b", "repeated")]
+
+
+def test_reconcile_shuffles_once(spark):
+    t = spark.createDataFrame([("a", 1.0)], "k string, v double")
+    plan = fun.reconcile(t, t, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
