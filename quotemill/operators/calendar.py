@@ -13,17 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.dates import day as as_day
+from quotemill.operators.dated import date_between
 
 
 def trading_calendar(prices: DataFrame, start: dt.date | str | None = None,
                      end: dt.date | str | None = None, col: str = "day") -> DataFrame:
-    """Distinct trading days, one column ``day``."""
-    days = prices.select(F.col(col).alias("day")).filter(F.col("day").isNotNull())
-    if start is not None:
-        days = days.filter(F.col("day") >= as_day(start))
-    if end is not None:
-        days = days.filter(F.col("day") <= as_day(end))
-    return days.distinct()
+    """Distinct trading days, one column ``day`` of type DATE, whatever the type of ``col``."""
+    rows = date_between(prices, col, start, end)
+    return rows.select(F.col(col).cast("date").alias("day")).filter(F.col("day").isNotNull()).distinct()
 
 
 def numbered(calendar: DataFrame) -> DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.codes import is_active
 from quotemill.functions.dates import HISTORY_START, due_report_quarter
 from quotemill.functions.dates import day as as_day
 from quotemill.functions.values import round_to
-from quotemill.operators.calendar import trading_days_between
+from quotemill.operators.calendar import dense_index, numbered, trading_days_between
+from quotemill.operators.dated import date_between, dates_in
 from quotemill.operators.scan import active_securities, for_codes
 
 
@@ -99,13 +100,13 @@ def load_summary(per_code: DataFrame) -> DataFrame:
 
 def codes_with_recent_data(df: DataFrame, since: dt.date | str, date_col: str = "day",
                            approximate: bool = False) -> DataFrame:
-    rows = df.filter(F.col(date_col) >= as_day(since))
+    rows = date_between(df, date_col, since)
     counter = F.approx_count_distinct if approximate else F.count_distinct
     return rows.agg(counter("code").alias("n_codes"))
 
 
 def rows_on_dates(df: DataFrame, dates: Sequence[dt.date | str], date_col: str) -> DataFrame:
-    return count_by(df.filter(F.col(date_col).isin([as_day(d) for d in dates])), date_col)
+    return count_by(dates_in(df, date_col, dates), date_col)
 
 
 def reports_per_quarter(df: DataFrame, since: dt.date | str, stat_col: str = "statDate") -> DataFrame:
@@ -169,25 +170,36 @@ def missing_on_days(securities: DataFrame, prices: DataFrame,
         "code", "start_date", "end_date", F.explode(F.array(*wanted)).alias("day")).filter(
         (F.col("start_date") <= F.col("day"))
         & (F.col("end_date").isNull() | (F.col("end_date") > F.col("day")))).select("code", "day")
-    have = prices.filter(F.col("day").isin(wanted)).select("code", "day")
+    have = dates_in(prices, "day", days).select("code", "day")
     return expected.join(have, ["code", "day"], "left_anti")
 
 
 def missing_trading_days(securities: DataFrame, prices: DataFrame, calendar: DataFrame) -> DataFrame:
     """Every (code, day) a security was active on a trading day without a price.
 
-    Each security opens its own dates, so no product of the two tables is formed.
+    Days are told by number. A security's bars, with one mark before and one after its life, are put in
+    order; the missing days are the holes between neighbours. Only missing days are ever opened.
     """
     first, last = calendar.agg(F.min("day")).scalar(), calendar.agg(F.max("day")).scalar()
+    dense = dense_index(calendar)
+    lo = dense.select(F.col("date").alias("_from"), (
+        F.col("idx") - F.col("is_open").cast("int") + 1).alias("_lo"))
+    hi = dense.select(F.col("date").alias("_to"), F.col("idx").alias("_hi"))
     life = securities.select(
         "code", F.greatest(F.col("start_date"), first).alias("_from"),
-        F.least(F.coalesce(F.date_sub("end_date", 1), last), last).alias("_to"))
-    open_days = F.broadcast(calendar.select("day"))
-    expected = (life.filter(F.col("_from") <= F.col("_to"))
-                .select("code", F.explode(F.sequence("_from", "_to")).alias("day"))
-                .join(open_days, "day", "left_semi"))
-    return expected.select("code", "day").join(prices.select("code", "day"), ["code", "day"],
-                                               "left_anti")
+        F.least(F.coalesce(F.date_sub("end_date", 1), last), last).alias("_to")) \
+        .join(F.broadcast(lo), "_from").join(F.broadcast(hi), "_to") \
+        .filter(F.col("_lo") <= F.col("_hi")).select("code", "_lo", "_hi").distinct()
+    open_days = F.broadcast(numbered(calendar))
+    held = prices.select("code", "day").join(open_days, "day").select("code", "idx").distinct()
+    inside = held.join(life, "code").filter(F.col("idx").between(F.col("_lo"), F.col("_hi"))) \
+        .select("code", "_lo", "_hi", F.col("idx").cast("bigint").alias("idx"))
+    ends = life.select("code", "_lo", "_hi", F.explode(F.array(F.col("_lo") - 1, F.col("_hi") + 1)).alias("idx"))
+    order = Window.partitionBy("code", "_lo", "_hi").orderBy("idx")
+    holes = inside.unionByName(ends).withColumn("_next", F.lead("idx").over(order)) \
+        .filter(F.col("_next") > F.col("idx") + 1) \
+        .select("code", F.explode(F.sequence(F.col("idx") + 1, F.col("_next") - 1)).alias("idx"))
+    return holes.join(open_days, "idx").select("code", "day")
 
 
 def active_per_day(securities: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -195,8 +207,6 @@ def active_per_day(securities: DataFrame, calendar: DataFrame) -> DataFrame:
 
     Listings add one, delistings take one off; only per-date counts are ordered.
     """
-    from pyspark.sql import Window
-
     starts = securities.filter(F.col("start_date").isNotNull()) \
         .groupBy(F.col("start_date").alias("day")).agg(F.count(F.lit(1)).alias("d"))
     ends = securities.filter(F.col("end_date").isNotNull() & F.col("start_date").isNotNull()) \

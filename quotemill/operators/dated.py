@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.functions.dates import day as as_day
@@ -22,3 +25,11 @@ def date_between(df: DataFrame, col: str, start=None, end=None) -> DataFrame:
         df = df.filter(F.col(col) <= as_day(end))
         df = df.filter(F.col(PARTITION_YEAR) <= F.year(as_day(end))) if by_year else df
     return df
+
+
+def dates_in(df: DataFrame, col: str, dates: Sequence[dt.date | str | Column]) -> DataFrame:
+    """Rows on any of the dates. Tables stored by year are cut to those years' folders as well."""
+    wanted = [as_day(d) for d in dates]
+    if PARTITION_YEAR in df.columns and col in _FOLDER_DATES:
+        df = df.filter(F.col(PARTITION_YEAR).isin([F.year(d) for d in wanted]))
+    return df.filter(F.col(col).isin(wanted))

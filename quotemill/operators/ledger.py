@@ -87,7 +87,7 @@ def position_book(positions: DataFrame, on: dt.date | str | None = None,
     """Rows of one date, or of each user's newest date when none is given."""
     rows = positions if user_id is None else positions.filter(F.col("user_id") == user_id)
     if on is not None:
-        return rows.filter(F.col("position_date") == as_day(on))
+        return date_between(rows, "position_date", on, on)
     newest = rows.groupBy("user_id").agg(F.max("position_date").alias("position_date"))
     return rows.join(newest, ["user_id", "position_date"], "left_semi")
 

@@ -18,6 +18,7 @@ from quotemill.functions.dates import DAILY_BASIC_START, HISTORY_START, window_e
 from quotemill.functions.dates import day as as_day
 from quotemill.operators.calendar import off_calendar, on_calendar
 from quotemill.operators.coverage import latest_dates
+from quotemill.operators.dated import date_between
 from quotemill.operators.ledger import split_valid
 
 
@@ -44,8 +45,8 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def insert_new(existing: DataFrame, new: DataFrame, keys: Sequence[str],
-               order: Sequence[str] | None = None) -> DataFrame:
-    """Rows to append: one per key of the batch, without keys the table has."""
+               order: Sequence[str | Column] | None = None) -> DataFrame:
+    """Rows to append: one per key of the batch (the first in ``order``), without keys the table has."""
     return one_per_key(new, keys, order).join(existing.select(*keys), list(keys), "left_anti") \
         .select(*new.columns)
 
@@ -57,8 +58,11 @@ def insert_or_ignore(existing: DataFrame, new: DataFrame, keys: Sequence[str],
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str],
-           order: Sequence[str] | None = None) -> DataFrame:
-    """Table after an insert in which the new row wins (the last of the batch)."""
+           order: Sequence[str | Column]) -> DataFrame:
+    """Table after an insert in which the new row wins: the last of the batch in ``order``.
+
+    Rows of a frame have no order of their own, so the caller names what tells late from early.
+    """
     fresh = one_per_key(new, keys, order, keep="last")
     kept = existing.join(fresh.select(*keys), list(keys), "left_anti").select(*existing.columns)
     return kept.unionByName(fresh, allowMissingColumns=True)
@@ -188,13 +192,13 @@ def batch_window(table_df: DataFrame, feed: DataFrame, as_of: dt.date | str, dat
                  daily_basic: bool = False) -> DataFrame:
     """Feed rows newer than the table's newest date, up to ``as_of``; or one given day."""
     if single_day is not None:
-        return feed.filter(F.col(date_col) == as_day(single_day))
+        return date_between(feed, date_col, single_day, single_day)
     floor = F.lit(DAILY_BASIC_START if daily_basic else HISTORY_START)
-    rows = feed.filter(F.col(date_col) <= as_day(as_of))
+    rows = date_between(feed, date_col, end=as_of)
     if full:
-        return rows.filter(F.col(date_col) >= floor)
+        return date_between(rows, date_col, floor)
     newest = table_df.agg(F.max(date_col)).scalar()
-    return rows.filter(F.col(date_col) >= F.coalesce(F.date_add(newest, 1), floor))
+    return date_between(rows, date_col, F.coalesce(F.date_add(newest, 1), floor))
 
 
 def route_feeds(primary: DataFrame, secondary: DataFrame, table: str = "price_data") -> DataFrame:

@@ -79,7 +79,7 @@ def accounts(df: DataFrame, user_id=None, info_date=None, start=None, end=None)
 def recent(df: DataFrame, as_of: dt.date | str, days: int, date_col: str = "trade_date") -> DataFrame:
     if not 1 <= days <= 365:
         raise ValueError("days must be from 1 to 365")
-    return df.filter(F.col(date_col).between(F.date_sub(as_day(as_of), days), as_day(as_of)))
+    return date_between(df, date_col, F.date_sub(as_day(as_of), days), as_of)
 
 
 def active_securities(df: DataFrame, as_of: dt.date | str, listed_by: bool = False,

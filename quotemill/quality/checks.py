@@ -15,6 +15,7 @@ from quotemill.operators import calendar as cal
 from quotemill.operators import coverage as cov
 from quotemill.operators import ledger as led
 from quotemill.operators import scan, series
+from quotemill.operators.dated import date_between, dates_in
 from quotemill.quality.issues import (
     as_issues,
     counted_issue,
@@ -128,7 +129,7 @@ def abnormal_moves(prices: DataFrame, as_of: dt.date | str, limit: float = 0.5,
 
 
 def recent_breadth(prices: DataFrame, as_of: dt.date | str, minimum: int, days: int = 3) -> DataFrame:
-    figure = prices.filter(F.col("day") >= F.date_sub(as_day(as_of), days)).agg(
+    figure = date_between(prices, "day", F.date_sub(as_day(as_of), days)).agg(
         F.count_distinct("code").alias("n"))
     return at_least(figure, "n", minimum, severity="warning", category="completeness",
                     table="price_data", check="recent_data_availability",
@@ -164,7 +165,7 @@ def price_day_coverage(securities: DataFrame, prices: DataFrame,
         (F.col("start_date") <= F.col("day"))
         & (F.col("end_date").isNull() | (F.col("end_date") > F.col("day")))) \
         .groupBy("day").agg(F.count(F.lit(1)).alias("expected"))
-    actual = prices.filter(F.col("day").isin(wanted)).groupBy("day").agg(
+    actual = dates_in(prices, "day", days).groupBy("day").agg(
         F.count_distinct("code").alias("actual"))
     figures = expected.join(actual, "day", "left").select(
         "day", "expected", F.coalesce("actual", F.lit(0)).alias("actual"))
@@ -202,7 +203,7 @@ def price_day_sampled(securities: DataFrame, prices: DataFrame, days: Sequence[d
 
 
 def price_day_logic(prices: DataFrame, days: Sequence[dt.date | str]) -> DataFrame:
-    bad = prices.filter(F.col("day").isin([as_day(d) for d in days])).filter(
+    bad = dates_in(prices, "day", days).filter(
         "high < low OR open < 0 OR close < 0 OR high < 0 OR low < 0 OR volume < 0")
     per_day = bad.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
     return as_issues(per_day, severity="critical", category="accuracy", table="price_data",
@@ -217,9 +218,7 @@ def daily_alignment(prices: DataFrame, other: DataFrame, table: str, other_date:
     """Days on which over 10% of the priced codes lack a row in ``other`` (over 50% critical)."""
     rows = prices if skip_suffix is None else prices.filter(~F.col("code").endswith(skip_suffix))
     if days is not None:
-        wanted = [as_day(d) for d in days]
-        rows = rows.filter(F.col("day").isin(wanted))
-        other = other.filter(F.col(other_date).isin(wanted))
+        rows, other = dates_in(rows, "day", days), dates_in(other, other_date, days)
     totals = rows.groupBy("day").agg(F.count(F.lit(1)).alias("total"))
     missing = cov.prices_without(rows, other, other_date, skip_suffix=None)
     per_day = missing.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
@@ -372,7 +371,8 @@ def snapshot_gaps_per_user(positions: DataFrame, max_gap: int = 7) -> DataFrame:
 def alignment_with_price(prices: DataFrame, valuation: DataFrame, securities: DataFrame,
                          as_of: dt.date | str, limit: int = 1000, days: int = 30) -> DataFrame:
     """Recent prices inside listing life without a valuation; an issue from ``limit`` on."""
-    recent = prices.filter(F.col("day") >= F.date_sub(as_day(as_of), days))
+    since = F.date_sub(as_day(as_of), days)
+    recent, valuation = date_between(prices, "day", since), date_between(valuation, "day", since)
     bad = cov.prices_without(cov.within_listing(recent, securities), valuation, skip_suffix=None)
     return at_most(bad.agg(F.count(F.lit(1)).alias("n")), "n", limit, severity="warning",
                    category="completeness", table="valuation_data", check="data_alignment_with_price",
@@ -383,11 +383,10 @@ def account_tables_on(dates: Sequence[dt.date | str], transactions: DataFrame |
                       positions: DataFrame | None = None, accounts: DataFrame | None = None,
                       spark=None) -> DataFrame:
     """The account tables on chosen dates: nothing there, or rows that contradict themselves."""
-    wanted = [as_day(d) for d in dates]
     parts = []
 
     def look(df, table, date_col, bad_rule, check, severity, may_be_empty):
-        hit = df.filter(F.col(date_col).isin(wanted)).agg(
+        hit = dates_in(df, date_col, dates).agg(
             F.count(F.lit(1)).alias("n"), F.count_if(F.expr(bad_rule)).alias("bad"))
         if not may_be_empty:
             parts.append(as_issues(

@@ -8,8 +8,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotemill.functions.dates import day as as_day
 from quotemill.operators import coverage as cov
 from quotemill.operators.calendar import trading_calendar
+from quotemill.operators.dated import date_between
 from quotemill.quality import checks
 from quotemill.quality.issues import union_issues
 from quotemill.quality.rules import UNIQUE_KEYS, judge_rows, rules_at, standard_rules, statement_rules
@@ -60,7 +62,7 @@ def run_checks(tables: Mapping[str, DataFrame], as_of: dt.date | str, level: str
                 securities, prices, calendar, as_of, t["sample_size"], t["completion_threshold"], seed))
         if level == "standard":
             scope = prices if securities is None else cov.within_listing(
-                prices.filter(F.col("day") >= F.date_sub(F.lit(as_of).cast("date"), 30)), securities)
+                date_between(prices, "day", F.date_sub(as_day(as_of), 30)), securities)
             parts.append(checks.abnormal_moves(scope, as_of, t["price_change_limit"],
                                                least=t["max_volatile_moves"]))
     if "valuation_data" in judged and prices is not None and securities is not None:

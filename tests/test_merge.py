@@ -25,9 +25,17 @@ def test_insert_or_ignore_is_idempotent(spark):
 
 def test_upsert_is_idempotent_and_last_wins(spark):
     old, new = kv(spark, ("a", 1), ("z", 0)), kv(spark, ("a", 8), ("a", 9), ("b", 3))
-    once = merge.upsert(old, new, ["k"])
+    once = merge.upsert(old, new, ["k"], ["v"])
     assert rows(once) == [("a", 9), ("b", 3), ("z", 0)]
-    assert rows(merge.upsert(once, new, ["k"])) == rows(once)
+    assert rows(merge.upsert(once, new, ["k"], ["v"])) == rows(once)
+
+
+def test_upsert_last_is_told_by_the_order_not_by_the_values(spark):
+    old = spark.createDataFrame([("a", 1, 0)], "k string, v int, seq int")
+    new = spark.createDataFrame([("a", 9, 1), ("a", 2, 2), ("a", 5, 0)], "k string, v int, seq int")
+    assert rows(merge.upsert(old, new, ["k"], ["seq"])) == [("a", 2, 2)]
+    with pytest.raises(TypeError):
+        merge.upsert(old, new, ["k"])
 
 
 def test_one_per_key_with_a_hot_key_does_not_depend_on_partitioning(spark, market):
@@ -118,7 +126,7 @@ def test_partition_overwrite_touches_only_its_partitions(spark):
     first = sorted(f for f in os.listdir(f"{path}/p=1") if f.endswith(".parquet"))
     stored = spark.read.parquet(path)
     new = spark.createDataFrame([("b", 2, 9), ("d", 2, 9)], "k string, p int, v int")
-    state = merge.upsert(merge.touched_partitions(stored, new, ["p"]), new, ["k"])
+    state = merge.upsert(merge.touched_partitions(stored, new, ["p"]), new, ["k"], ["v"])
     merge.write_partitions(state, path, ["p"])      # reads the path it writes
     assert rows(spark.read.parquet(path), "k", "p", "v") == [
         ("a", 1, 1), ("b", 2, 9), ("c", 2, 2), ("d", 2, 9)]

@@ -227,3 +227,31 @@ def test_numeric_feed(spark):
     assert dict(landed.numeric_feed(df).dtypes)["roe"] == "double"
     s = landed.statement_feed(df.withColumn("report_date", F.lit("2024/01/10")))
     assert rows(s, "code", "stat_date") == [("600000.SH", D)]
+
+
+def test_date_filters_skip_the_folders_of_other_years(spark, market):
+    from quotemill.operators import calendar, coverage, ledger, merge, scan
+    from quotemill.quality import checks
+
+    base = shared_dir(spark, "years")
+    px = market.bars_ev.select("code", "day", *[F.col("close").alias(c) for c in ("open", "high", "low", "close", "volume")])
+    tables.write_table(px, base, "price_data")
+    tables.write_table(px.select("code", "day", F.col("close").alias("market_cap")), base, "valuation_data")
+    tables.write_table(market.positions, base, "user_positions")
+    p, v = tables.read_table(spark, base, "price_data"), tables.read_table(spark, base, "valuation_data")
+    held = tables.read_table(spark, base, "user_positions")
+    sec, day, on = market.securities, "2024-01-10", ["2024-01-10", "2024-01-11"]
+    plans = {
+        "recent_breadth": checks.recent_breadth(p, day, 1), "day_coverage": checks.price_day_coverage(sec, p, on),
+        "day_logic": checks.price_day_logic(p, on), "alignment": checks.daily_alignment(p, v, "valuation_data", days=on),
+        "alignment_recent": checks.alignment_with_price(p, v, sec, day),
+        "account_tables": checks.account_tables_on(on, positions=held), "recent": scan.recent(p, day, 90, "day"),
+        "codes": coverage.codes_with_recent_data(p, day), "on_dates": coverage.rows_on_dates(p, on, "day"),
+        "missing": coverage.missing_on_days(sec, p, on), "calendar": calendar.trading_calendar(p, start=day, end=day),
+        "window": merge.batch_window(p.limit(0), p, day, full=True), "single": merge.batch_window(p, p, day, single_day=day),
+        "book": ledger.position_book(held, day)}
+    for name, df in plans.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.splitlines() if "FileScan" in line and base in line]
+        assert scans and all("PartitionFilters: [isnotnull(part_year" in x or "PartitionFilters: [part_year" in x
+                             for x in scans), (name, scans)
