@@ -555,6 +555,8 @@ _RULE_FILE = {
         {"name": "needed", "severity": "critical", "fields": ["trade_id", "strategy_id"],
          "sql_template": "SELECT count(*) AS null_count FROM {table_name} WHERE {field} IS NULL",
          "threshold": 0},
+        {"name": "listed", "severity": "warning", "fields": ["user_id", "strategy_id"],
+         "sql_template": "SELECT trade_id, {field} FROM {table_name} WHERE {field} IS NULL"},
         {"name": "sold_share", "severity": "warning",
          "sql": "SELECT count_if(trade_type = 24) AS sold FROM user_transactions",
          "condition_template": "sold < {total_records} * 0.1"}],
@@ -565,6 +567,7 @@ _RULE_FILE = {
         {"name": "few_big", "severity": "warning", "sql": "SELECT count(*) AS big FROM "
          "user_transactions WHERE quantity > 49", "condition": "big < 10"},
         {"name": "only_standard", "level": "standard", "sql": "SELECT 1 AS one"},
+        {"name": "zero", "sql": "SELECT trade_id FROM user_transactions WHERE 1 / (quantity - quantity) > 0"},
         {"name": "broken", "sql": "SELECT no_such_column FROM user_transactions"}]}},
 }
 
@@ -583,6 +586,16 @@ _RULE_FILE = {
     SELECT 'warning', 'accuracy', 'user_transactions', 'few_big', count(*), '' FROM ledger
     WHERE quantity > 49 HAVING NOT count(*) < 10
     UNION ALL
-    SELECT 'critical', 'accuracy', 'user_transactions', 'broken', CAST(0 AS BIGINT), ''""")
+    SELECT 'critical', 'accuracy', 'user_transactions', 'broken', CAST(0 AS BIGINT), ''
+    UNION ALL
+    SELECT 'critical', 'accuracy', 'user_transactions', 'zero', CAST(0 AS BIGINT), ''
+    UNION ALL
+    SELECT 'critical', 'completeness', 'user_transactions', 'needed_strategy_id', count(*), ''
+    FROM ledger WHERE quantity < 3 HAVING count(*) > 0
+    UNION ALL
+    SELECT 'warning', 'completeness', 'user_transactions', 'listed_strategy_id', count(*), ''
+    FROM ledger WHERE quantity < 3 HAVING count(*) > 0""")
 def rule_file_run(m: Market):
-    return flat(sql_rules.run_rule_file(_RULE_FILE, {"user_transactions": m.ledger}, LEDGER_AS_OF))
+    """NULLs stand in one asked field; one rule fails when read and one when run."""
+    trades = m.ledger.withColumn("strategy_id", F.when(F.col("quantity") >= 3, F.lit("s")))
+    return flat(sql_rules.run_rule_file(_RULE_FILE, {"user_transactions": trades}, LEDGER_AS_OF))

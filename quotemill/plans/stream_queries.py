@@ -10,10 +10,8 @@ from quotemill.session import shared_dir
 from quotemill.streaming import account_streams as st
 
 
-def _trade_stream(m: Market):
-    """Line items as a stream, joined to the stored orders that date them."""
-    schema = m.raw("lineitem").schema
-    lines = m.spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(m.dir)
+def _dated(m: Market, lines):
+    """Line items joined to the stored orders that date them."""
     orders = m.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"),
@@ -24,16 +22,22 @@ def _trade_stream(m: Market):
         F.col("l_extendedprice").alias("amount"))
 
 
+def _trade_stream(m: Market):
+    schema = m.raw("lineitem").schema
+    return _dated(m, m.spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(m.dir))
+
+
 @query("stream_daily_trade_sums", "ledger", sql=f"""
     SELECT trade_date, user_id, stock_code, count(*) AS trade_count, {dsum('quantity')} AS total_quantity,
            {dsum('amount')} AS total_amount
-    FROM ledger WHERE trade_date + 1 <= (SELECT max(trade_date) - 7 FROM ledger)
-    GROUP BY trade_date, user_id, stock_code""")
+    FROM ledger GROUP BY trade_date, user_id, stock_code""")
 def stream_daily_trade_sums(m: Market):
+    """Every day: the closed ones from the stream, those inside the watermark from the stored trades."""
     work = shared_dir(m.spark, "day-sums")
     sums = st.daily_trade_sums(_trade_stream(m))
     st.run(st.write_closed_days(sums, f"{work}/out", f"{work}/checkpoint"))
-    return m.spark.read.schema(sums.schema).parquet(f"{work}/out")
+    closed = m.spark.read.schema(sums.schema).parquet(f"{work}/out")
+    return st.with_open_days(closed, _dated(m, m.raw("lineitem")))
 
 
 @query("stream_append_trades", "ledger", sql="""

@@ -11,14 +11,15 @@ import json
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException, ParseException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.operators.calendar import trading_calendar
 from quotemill.quality.checks import series_completeness
 from quotemill.quality.issues import as_issues, sample_text, top_samples, union_issues
-from quotemill.schemas import WATERMARK
+from quotemill.schemas import ISSUES, WATERMARK
 
 CATEGORIES = ("completeness", "uniqueness", "accuracy")
 DATE_COLUMN_FOR_RECENT = {**WATERMARK, "indicator_data": "statDate"}
@@ -127,9 +128,24 @@ def _one_rule(spark, rule, table, category, views, context, as_of, seed) -> list
     raise ValueError(f"rule {rule['name']} has neither sql, sql_template nor check_type")
 
 
+def _first_cause(e: PySparkException | Py4JJavaError) -> str:
+    """The first line of what went wrong; a failure inside a subquery comes wrapped."""
+    text = str(e)
+    if isinstance(e, Py4JJavaError):
+        cause = e.java_exception
+        while cause.getCause() is not None:
+            cause = cause.getCause()
+        text = cause.getMessage() or cause.toString()
+    return text.splitlines()[0][:200]
+
+
 def run_rule_file(rules: Mapping, views: Mapping[str, DataFrame], as_of: str, level: str = "quick",
                   tables: Sequence[str] | None = None, seed: str = "0") -> DataFrame:
-    """Issues of a rule file over the given tables. A rule whose SQL is wrong is an issue itself."""
+    """Issues of a rule file over the given tables.
+
+    Every rule is evaluated by itself, so one that fails, when read or when run, is one issue and the
+    others go on. What is fetched is the issues: at most one per rule and listed field.
+    """
     spark = next(iter(views.values())).sparkSession
     for name, df in views.items():
         df.createOrReplaceTempView(name)
@@ -142,7 +158,7 @@ def run_rule_file(rules: Mapping, views: Mapping[str, DataFrame], as_of: str, le
     if unknown:
         raise ValueError(f"rule file has no table {unknown}")
     chosen = tables or levels.get(level, {}).get("default_tables") or list(listed)
-    parts = []
+    issues = []
     for table in chosen:
         spec = listed[table]
         if not spec.get("enabled", False) or table not in views:
@@ -152,12 +168,10 @@ def run_rule_file(rules: Mapping, views: Mapping[str, DataFrame], as_of: str, le
                 if rule.get("level", "quick") != "quick" and level == "quick":
                     continue
                 try:
-                    parts += _one_rule(spark, rule, table, category, views,
-                                       {**context, "table_name": table}, as_of, seed)
-                except (AnalysisException, ParseException) as e:
-                    note = str(e).splitlines()[0][:200]
-                    parts.append(as_issues(
-                        spark.range(1), severity="critical", category=category, table=table,
-                        check=rule["name"], description=f"rule SQL failed: {note}",
-                        count=F.lit(0)))
-    return union_issues(parts, spark)
+                    found = union_issues(_one_rule(spark, rule, table, category, views,
+                                                   {**context, "table_name": table}, as_of, seed), spark)
+                    issues += [tuple(r) for r in found.collect()]
+                except (PySparkException, Py4JJavaError) as e:
+                    note = _first_cause(e)
+                    issues.append(("critical", category, table, rule["name"], f"rule SQL failed: {note}", 0, []))
+    return spark.createDataFrame(issues, ISSUES)

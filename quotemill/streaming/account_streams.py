@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from quotemill.functions.values import money_sum
@@ -44,12 +45,20 @@ def _existing(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def append_trades(stream: DataFrame, table_path: str, checkpoint: str,
-                  partition_by: tuple[str, ...] = ("trade_date",)) -> DataStreamWriter:
-    """Appends trades whose id the table lacks. Exact however late a repeat arrives."""
+                  partition_by: tuple[str, ...] = ("trade_date",),
+                  keys: tuple[str, ...] = ("trade_id",)) -> DataStreamWriter:
+    """Appends trades whose key the table lacks.
+
+    With the id alone as key a repeat is found whatever its date, at the price of reading all ids of
+    the table for every batch. Where ids repeat only within a date, give ``("trade_id", "trade_date")``:
+    then only the date folders a batch touches are read, however long the table grows.
+    """
 
     def add(batch: DataFrame, _epoch: int) -> None:
         held = _existing(batch.sparkSession, table_path, stream.schema)
-        fresh = merge.insert_new(held, batch, ["trade_id"])
+        if partition_by and set(partition_by) <= set(keys):
+            held = merge.touched_partitions(held, batch, partition_by)
+        fresh = merge.insert_new(held, batch, list(keys))
         merge.append(fresh.hint("rebalance", *partition_by), table_path, partition_by)
 
     return _available(stream.writeStream.foreachBatch(add), checkpoint)
@@ -66,27 +75,60 @@ def drop_repeats(stream: DataFrame, horizon: str = "7 days") -> DataFrame:
         .drop("_event")
 
 
+_FILE_LOG = T.StructType([
+    T.StructField("user_id", T.StringType()), T.StructField("position_date", T.DateType()),
+    T.StructField("modified", T.TimestampType()), T.StructField("file_path", T.StringType())])
+
+
+def _drop_emptied_days(table_path: str, pairs: DataFrame, schema: T.StructType, rows: DataFrame) -> None:
+    """Folders of the batch's dates in which only holdings of emptied pairs are left.
+
+    A write replaces only folders it has rows for, so a date that became empty must go by itself. The
+    dates fetched are those of the batch, one each.
+    """
+    spark = pairs.sparkSession
+    held = merge.touched_partitions(_existing(spark, table_path, schema), pairs, ["position_date"])
+    others = held.join(pairs, ["user_id", "position_date"], "left_anti").select("position_date")
+    filled = others.unionByName(rows.select("position_date")).distinct()
+    for r in pairs.select("position_date").distinct().join(filled, "position_date", "left_anti").collect():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/position_date={r.position_date}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def replace_snapshots(stream: DataFrame, table_path: str, checkpoint: str) -> DataStreamWriter:
     """Holdings of the newest file per account and day replace what the table has for them.
 
-    The account and day pairs of a batch decide which date partitions are written again.
+    The account and day pairs of a batch decide which date partitions are written again. Which file
+    each pair was last taken from is kept beside the table (``<table_path>_files``), so an older file
+    that arrives in a later batch changes nothing. A file without holdings empties its pair; a date that
+    nothing is left of loses its folder. The log is written last: a batch that fails before that runs
+    again with the same result.
     """
     schema = SCHEMAS["user_positions"]
+    log_path = f"{table_path.rstrip('/')}_files"
 
     def put(batch: DataFrame, _epoch: int) -> None:
         good = batch.filter(F.col("reject_reason").isNull())
-        newest = good.groupBy("user_id", "file_date").agg(
-            F.max(F.struct("modified", "file_path")).alias("_m")).select(
-            F.col("_m.file_path").alias("file_path"))
-        files = good.join(newest, "file_path", "left_semi")
-        rows = af.positions_from(files).drop("file_path").select(*schema.fieldNames())
-        pairs = files.select("user_id", F.col("file_date").alias("position_date")).distinct()
-        held = _existing(batch.sparkSession, table_path, schema)
-        days = pairs.select("position_date").distinct()
-        kept = held.join(days, "position_date", "left_semi").join(
-            pairs, ["user_id", "position_date"], "left_anti")
-        merge.write_partitions(kept.select(*schema.fieldNames()).unionByName(rows), table_path,
-                               ["position_date"])
+        newest = good.groupBy("user_id", F.col("file_date").alias("position_date")).agg(
+            F.max(F.struct("modified", "file_path")).alias("_new"))
+        seen = merge.touched_partitions(
+            _existing(batch.sparkSession, log_path, _FILE_LOG), newest, ["position_date"]) \
+            .groupBy("user_id", "position_date").agg(F.max(F.struct("modified", "file_path")).alias("_old"))
+        taken = newest.join(seen, ["user_id", "position_date"], "left") \
+            .filter(F.col("_old").isNull() | (F.col("_new") >= F.col("_old"))) \
+            .select("user_id", "position_date", "_new.modified", "_new.file_path").persist()
+        try:
+            files = good.join(taken.select("file_path"), "file_path", "left_semi")
+            rows = af.positions_from(files).drop("file_path").select(*schema.fieldNames())
+            held = _existing(batch.sparkSession, table_path, schema)
+            kept = merge.touched_partitions(held, taken, ["position_date"]).join(
+                taken, ["user_id", "position_date"], "left_anti")
+            merge.write_partitions(
+                kept.select(*schema.fieldNames()).unionByName(rows), table_path, ["position_date"])
+            _drop_emptied_days(table_path, taken.select("user_id", "position_date").distinct(), schema, rows)
+            merge.append(taken, log_path, ("position_date",))
+        finally:
+            taken.unpersist()
 
     return _available(stream.writeStream.foreachBatch(put), checkpoint)
 
@@ -105,6 +147,14 @@ def daily_trade_sums(stream: DataFrame, delay: str = "7 days", time_col: str = "
                     "total_quantity", "total_amount"))
 
 
+def with_open_days(closed: DataFrame, trades: DataFrame, time_col: str = "trade_time") -> DataFrame:
+    """The days the stream has closed, and from the stored trades those it still holds open."""
+    done = closed.select(F.col("trade_date").alias("_day")).distinct()
+    newer = trades.withColumn("_day", F.to_date(F.col(time_col).cast("timestamp"))).join(
+        done, "_day", "left_anti").drop("_day")
+    return closed.unionByName(daily_trade_sums(newer, time_col=time_col))
+
+
 def write_closed_days(sums: DataFrame, out_path: str, checkpoint: str) -> DataStreamWriter:
     return _available(sums.writeStream.outputMode("append").format("parquet").option("path", out_path),
                       checkpoint)

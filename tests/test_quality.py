@@ -218,3 +218,30 @@ def test_volatile_moves_are_allowed_up_to_the_limit(clean):
     assert key in found(t)
     issues = runner.run_checks(t, AS_OF, thresholds={**LOW, "max_volatile_moves": 100})
     assert key not in {(r.table_name, r.check_name) for r in issues.collect()}
+
+
+def test_one_failing_rule_leaves_the_others(clean):
+    rules = {"tables": {"price_data": {"enabled": True, "accuracy_checks": [
+        {"name": "zero", "severity": "warning", "sql": "SELECT 1 / (volume - volume) AS x FROM price_data"},
+        {"name": "typo", "severity": "warning", "sql": "SELEC 1"},
+        {"name": "many", "severity": "warning", "sql": "SELECT code FROM price_data WHERE close > 1"}],
+        "completeness_checks": [{"name": "nulls", "severity": "warning", "fields": ["open", "note"],
+                                 "sql_template": "SELECT code, {field} FROM price_data WHERE {field} IS NULL"}]}}}
+    t = {**clean, "price_data": clean["price_data"].withColumn("note", F.when(F.col("code").endswith("SZ"), "x"))}
+    got = {r.check_name: (r.severity, r["count"], r.description) for r in
+           sql_rules.run_rule_file(rules, t, AS_OF).collect()}
+    assert set(got) == {"zero", "typo", "many", "nulls_note"}
+    assert got["zero"][0] == "critical" and "DIVIDE_BY_ZERO" in got["zero"][2]
+    assert got["typo"][0] == "critical" and got["many"][1] == 93 and got["nulls_note"][1] == 62
+
+
+def test_rule_file_in_yaml(clean, spark):
+    yaml = pytest.importorskip("yaml")
+    rules = {"tables": {"price_data": {"enabled": True, "accuracy_checks": [
+        {"name": "many", "severity": "warning", "sql": "SELECT code FROM price_data WHERE close > 1"}]}}}
+    path = f"{shared_dir(spark, 'yaml')}"
+    os.makedirs(path, exist_ok=True)
+    with open(f"{path}/rules.yaml", "w", encoding="utf-8") as f:
+        yaml.safe_dump(rules, f)
+    got = sql_rules.run_rule_file(sql_rules.load_rule_file(f"{path}/rules.yaml"), clean, AS_OF).collect()
+    assert [(r.check_name, r["count"]) for r in got] == [("many", 93)]

@@ -123,6 +123,50 @@ def test_position_stream_replaces_account_days(spark):
     assert step(2) == [("111", "A.SH", 9), ("222", "C.SH", 3)]
 
 
+def test_position_stream_empty_and_late_files(spark):
+    base = shared_dir(spark, "position-late")
+    clock = iter(range(1_700_000_000, 1_800_000_000, 1000))
+
+    def drop(user, day, *holdings, at=None):
+        put(base, user, "account_positions", f"{day}.json", {"account_info": ACCOUNT, "positions": list(holdings)})
+        os.utime(f"{base}/account/{user}/account_positions/{day}.json", (at or next(clock),) * 2)
+
+    def step(n):
+        stream = st.position_file_stream(spark, f"{base}/account/*/account_positions")
+        st.run(st.replace_snapshots(stream, f"{base}/table", f"{base}/checkpoint{n}"))
+        return rows(spark.read.schema(SCHEMAS["user_positions"]).parquet(f"{base}/table"), "user_id", "stock_code",
+                    "position_quantity")
+
+    drop("111", "20240110", holding("A.SH", 1, 1.0))
+    drop("222", "20240111", holding("B.SH", 2, 1.0))
+    assert step(1) == [("111", "A.SH", 1), ("222", "B.SH", 2)]
+    drop("111", "20240110")  # newer and empty: its day goes, the other day stays
+    assert step(2) == [("222", "B.SH", 2)]
+    drop("111", "20240110", holding("C.SH", 3, 1.0), at=1_600_000_000)  # older than the empty one
+    drop("222", "20240111", holding("B.SH", 7, 1.0), at=1_600_000_000)
+    assert step(3) == [("222", "B.SH", 2)]
+    assert step(3) == [("222", "B.SH", 2)]
+    drop("333", "20240110", holding("D.SH", 4, 1.0))
+    assert step(4) == [("222", "B.SH", 2), ("333", "D.SH", 4)]
+
+
+def test_trade_stream_keyed_by_date_reads_only_touched_days(spark):
+    base = shared_dir(spark, "trade-dates")
+
+    def step(day, *ids):
+        put(base, "111", "trades_orders", f"{day}.json", {"trades": [
+            {"TradeId": i, "TradeTime": "10:00:00", "Code": "600000.SH", "Volume": 1, "Price": 1.0, "Value": 1.0}
+            for i in ids]})
+        stream = st.trade_file_stream(spark, f"{base}/account/*/trades_orders")
+        st.run(st.append_trades(stream, f"{base}/table", f"{base}/cp-{len(ids)}", keys=("trade_id", "trade_date")))
+        return rows(spark.read.parquet(f"{base}/table"), "trade_id", "trade_date")
+
+    d10, d11 = dt.date(2024, 1, 10), dt.date(2024, 1, 11)
+    assert step("20240110", "a", "b", "b") == [("a", d10), ("b", d10)]
+    assert step("20240110", "a", "c") == [("a", d10), ("b", d10), ("c", d10)]
+    assert step("20240111", "a") == [("a", d10), ("a", d11), ("b", d10), ("c", d10)]
+
+
 def test_near_repeats_are_dropped_with_bounded_state(spark):
     base = shared_dir(spark, "repeats")
     put(base, "111", "trades_orders", "20240110.json", {"trades": [{"TradeId": i, "TradeTime": "10:00:00"} for i in "aab"]})
