@@ -14,10 +14,14 @@ from quotemill.operators.calendar import trading_calendar
 from quotemill.operators.dated import date_between
 from quotemill.quality import checks
 from quotemill.quality.issues import union_issues
-from quotemill.quality.rules import UNIQUE_KEYS, judge_rows, rules_at, standard_rules, statement_rules
+from quotemill.quality.rules import KEY_FIELDS, UNIQUE_KEYS, judge_rows, rules_at, standard_rules, statement_rules
 from quotemill.schemas import WATERMARK
 
 
+def _has(tables: Mapping[str, DataFrame], judged: Sequence[str], name: str, *columns: str) -> bool:
+    return name in judged and set(columns) <= set(tables[name].columns)
+
+
 def run_checks(tables: Mapping[str, DataFrame], as_of: dt.date | str, level: str = "quick",
                only: Sequence[str] | None = None, thresholds: Mapping | None = None,
                seed: str = "0") -> DataFrame:
@@ -33,7 +37,8 @@ def run_checks(tables: Mapping[str, DataFrame], as_of: dt.date | str, level: str
     spark = next(iter(tables.values())).sparkSession
     judged = [n for n in tables if only is None or n in only]
     securities, prices = tables.get("stock_list"), tables.get("price_data")
-    calendar = trading_calendar(prices) if prices is not None else None
+    # At most one row per date, read by many checks: computed once per run.
+    calendar = trading_calendar(prices).persist() if prices is not None else None
     rules = rules_at(level, [*standard_rules(t, str(as_of)), *statement_rules()])
     parts: list[DataFrame] = []
 
@@ -51,6 +56,9 @@ def run_checks(tables: Mapping[str, DataFrame], as_of: dt.date | str, level: str
             parts.append(judge_rows(scope, listed))
         if name in UNIQUE_KEYS:
             parts.append(checks.duplicate_key(df, name))
+        fields = [c for c in KEY_FIELDS.get(name, []) if c in df.columns]
+        if level == "standard" and fields:
+            parts.append(checks.null_ratios(df, name, fields))
 
     since = t["user_data_start_date"]
     if "stock_list" in judged:
@@ -60,6 +68,8 @@ def run_checks(tables: Mapping[str, DataFrame], as_of: dt.date | str, level: str
         if securities is not None:
             parts.append(checks.series_completeness(
                 securities, prices, calendar, as_of, t["sample_size"], t["completion_threshold"], seed))
+        if level == "standard" and securities is not None:
+            parts.append(checks.price_completeness(securities, prices, calendar, as_of, t["sample_size"], seed))
         if level == "standard":
             scope = prices if securities is None else cov.within_listing(
                 date_between(prices, "day", F.date_sub(as_day(as_of), 30)), securities)
@@ -68,6 +78,12 @@ def run_checks(tables: Mapping[str, DataFrame], as_of: dt.date | str, level: str
     if "valuation_data" in judged and prices is not None and securities is not None:
         parts.append(checks.alignment_with_price(prices, tables["valuation_data"], securities,
                                                  as_of, t["max_missing_valuations"]))
+    if level == "standard" and prices is not None and _has(
+            tables, judged, "valuation_data", "market_cap", "capitalization"):
+        parts.append(checks.market_cap_check(prices, tables["valuation_data"]))
+    if level == "standard" and "user_positions" in tables and _has(
+            tables, judged, "user_account_info", "position_market_value"):
+        parts.append(checks.account_value_check(tables["user_account_info"], tables["user_positions"]))
     if "indicator_data" in judged:
         parts.append(checks.quarter_breadth(tables["indicator_data"], as_of, t["min_quarter_codes"]))
     if "user_transactions" in judged:
@@ -90,15 +106,16 @@ def run_checks(tables: Mapping[str, DataFrame], as_of: dt.date | str, level: str
 
 def routine(tables: Mapping[str, DataFrame], as_of: dt.date | str, recent_days: int = 3,
             history_days: int = 30, seed: str = "0", thresholds: Mapping | None = None) -> DataFrame:
-    """Daily routine: the newest trading days in full, a sample of last year's days in part.
+    """Daily routine: the newest trading days before ``as_of`` and a sample of last year's days.
 
-    The days are read once (at most ``recent_days + history_days`` dates) to name them in the
-    checks; the newest week is left to the recent part.
+    All securities are judged on the chosen days. The days are read once (at most
+    ``recent_days + history_days`` dates) to name them in the checks; the newest week is left to the
+    recent part, and ``as_of`` itself, still unfinished, to the next run.
     """
     t = checks.standard_thresholds(thresholds)
     securities, prices = tables["stock_list"], tables["price_data"]
     spark = prices.sparkSession
-    days = trading_calendar(prices, end=as_of)
+    days = trading_calendar(prices, end=F.date_sub(as_day(as_of), 1)).persist()
     recent = [r.day for r in days.orderBy(F.col("day").desc()).limit(recent_days).collect()]
     edge = days.orderBy(F.col("day").desc()).limit(8).agg(F.min("day")).scalar()
     pool = days.filter((F.col("day") <= edge) & (F.col("day") >= F.date_sub(edge, 365)))
@@ -106,12 +123,10 @@ def routine(tables: Mapping[str, DataFrame], as_of: dt.date | str, recent_days:
 
     past = [r.day for r in sample_rows(pool.select("day"), history_days, "day", seed).collect()]
     parts = [checks.master_basics(securities)]
-    if recent:
-        parts += [checks.price_day_coverage(securities, prices, recent),
-                  checks.price_day_logic(prices, recent)]
-    if past:
-        parts += [checks.price_day_sampled(securities, prices, past, seed=seed),
-                  checks.price_day_logic(prices, past)]
+    if recent + past:
+        chosen = sorted({*recent, *past})
+        parts += [checks.price_day_coverage(securities, prices, chosen),
+                  checks.price_day_logic(prices, chosen)]
     if "valuation_data" in tables and recent + past:
         parts.append(checks.daily_alignment(prices, tables["valuation_data"], "valuation_data",
                                             days=sorted({*recent, *past})))
