@@ -90,6 +90,7 @@ def test_planted_faults_are_counted_exactly(clean):
         ("user_positions", "position_continuity_check"): 1,
         ("user_positions", "trading_day_completeness"): 9,
         ("user_account_info", "asset_balance_check"): 1,
+        ("user_account_info", "account_value"): 9,  # no holdings left on the days 10 to 18
     }
 
 
