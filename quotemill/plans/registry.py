@@ -44,6 +44,7 @@ def load_all() -> dict[str, Query]:
         price_queries,
         quality_queries,
         scan_queries,
+        source_queries,
         stream_queries,
     )
 
