@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quotemill.operators import calendar as cal
 from quotemill.operators import coverage as cov
 from quotemill.plans.market import EVENTS_AS_OF, LEDGER_AS_OF, Market
+from quotemill.plans.quality_run_sql import VIEWS_OF_A_RUN, routine_sql, run_sql
 from quotemill.plans.registry import query
 from quotemill.quality import checks, report, runner, sql_rules
 from quotemill.quality.issues import union_issues
@@ -523,24 +524,31 @@ def report_by_table(m: Market):
     return report.by_table(issues)
 
 
-@query("quality_report_totals")
+@query("quality_report_totals", *VIEWS_OF_A_RUN, sql=f"""
+    SELECT count(*) AS total_issues, count(*) FILTER (severity = 'critical') AS critical_issues,
+           count(*) FILTER (severity = 'warning') AS warning_issues,
+           count(DISTINCT table_name) AS tables_with_issues FROM ({run_sql(_THRESHOLDS, "standard")}) x""")
 def quality_report_totals(m: Market):
     return report.totals(runner.run_checks(m.stored(), LEDGER_AS_OF, "standard",
                                            thresholds=_THRESHOLDS))
 
 
-@query("quality_run_standard")
+@query("quality_run_standard", *VIEWS_OF_A_RUN, sql=run_sql(_THRESHOLDS, "standard"))
 def quality_run_standard(m: Market):
     """The whole standard rule set over seven tables."""
     return flat(runner.run_checks(m.stored(), LEDGER_AS_OF, "standard", thresholds=_THRESHOLDS))
 
 
-@query("quality_routine")
+@query("quality_routine", *VIEWS_OF_A_RUN, sql=routine_sql())
 def quality_routine(m: Market):
     return flat(runner.routine(m.stored(), LEDGER_AS_OF))
 
 
-@query("quality_top_issues")
+@query("quality_top_issues", *VIEWS_OF_A_RUN, sql=f"""
+    SELECT severity, category, table_name, check_name, count, samples
+    FROM (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY count DESC, table_name, check_name) AS rn
+          FROM ({run_sql(_THRESHOLDS, "quick")}) x) y
+    WHERE (severity = 'critical' AND rn <= 2) OR (severity = 'warning' AND rn <= 1)""")
 def quality_top_issues(m: Market):
     return flat(report.top_issues(runner.run_checks(m.stored(), LEDGER_AS_OF, "quick",
                                                     thresholds=_THRESHOLDS)))
