@@ -25,11 +25,6 @@ def strategy_from_tag(remark: Column | str) -> Column:
                   F.trim(F.get(F.split(r, "strategy_id:"), F.lit(1))))
 
 
-def first_given(*cols: Column | str) -> Column:
-    """First alternate field that holds a value."""
-    return F.coalesce(*[_col(c) for c in cols])
-
-
 def generated_trade_id(user: Column | str, *parts: Column | str) -> Column:
     """Stable id for a trade that came without one, from its own values."""
     texts = [F.coalesce(_col(p).cast("string"), F.lit("")) for p in (user, *parts)]

@@ -12,8 +12,11 @@ def _col(c: Column | str) -> Column:
 
 
 def money_sum(c: Column | str, scale: int = 4) -> Column:
-    """Sum as DECIMAL, returned as DOUBLE: the same whatever the partitioning."""
-    return F.sum(_col(c).cast(f"decimal(18,{scale})")).cast("double")
+    """Sum as DECIMAL, returned as DOUBLE: the same whatever the partitioning.
+
+    Addends keep ten decimals and amounts up to 10^28; only the sum is rounded to ``scale`` decimals.
+    """
+    return F.sum(_col(c).cast("decimal(38,10)")).cast(f"decimal(38,{scale})").cast("double")
 
 
 def money_avg(c: Column | str, scale: int = 4) -> Column:

@@ -180,7 +180,7 @@ def running_positions(ledger: DataFrame, *extra: Column) -> DataFrame:
     ``extra`` are further aggregates over the same user, stock and day.
     """
     daily = ledger.groupBy("user_id", "stock_code", F.col("trade_date").alias("position_date")).agg(
-        F.sum(_signed("quantity").cast("decimal(18,4)")).alias("_q"), *extra)
+        F.sum(_signed("quantity").cast("decimal(38,10)")).alias("_q"), *extra)
     upto = Window.partitionBy("user_id", "stock_code").orderBy("position_date")
     return daily.withColumn("position_quantity", F.sum("_q").over(upto).cast("double")).drop("_q")
 

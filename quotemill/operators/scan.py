@@ -34,7 +34,7 @@ def range_scan(df: DataFrame, code: str | None = None, start=None, end=None,
 
 
 def for_codes(df: DataFrame, codes: Sequence[str] | DataFrame, col: str = "code") -> DataFrame:
-    """Rows of the given codes. A short list is pushed to the scan, a long one joined."""
+    """Rows of the given codes. A short list is pushed to the scan, a long one joined; only the plan differs."""
     if isinstance(codes, DataFrame):
         wanted = codes.select(F.col(codes.columns[0]).alias("_wanted"))
     elif len(codes) <= CODE_LIST_LIMIT:
@@ -153,6 +153,15 @@ def page(df: DataFrame, limit: int, offset: int, *order: str) -> DataFrame:
     return sorted_by(df, *order).offset(offset).limit(limit)
 
 
+def page_after(df: DataFrame, key: str, last, limit: int) -> DataFrame:
+    """The page behind the row whose unique key is ``last`` (None: the first page).
+
+    Reads no skipped rows, however deep the page: the key's filter reaches the scan.
+    """
+    rest = df if last is None else df.filter(F.col(key) > F.lit(last))
+    return rest.orderBy(key).limit(limit)
+
+
 def page_total(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"))
 

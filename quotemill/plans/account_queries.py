@@ -129,7 +129,7 @@ def position_history(m: Market):
            CAST(sum(q) OVER (PARTITION BY user_id, stock_code ORDER BY position_date) AS DOUBLE)
                AS position_quantity
     FROM (SELECT user_id, stock_code, trade_date AS position_date,
-                 sum(CAST({_SIGN_Q} AS DECIMAL(18,4))) AS q
+                 sum(CAST({_SIGN_Q} AS DECIMAL(38,10))) AS q
           FROM ledger GROUP BY user_id, stock_code, trade_date) x""")
 def running_positions(m: Market):
     return ledger.running_positions(m.ledger)

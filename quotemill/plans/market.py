@@ -246,7 +246,7 @@ def _market(code: str) -> str:
 
 
 def dsum(x: str, scale: int = 4) -> str:
-    return f"CAST(sum(CAST({x} AS DECIMAL(18,{scale}))) AS DOUBLE)"
+    return f"CAST(CAST(sum(CAST({x} AS DECIMAL(38,10))) AS DECIMAL(38,{scale})) AS DOUBLE)"
 
 
 # name -> (tables it is built from, SQL text)
@@ -310,7 +310,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                                        round(min(price), 2) AS open_price,
                                        round(max(price), 2) AS current_price,
                                        sum(CAST(CASE WHEN trade_type = 23 THEN quantity
-                                                     ELSE -quantity END AS DECIMAL(18,4))) AS dq
+                                                     ELSE -quantity END AS DECIMAL(38,10))) AS dq
                                 FROM ledger GROUP BY user_id, stock_code, trade_date) a) b) c) d"""),
     "accounts": (("positions",), f"""
         SELECT user_id, info_date, position_market_value, available_cash, 0.0::DOUBLE AS frozen_cash,

@@ -73,7 +73,7 @@ def rolling_volatility_20_sparse(m: Market):
 def _ma_sql(view: str, as_of: str) -> str:
     cols = ", ".join(
         f"CASE WHEN count(CASE WHEN n <= {p} THEN close END) = {p} THEN round("
-        f"CAST(sum(CASE WHEN n <= {p} THEN CAST(close AS DECIMAL(18,4)) END) AS DOUBLE) / {p}.0::DOUBLE, 2) END AS ma{p}"
+        f"CAST(CAST(sum(CASE WHEN n <= {p} THEN CAST(close AS DECIMAL(38,10)) END) AS DECIMAL(38,4)) AS DOUBLE) / {p}.0::DOUBLE, 2) END AS ma{p}"
         for p in series.MA_PERIODS)
     return f"""SELECT code, DATE '{as_of}' AS date, {cols}
         FROM (SELECT code, close, row_number() OVER (PARTITION BY code ORDER BY day DESC) AS n
@@ -124,7 +124,7 @@ def monthly_returns(m: Market):
 @query("price_range_252", "bars_ev", sql=f"""
     SELECT code, 252 AS period_days, min(day) AS start_date, max(day) AS end_date,
            max(high) AS highest, min(low) AS lowest, max_by(close, day) AS latest_close,
-           round(CAST(sum(CAST(close AS DECIMAL(18,4))) AS DOUBLE) / count(close), 6) AS avg_price,
+           round(CAST(CAST(sum(CAST(close AS DECIMAL(38,10))) AS DECIMAL(38,4)) AS DOUBLE) / count(close), 6) AS avg_price,
            round((max_by(close, day) - min(low)) / nullif(max(high) - min(low), 0) * 100.0, 6)
                AS position_pct
     FROM bars_ev WHERE day BETWEEN DATE '{EVENTS_AS_OF}' - 252 AND DATE '{EVENTS_AS_OF}'

@@ -206,6 +206,16 @@ def last_n_rows(m: Market):
     return scan.top(m.bars_li.select("code", "day", "close"), 25, "-day", "-code")
 
 
+@query("page_behind_a_code", "securities", sql="""
+    SELECT code, display_name FROM securities
+    WHERE code > (SELECT max(code) FROM (SELECT code FROM securities ORDER BY code LIMIT 7) x) ORDER BY code LIMIT 20""")
+def page_behind_a_code(m: Market):
+    """The second page, found by the last code of the first."""
+    rows = m.securities.select("code", "display_name")
+    last = scan.page_after(rows, "code", None, 7).agg(F.max("code")).first()[0]
+    return scan.page_after(rows, "code", last, 20)
+
+
 @query("page_of_securities", "securities", sql="""
     SELECT code, display_name, end_date FROM securities
     ORDER BY end_date ASC NULLS LAST, code ASC LIMIT 20 OFFSET 20""")

@@ -126,6 +126,20 @@ def test_sums_do_not_depend_on_order(spark):
     assert got == {0.6}
 
 
+def test_sums_round_the_total_not_the_addends(spark):
+    df = spark.createDataFrame([(0.00004, 2e14), (0.00004, 3e17), (0.00004, None)], "x double, big double")
+    assert tuple(df.agg(values.money_sum("x"), values.money_sum("big", 8)).first()) == (0.0001, 3.002e17)
+
+
+def test_codes_by_list_or_by_join_are_the_same_rows(spark, monkeypatch):
+    from quotemill.operators import scan
+
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4)], "code string, n int")
+    by_list = rows(scan.for_codes(df, ["b", "b", "z"]))
+    monkeypatch.setattr(scan, "CODE_LIST_LIMIT", 2)
+    assert rows(scan.for_codes(df, ["b", "b", "z"])) == by_list == [("b", 2), ("b", 3)]
+
+
 def test_blank_to_null(spark):
     from quotemill.sources.landed import clean_blanks
 
