@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotemill.session import stored
 
-__all__ = ["stored", "files_for", "numbered", "connected", "salts", "workers_import"]
+__all__ = ["stored", "files_for", "numbered", "connected", "salts", "workers_import", "looked_up", "mixed64", "byte_letters"]
 
 #: Rows of a helper table in one file: enough to keep tasks small, few enough files.
 ROWS_PER_FILE = 250_000
@@ -24,6 +25,31 @@ def workers_import(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+def mixed64(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: nearby values get unrelated ones, and no two the same."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level vocabularies."""
+    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in keep]
+    return {**{b: chr(b) for b in keep}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str, often: DataFrame) -> DataFrame:
+    """Inner join to ``right``, where ``key`` is unique, without a hot key.
+
+    ``often`` has the keys that many rows of ``left`` hold, a bounded number of them by its definition: their
+    rows meet a broadcast, all others a shuffle.
+    """
+    often = F.broadcast(often.select(key))
+    few = left.join(often, key, "left_anti").join(right, key)
+    return left.join(F.broadcast(right.join(often, key, "left_semi")), key).unionByName(few)
+
+
 def files_for(rows: int) -> int:
     return max(1, -(-rows // ROWS_PER_FILE))
 

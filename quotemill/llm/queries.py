@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import chat, decontaminate, html_text, langid, line_dedup, nearest, packing, pii, sharding, simhash
+from quotemill.llm import (
+    alignment, chat, decontaminate, html_text, langid, line_dedup, nearest, packing, pii, prefix_trie, sharding, simhash,
+    substring_dedup)
 from quotemill.llm.common import workers_import
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +118,74 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_html_text")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op11_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                     public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op12_prefix_trie", sql="""
+    WITH RECURSIVE turns AS (
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, role, text
+        FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+              WHERE conv_id IS NOT NULL)
+    ), whole AS (
+        SELECT conv_id, list({'r': role, 't': text} ORDER BY pos) AS own FROM turns GROUP BY conv_id
+    ), checked AS (  -- CRC-32 of the decimal id, bit by bit
+        SELECT conv_id, own, xor(4294967295, list_reduce(list_prepend(4294967295,
+                   list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+               lambda c, x: list_reduce(list_prepend(xor(c, x), list_transform(range(8), lambda i: CAST(0 AS BIGINT))),
+                   lambda a, b: xor(a >> 1, (a & 1) * 3988292384)))) % 6 AS h
+        FROM whole
+    ), rebuilt AS (
+        SELECT c.conv_id, list_concat(coalesce(b.own, [])[1:c.h], c.own[c.h + 1:]) AS said
+        FROM checked c LEFT JOIN whole b ON b.conv_id = c.conv_id - c.conv_id % 100
+    ), path(conv_id, depth, node, said) AS (
+        SELECT conv_id, CAST(0 AS BIGINT), sha256(''), said FROM rebuilt
+        UNION ALL
+        SELECT conv_id, depth + 1,
+               sha256(node || length(said[depth + 1].r) || ',' || said[depth + 1].r || said[depth + 1].t), said
+        FROM path WHERE depth < len(said)
+    ), nodes AS (
+        SELECT node, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+               any_value(CASE WHEN depth = 0 THEN 0 ELSE length(said[depth].t) END) AS chars,
+               string_agg(CASE WHEN depth = len(said) THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends
+        FROM path GROUP BY node
+    ), up AS (  -- each node with the nodes on the path of its smallest member
+        SELECT n.node, n.depth, p.node AS above, p.depth AS above_depth
+        FROM nodes n JOIN path p ON p.conv_id = n.conv_id AND p.depth <= n.depth
+    ), child AS (SELECT above AS node, count(*) AS n FROM up WHERE above_depth = depth - 1 GROUP BY above
+    ), below AS (
+        SELECT u.above AS node, sum(CASE WHEN c.n IS NULL THEN 1 ELSE 0 END) AS n_leaves,
+               sum((n.n_convs - 1) * n.chars) AS saved
+        FROM up u JOIN nodes n ON n.node = u.node LEFT JOIN child c ON c.node = u.node GROUP BY u.above
+    )
+    SELECT n.conv_id, n.depth, a.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(c.n, 0) AS BIGINT) AS n_children,
+           CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens,
+           sha256(coalesce(n.ends, '')) AS ends_sha256
+    FROM nodes n JOIN below b USING (node) LEFT JOIN child c USING (node)
+    LEFT JOIN up u ON u.node = n.node AND u.above_depth = n.depth - 1 LEFT JOIN nodes a ON a.node = u.above""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_substring_dedup", sql=r"""
+    WITH said AS (
+        SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+        FROM documents
+    ), win AS (
+        SELECT row, doc_id, unnest(range(1, len(words) - 11)) AS place, words FROM said WHERE doc_id IS NOT NULL
+    ), keyed AS (SELECT row, doc_id, place, md5(array_to_string(words[place:place + 12], ' ')) AS k FROM win
+    ), gone AS (
+        SELECT DISTINCT row, unnest(range(place, place + 13)) AS place FROM keyed
+        JOIN (SELECT k, min(doc_id) AS first FROM keyed GROUP BY k) USING (k) WHERE first < doc_id
+    ), cut AS (SELECT row, list(place) AS gone FROM gone GROUP BY row)
+    SELECT s.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+           sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE
+               list_filter(words, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+    FROM said s LEFT JOIN cut c ON c.row = s.row""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return removed.select("doc_id", "n_words", "n_removed", "kept_sha256")
