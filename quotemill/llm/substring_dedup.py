@@ -1,15 +1,15 @@
 """Removal of repeated word windows: rolling Rabin-Karp hashes, counted in Spark.
 
 A window is ``width`` consecutive words of one document. Every window of every document gets a rolling hash
-(two polynomials modulo 2^64 over the words' XXH64; 64 bits of the first and 32 of the second tell windows
+(two polynomials modulo 2^64 over the words' XXH64; 64 bits of the first and 16 of the second tell windows
 apart). A word goes if it is covered by a window that also starts in a document with a smaller doc_id;
 windows are judged on the input. Removed windows that overlap or touch merge into maximal intervals.
 
 1. Arrow tasks hash the windows and count them within a piece of ``WORDS_AT_ONCE`` words: of a window that
    several documents of the piece hold only the smallest doc_id's copy travels on, the others are decided.
-   A passage that a third of all documents holds thus costs one row per piece, not one per document;
-   decided rows are dealt by window *and* document, so they don't meet either.
-2. Rows are dealt and sorted by hash (Spark's sort spills); one pass finds each window's smallest doc_id.
+   A passage that a third of all documents holds thus costs one entry per piece, not one per document;
+   decided entries only pass through. What is dealt by hash are lists, one per piece and bucket of hashes.
+2. Windows are sorted by hash (Spark's sort spills); one pass finds each window's smallest doc_id.
 3. The hashes to remove, at most as many as a document has words, are joined to their documents, whose
    words are hashed once more.
 
@@ -26,10 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import mixed64
+from quotemill.llm.common import mixed64, salts
 
 WIDTH = 13
 #: Words hashed and counted together; a longer document is a piece of its own.
@@ -51,6 +52,7 @@ class _Hashes(dict):
 
 
 _KNOWN = _Hashes()
+_deflate, _inflate = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -71,17 +73,31 @@ def rolling(values: np.ndarray, width: int, base: int) -> np.ndarray:
 
 
 def window_hashes(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """64 bits of the first and the upper 32 bits of the second polynomial, per window."""
+    """64 bits of the first and the upper 16 bits of the second polynomial, per window."""
     first, second = (mixed64(rolling(values, width, b)) for b in BASES)
-    return first.view(np.int64), (second >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return first, (second >> np.uint64(48)).astype(np.uint16)
 
 
 def _values(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
 
 
-def _counted(docs: list[tuple[int, np.ndarray]], width: int) -> pa.RecordBatch:
-    """The windows of a piece: one row per window for its smallest doc_id, and the decided ones."""
+def packed(h: np.ndarray, s: np.ndarray, doc: np.ndarray) -> bytes:
+    """Windows in order of their hashes as differences, byte by byte of all, compressed: about half of what rows take."""
+    steps = np.diff(h, prepend=np.uint64(0)).astype(np.uint64)
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(h), -1).T.tobytes() for x in (steps, s, doc)]
+    return _deflate.compress(b"".join(planes))
+
+
+def unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    flat = np.frombuffer(_inflate.decompress(data), np.uint8)
+    h, s, doc = (np.ascontiguousarray(x.reshape(-1, n).T).view(kind).ravel()
+                 for x, kind in zip(np.split(flat, [8 * n, 10 * n]), (np.uint64, np.uint16, np.int64)))
+    return np.cumsum(h, dtype=np.uint64), s, doc
+
+
+def _counted(docs: list[tuple[int, np.ndarray]], width: int, buckets: int) -> pa.RecordBatch:
+    """The windows of a piece, a row per bucket of hashes: each window once, for its smallest doc_id; and the decided ones."""
     docs.sort(key=lambda d: d[0])
     lengths = np.array([len(v) for _, v in docs])
     ends = np.cumsum(lengths)
@@ -95,15 +111,27 @@ def _counted(docs: list[tuple[int, np.ndarray]], width: int) -> pa.RecordBatch:
     least = doc[np.maximum.accumulate(np.where(starts, np.arange(len(h)), 0))]
     again = np.zeros(len(h), bool)
     again[1:] = ~starts[1:] & (doc[1:] == doc[:-1])
-    keep = starts | ((doc > least) & ~again)
+    rows = []
+    one = np.nonzero(starts)[0]
+    bucket = ((h[one] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    edges = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1, [len(one)]])
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        x = one[lo:hi]
+        rows.append((int(bucket[lo]), False, len(x), packed(h[x], s[x], doc[x])))
+    x = np.nonzero((doc > least) & ~again)[0]
+    if len(x):  # nothing is to be found out about these: any bucket will do
+        rows.append((int(bucket[len(x) % len(bucket)]), True, len(x), packed(h[x], s[x], doc[x])))
+    columns = zip(*rows)
     return pa.RecordBatch.from_arrays(
-        [pa.array(h[keep]), pa.array(s[keep]), pa.array(doc[keep]), pa.array(~starts[keep])],
-        names=["hash", "second", "doc", "decided"])
+        [pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.bool_(), pa.int32(), pa.binary()))],
+        names=["bucket", "decided", "n", "data"])
 
 
 def windows(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """hash, second, doc, decided: the windows, counted piece by piece."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """hash, second, doc, decided: the windows, counted piece by piece, all of a hash in one partition."""
+    buckets = 3 * salts(docs)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece, held = [], 0
         for batch in batches:
             for doc, said in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -111,15 +139,24 @@ def windows(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: s
                 if len(values) < width:
                     continue
                 if piece and held + len(values) > WORDS_AT_ONCE:
-                    yield _counted(piece, width)
+                    yield _counted(piece, width, buckets)
                     piece, held = [], 0
                 piece.append((doc, values))
                 held += len(values)
         if piece:
-            yield _counted(piece, width)
+            yield _counted(piece, width, buckets)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for decided, n, data in zip(*(batch.column(c).to_pylist() for c in ("decided", "n", "data"))):
+                h, s, doc = unpacked(data, n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(s.astype(np.int32)), pa.array(doc), pa.array(np.full(n, decided))],
+                    names=["hash", "second", "doc", "decided"])
 
     slim = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "hash long, second int, doc long, decided boolean")
+    dealt = slim.mapInArrow(count, "bucket int, decided boolean, n int, data binary").repartition("bucket")
+    return dealt.mapInArrow(unpack, "hash long, second int, doc long, decided boolean")
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,8 +178,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, hash: windows of a document that also start in a document with a smaller doc_id."""
-    dealt = F.when(F.col("decided"), F.xxhash64("hash", "doc")).otherwise(F.col("hash"))
-    rows = windows(docs, width, doc_id, text).repartition(dealt).sortWithinPartitions("hash", "second", "doc")
+    rows = windows(docs, width, doc_id, text).sortWithinPartitions("hash", "second", "doc")
     return rows.mapInArrow(_later, "doc long, hash long")
 
 
@@ -175,7 +211,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id",
                 spans = []
                 if hashes[i].is_valid:
                     first, _ = window_hashes(_values(words), width)
-                    spans = intervals(np.nonzero(np.isin(first, hashes[i].values.to_numpy()))[0], width)
+                    spans = intervals(np.nonzero(np.isin(first.view(np.int64), hashes[i].values.to_numpy()))[0], width)
                 kept, at = [], 0
                 for start, end in spans:
                     kept += words[at:start]
