@@ -9,7 +9,8 @@ windows are judged on the input. Removed windows that overlap or touch merge int
    several documents of the piece hold only the smallest doc_id's copy travels on, the others are decided.
    A passage that a third of all documents holds thus costs one entry per piece, not one per document;
    decided entries only pass through. What is dealt by hash are lists, one per piece and bucket of hashes.
-2. Windows are sorted by hash (Spark's sort spills); one pass finds each window's smallest doc_id.
+2. The lists of a bucket, ``BUCKET_BYTES`` of text on average whatever the corpus, are merged; each window's
+   smallest doc_id follows.
 3. The hashes to remove, at most as many as a document has words, are joined to their documents, whose
    words are hashed once more.
 
@@ -35,24 +36,29 @@ from quotemill.llm.common import mixed64, salts
 WIDTH = 13
 #: Words hashed and counted together; a longer document is a piece of its own.
 WORDS_AT_ONCE = 1_000_000
-#: Words kept with their hashes by a worker (memory only, never results).
-CACHE_WORDS = 1_000_000
-#: Odd bases of the two polynomials.
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-
+#: Bytes of text whose windows share a bucket, on average: what a task of the second step holds at a time.
+BUCKET_BYTES = 24_000_000
+#: Longer words are hashed by XXH64: polynomials modulo 2^64 tell short strings apart, not all long ones.
+LONG_WORD = 128
+#: Odd bases of the polynomials over bytes and over words.
+BYTE_BASE, BASES = 0xA0761D6478BD642F, (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_LETTER = mixed64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_deflate, _inflate = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+_powers: dict[int, np.ndarray] = {}
 
-class _Hashes(dict):
-    """XXH64 of words, kept."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+def _power(base: int, n: int) -> np.ndarray:
+    """base, base^2 .. base^n modulo 2^64."""
+    if len(_powers.get(base, ())) < n:
+        _powers[base] = np.full(max(n, 1 << 16), base, np.uint64).cumprod()
+    return _powers[base][:n]
 
 
-_KNOWN = _Hashes()
-_deflate, _inflate = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+def _sums(values: np.ndarray, base: int) -> np.ndarray:
+    """Running sums of values over powers of the base, from an empty one."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _power(pow(base, -1, 1 << 64), len(values)))])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -60,16 +66,27 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def word_values(text: str | None) -> np.ndarray:
+    """A hash of every word, from running sums over the text's bytes."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    raw = np.frombuffer(data, np.uint8)
+    letter = np.zeros(len(raw) + 2, np.int8)
+    letter[1:-1] = ~_SPACE[raw]
+    edges = np.nonzero(np.diff(letter))[0]
+    starts, ends = edges[::2], edges[1::2]
+    sums = _sums(_LETTER[raw], BYTE_BASE)
+    out = mixed64((sums[ends] - sums[starts]) * _power(BYTE_BASE, len(raw) + 1)[starts])
+    for i in np.nonzero(ends - starts > LONG_WORD)[0].tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i]:ends[i]])
+    return out
+
+
 def rolling(values: np.ndarray, width: int, base: int) -> np.ndarray:
     """The polynomial hash of every ``width`` values in a row, each from two running sums."""
-    n = len(values)
-    if n < width:
+    if len(values) < width:
         return np.zeros(0, np.uint64)
-    inverse = pow(base, -1, 1 << 64)
-    down = np.full(n, inverse, np.uint64).cumprod()
-    up = np.full(n - width + 1, base, np.uint64).cumprod()
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * down)])
-    return (sums[width:] - sums[:-width]) * up
+    sums = _sums(values, base)
+    return (sums[width:] - sums[:-width]) * _power(base, len(values) - width + 1)
 
 
 def window_hashes(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +95,11 @@ def window_hashes(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarra
     return first, (second >> np.uint64(48)).astype(np.uint16)
 
 
-def _values(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
+def _runs(h: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Where a new window begins in rows sorted by hash."""
+    starts = np.ones(len(h), bool)
+    starts[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+    return starts
 
 
 def packed(h: np.ndarray, s: np.ndarray, doc: np.ndarray) -> bytes:
@@ -106,8 +126,7 @@ def _counted(docs: list[tuple[int, np.ndarray]], width: int, buckets: int) -> pa
     inside = np.nonzero(np.arange(len(first)) + width <= ends[owner[:len(first)]])[0]
     order = inside[np.argsort(first[inside], kind="stable")]
     h, s, doc = first[order], second[order], np.array([d for d, _ in docs], np.int64)[owner[order]]
-    starts = np.ones(len(h), bool)
-    starts[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+    starts = _runs(h, s)
     least = doc[np.maximum.accumulate(np.where(starts, np.arange(len(h)), 0))]
     again = np.zeros(len(h), bool)
     again[1:] = ~starts[1:] & (doc[1:] == doc[:-1])
@@ -128,14 +147,15 @@ def _counted(docs: list[tuple[int, np.ndarray]], width: int, buckets: int) -> pa
 
 
 def windows(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """hash, second, doc, decided: the windows, counted piece by piece, all of a hash in one partition."""
-    buckets = 3 * salts(docs)
+    """bucket, decided, n, data: the windows counted piece by piece, as lists (see ``packed``) per bucket of hashes."""
+    size = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = 1 + size // BUCKET_BYTES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece, held = [], 0
         for batch in batches:
             for doc, said in zip(batch.column(0).to_pylist(), batch.column(1)):
-                values = _values(words_of(said.as_py()))
+                values = word_values(said.as_py())
                 if len(values) < width:
                     continue
                 if piece and held + len(values) > WORDS_AT_ONCE:
@@ -146,40 +166,47 @@ def windows(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: s
         if piece:
             yield _counted(piece, width, buckets)
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for decided, n, data in zip(*(batch.column(c).to_pylist() for c in ("decided", "n", "data"))):
-                h, s, doc = unpacked(data, n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(s.astype(np.int32)), pa.array(doc), pa.array(np.full(n, decided))],
-                    names=["hash", "second", "doc", "decided"])
-
     slim = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    dealt = slim.mapInArrow(count, "bucket int, decided boolean, n int, data binary").repartition("bucket")
-    return dealt.mapInArrow(unpack, "hash long, second int, doc long, decided boolean")
-
-
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by hash and document: those of a document that is not the window's first."""
-    last = None
-    for batch in batches:
-        h, s, doc = (batch.column(c).to_numpy() for c in ("hash", "second", "doc"))
-        if not len(h):
-            continue
-        starts = np.ones(len(h), bool)
-        starts[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-        least = doc[np.maximum.accumulate(np.where(starts, np.arange(len(h)), 0))]
-        if last is not None and (h[0], s[0]) == last[:2]:
-            least[:int(np.argmax(starts[1:])) + 1 if starts[1:].any() else len(h)] = last[2]
-        last = h[-1], s[-1], least[-1]
-        found = np.nonzero((doc > least) | batch.column("decided").to_numpy(zero_copy_only=False))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[found]), pa.array(h[found])], names=["doc", "hash"])
+    dealt = slim.mapInArrow(count, "bucket int, decided boolean, n int, data binary")
+    return dealt.repartition(max(buckets, salts(docs)), "bucket")
+
+
+def _later(lists: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and hashes of a bucket's windows that a smaller doc_id holds as well."""
+    h, s, doc = (np.concatenate(x) for x in zip(*(unpacked(data, n) for n, data in lists)))
+    order = np.argsort(h, kind="stable")
+    starts = _runs(h[order], s[order])
+    if starts.sum() > 1 + np.count_nonzero(np.diff(h[order])):  # one hash, several windows
+        order = np.lexsort((s, h))
+        starts = _runs(h[order], s[order])
+    h, doc = h[order], doc[order]
+    at = np.nonzero(starts)[0]
+    least = np.repeat(np.minimum.reduceat(doc, at), np.diff(at, append=len(doc)))
+    return doc[doc > least], h[doc > least]
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, hash: windows of a document that also start in a document with a smaller doc_id."""
-    rows = windows(docs, width, doc_id, text).sortWithinPartitions("hash", "second", "doc")
-    return rows.mapInArrow(_later, "doc long, hash long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(doc: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(h.view(np.int64))], names=["doc", "hash"])
+
+        lists, now = [], None
+        for batch in batches:
+            for bucket, decided, n, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "decided", "n", "data"))):
+                if decided:
+                    h, _, doc = unpacked(data, n)
+                    yield found(doc, h)
+                    continue
+                if bucket != now and lists:
+                    yield found(*_later(lists))
+                    lists = []
+                now = bucket
+                lists.append((n, data))
+        if lists:
+            yield found(*_later(lists))
+
+    return windows(docs, width, doc_id, text).sortWithinPartitions("bucket").mapInArrow(run, "doc long, hash long")
 
 
 def intervals(covered: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -210,7 +237,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id",
                 words = words_of(said.as_py())
                 spans = []
                 if hashes[i].is_valid:
-                    first, _ = window_hashes(_values(words), width)
+                    first, _ = window_hashes(word_values(said.as_py()), width)
                     spans = intervals(np.nonzero(np.isin(first.view(np.int64), hashes[i].values.to_numpy()))[0], width)
                 kept, at = [], 0
                 for start, end in spans:

@@ -67,6 +67,23 @@ def test_rolling_hash_is_the_polynomial():
     assert len(substring_dedup.rolling(values[:2], 3, substring_dedup.BASES[0])) == 0
 
 
+def test_words_of_equal_bytes_have_equal_values():
+    rng = np.random.default_rng(8)
+    text = "".join(rng.choice([*"ab\u00e9 \t\n", "\x1c", "\u00a0", "\u2028", "q" * 200], 20_000))
+    words, values = substring_dedup.words_of(text), substring_dedup.word_values(text).tolist()
+    assert len(words) == len(values) and len(set(words)) == len(set(values)) == len(set(zip(words, values)))
+    assert not len(substring_dedup.word_values(None)) and not len(substring_dedup.word_values(" \n"))
+
+
+def test_lists_survive_packing_and_colliding_hashes_stay_apart():
+    h, s = np.array([3, 3, 3, 9, 1 << 63], np.uint64), np.array([1, 2, 1, 5, 5], np.uint16)
+    doc = np.array([7, 4, 9, 1, -2], np.int64)
+    for a, b in zip(substring_dedup.unpacked(substring_dedup.packed(h, s, doc), 5), (h, s, doc)):
+        assert a.tolist() == b.tolist() and a.dtype == b.dtype
+    found = substring_dedup._later([(5, substring_dedup.packed(h, s, doc)), (1, substring_dedup.packed(h[3:4], s[3:4], doc[:1]))])
+    assert sorted(zip(*(x.tolist() for x in found))) == [(7, 9), (9, 3)]
+
+
 def test_intervals_merge():
     assert substring_dedup.intervals(np.array([2, 3, 4, 9, 30]), 5) == [(2, 14), (30, 35)]
     assert substring_dedup.intervals(np.zeros(0, np.int64), 5) == []
@@ -76,6 +93,7 @@ def test_intervals_merge():
 def test_substrings_against_brute_force(spark, monkeypatch, piece):
     """Few words, so that most windows repeat; whole documents repeat, in any order of ids."""
     monkeypatch.setattr(substring_dedup, "WORDS_AT_ONCE", piece)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 500)
     rng = np.random.default_rng(5)
     texts = [" ".join(rng.choice(["a", "b", "c", "ä"], rng.integers(0, 30))) for _ in range(120)]
     texts += texts[:20]
