@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 from quotemill.llm.common import mixed64, salts
 
 WIDTH = 13
-#: Words hashed and counted together; a longer document is a piece of its own.
-WORDS_AT_ONCE = 1_000_000
-#: Bytes of text whose windows share a bucket, on average: what a task of the second step holds at a time.
-BUCKET_BYTES = 24_000_000
+#: Words hashed and counted together; a longer document is a piece of its own. A task holds about 100 bytes a word.
+WORDS_AT_ONCE = 500_000
+#: Bytes of text whose windows share a bucket, on average. A task holds about ten times that. A list has
+#: WORDS_AT_ONCE * BUCKET_BYTES / (bytes of all texts) windows: raise both with the workers' memory for corpora
+#: beyond a few TB, so that lists stay longer than some dozens.
+BUCKET_BYTES = 8_000_000
 #: Longer words are hashed by XXH64: polynomials modulo 2^64 tell short strings apart, not all long ones.
 LONG_WORD = 128
 #: Odd bases of the polynomials over bytes and over words.
@@ -146,10 +148,12 @@ def _counted(docs: list[tuple[int, np.ndarray]], width: int, buckets: int) -> pa
         names=["bucket", "decided", "n", "data"])
 
 
-def windows(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def windows(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text",
+            piece_words: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
     """bucket, decided, n, data: the windows counted piece by piece, as lists (see ``packed``) per bucket of hashes."""
     size = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = 1 + size // BUCKET_BYTES
+    buckets = 1 + size // (bucket_bytes or BUCKET_BYTES)
+    most = piece_words or WORDS_AT_ONCE
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece, held = [], 0
@@ -158,7 +162,7 @@ def windows(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: s
                 values = word_values(said.as_py())
                 if len(values) < width:
                     continue
-                if piece and held + len(values) > WORDS_AT_ONCE:
+                if piece and held + len(values) > most:
                     yield _counted(piece, width, buckets)
                     piece, held = [], 0
                 piece.append((doc, values))
@@ -185,7 +189,7 @@ def _later(lists: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return doc[doc > least], h[doc > least]
 
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_windows(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text", **sizes) -> DataFrame:
     """doc, hash: windows of a document that also start in a document with a smaller doc_id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(doc: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
@@ -206,7 +210,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id"
         if lists:
             yield found(*_later(lists))
 
-    return windows(docs, width, doc_id, text).sortWithinPartitions("bucket").mapInArrow(run, "doc long, hash long")
+    return windows(docs, width, doc_id, text, **sizes).sortWithinPartitions("bucket").mapInArrow(run, "doc long, hash long")
 
 
 def intervals(covered: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -220,9 +224,12 @@ def intervals(covered: np.ndarray, width: int) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text",
-                   with_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, removed (intervals of words), kept_sha256 and, if asked for, kept (the words left)."""
-    gone = (repeated_windows(docs, width, doc_id, text).groupBy("doc").agg(F.collect_list("hash").alias("hashes")))
+                   with_text: bool = True, **sizes) -> DataFrame:
+    """doc_id, n_words, n_removed, removed (intervals of words), kept_sha256 and, if asked for, kept (the words left).
+
+    ``sizes``: ``piece_words`` and ``bucket_bytes`` (WORDS_AT_ONCE and BUCKET_BYTES by default).
+    """
+    gone = (repeated_windows(docs, width, doc_id, text, **sizes).groupBy("doc").agg(F.collect_list("hash").alias("hashes")))
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     joined = slim.join(gone, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "hashes")
     kinds = [pa.int64(), pa.int64(), pa.int64(),
