@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotemill.session import stored
 
-__all__ = ["stored", "files_for", "numbered", "connected", "salts", "workers_import", "looked_up", "mixed64", "byte_letters"]
+__all__ = ["stored", "files_for", "numbered", "connected", "salts", "workers_import", "looked_up", "mixed64", "byte_letters", "text_hashes",
+           "without_rows"]
 
 #: Rows of a helper table in one file: enough to keep tasks small, few enough files.
 ROWS_PER_FILE = 250_000
@@ -39,6 +40,19 @@ def byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in keep}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
+def text_hashes(text: Column) -> list[Column]:
+    """h1, h2: 128 bits that stand for a text beside its doc_id; NULL and empty texts differ."""
+    return [F.xxhash64(F.lit(i), text, text.isNull()).alias(f"h{i}") for i in (1, 2)]
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows whose doc_id (NULL like any other) and text are not among doc_id, h1, h2 of ``gone``."""
+    named = gone.select(F.col("doc_id").alias("_gone_id"), F.col("h1").alias("_gone_1"), F.col("h2").alias("_gone_2")).distinct()
+    h1, h2 = text_hashes(docs[text])
+    same = docs[doc_id].cast("long").eqNullSafe(named["_gone_id"]) & (h1 == named["_gone_1"]) & (h2 == named["_gone_2"])
+    return docs.join(named, same, "left_anti")
+
+
 def looked_up(left: DataFrame, right: DataFrame, key: str, often: DataFrame) -> DataFrame:
     """Inner join to ``right``, where ``key`` is unique, without a hot key.
 

@@ -9,14 +9,18 @@ a text if a stretch of it is within ``floor((1 - similarity) * n)`` word edits.
 2. CGK embedding: a walk over the window repeats or passes a word by a random bit of (step, word), so
    few edits become few differing steps. One repetition reads ``samples`` steps, spread over the walk,
    and looks the values up among the items' own. The number of repetitions is the least that reaches
-   ``recall`` on the items themselves, edited at random as far as allowed.
+   ``recall`` on the items themselves, edited at random as far as allowed, and again on fresh edits; if
+   none does, that is an error.
 3. Every hit is verified exactly: word edit distance of the item to its best stretch around the window.
 
-The benchmark is held by every task, at most ``ITEMS_AT_ONCE`` items at a time; a larger one is searched
-in several passes. Texts are never shuffled.
+The benchmark is held by every task, ``ITEM_WORDS_AT_ONCE`` words at a time; a larger one is searched
+in several passes. Items and windows are worked on by size class, so a long item does not widen the others.
+Texts are never shuffled.
 
-Cases: NULL or empty texts hold nothing; items of fewer than ``min_words`` words (NULL: none) cannot be
-told from prose and are not searched; repeated items are reported each, repeated rows each; all
+Items too short for an edit (four words at 0.8) are matched word for word. ``decontaminated`` leaves out
+items of fewer than ``min_words`` words, because prose holds those by chance; ``find_leaks`` reports them.
+
+Cases: NULL or empty texts hold nothing; items without words are never found; repeated items are reported each, repeated rows each; all
 occurrences that don't overlap are found, ties going to the earlier; empty tables give no rows; extra
 columns are ignored, columns of the documents may have any name.
 """
@@ -34,7 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ITEMS_AT_ONCE = 20_000
+from quotemill.llm.common import text_hashes, without_rows
+
+#: Words of items that a task holds at a time (longer benchmarks are searched in passes), and of windows.
+ITEM_WORDS_AT_ONCE, CELLS_AT_ONCE = 1_000_000, 3_000_000
+#: Repetitions tried before a recall counts as out of reach.
+MOST_REPETITIONS = 256
 _WORD = re.compile(r"[^\W_]+")
 _ASCII = bytes(32 if not chr(b).isalnum() else ord(chr(b).lower()) for b in range(128)) + bytes([32] * 128)
 
@@ -133,13 +142,23 @@ class Items:
         self.anchor_item = np.array([k for k, _ in flat], np.int64)
         self.anchor_place = np.array([o for _, o in flat], np.int64)
         self.anchors = counts
-        self.width, self.slack = int(self.sizes.max()), int(self.edits.max())
         self._repeat(recall, samples)
 
-    def padded(self, rows: list[list[int]]) -> np.ndarray:
-        out = np.zeros((len(rows), self.width), np.int64)
-        for i, r in enumerate(rows):
-            out[i, :min(len(r), self.width)] = r[:self.width]
+    def signed(self, rows: list, sizes: np.ndarray, rep: int, samples: int) -> np.ndarray:
+        """Signatures of rows of word ids; rows are padded to the widest of their size class, not of all."""
+        out = np.zeros(len(rows), np.uint64)
+        classes = np.frexp(sizes)[1]
+        for c in np.unique(classes):
+            mine = np.nonzero(classes == c)[0]
+            mine = mine[np.argsort(-sizes[mine], kind="stable")]
+            width = int(sizes[mine[0]])
+            for lo in range(0, len(mine), max(1, CELLS_AT_ONCE // width)):
+                part = mine[lo:lo + max(1, CELLS_AT_ONCE // width)]
+                padded = np.zeros((len(part), int(sizes[part[0]])), np.int64)
+                for i, k in enumerate(part.tolist()):
+                    row = rows[k][:int(sizes[k])]
+                    padded[i, :len(row)] = row
+                out[part] = signatures(padded, sizes[part], rep, samples)
         return out
 
     def _edited(self, k: int, rng: np.random.Generator) -> list[int]:
@@ -160,33 +179,44 @@ class Items:
         window = words[max(start, 0):start + len(self.words[k])]
         return [0] * max(-start, 0) + window
 
+    def _edits(self, seed: int) -> tuple[np.ndarray, list[list[int]]]:
+        """Items drawn at random, twice each, and windows over copies edited as far as allowed."""
+        rng = np.random.default_rng(seed)
+        who = np.repeat(np.sort(rng.choice(len(self.words), size=min(400, len(self.words)), replace=False)), 2)
+        return who, [self._edited(k, rng) for k in who]
+
     def _repeat(self, recall: float, samples: int) -> None:
-        rng = np.random.default_rng(11)
-        who = np.sort(rng.choice(len(self.words), size=min(400, len(self.words)), replace=False))
-        who = np.repeat(who, 2)
-        edited, sizes = self.padded([self._edited(k, rng) for k in who]), self.sizes[who]
-        own = self.padded([self.words[k] for k in who])
+        """Repetitions that reach the recall on one set of edits, and on a second one that nothing was fitted to.
+
+        The second set may fall short by two standard errors. If no number of repetitions does, that is an error.
+        """
+        sets = [self._edits(seed) for seed in (11, 12)]
+        goals = [recall, recall - 2 * (recall * (1 - recall) / len(sets[1][0])) ** 0.5]
         for self.samples in range(samples, 0, -1):
-            hit, self.repetitions = np.zeros(len(who), bool), 0
-            while hit.mean() < recall and self.repetitions < 64:
-                hit |= (signatures(edited, sizes, self.repetitions, self.samples)
-                        == signatures(own, sizes, self.repetitions, self.samples))
+            hits = [np.zeros(len(who), bool) for who, _ in sets]
+            self.repetitions = 0
+            while any(h.mean() < g for h, g in zip(hits, goals)) and self.repetitions < MOST_REPETITIONS:
+                for hit, (who, edited) in zip(hits, sets):
+                    own = [self.words[k] for k in who]
+                    hit |= (self.signed(edited, self.sizes[who], self.repetitions, self.samples)
+                            == self.signed(own, self.sizes[who], self.repetitions, self.samples))
                 self.repetitions += 1
-            if hit.mean() >= recall:
+            if all(h.mean() >= g for h, g in zip(hits, goals)):
                 break
+        else:
+            raise ValueError(f"recall {recall} is not reached by {MOST_REPETITIONS} repetitions: "
+                             f"{[float(h.mean()) for h in hits]}; allow fewer edits or less recall")
         self.repetitions = max(self.repetitions, 4)
-        whole = self.padded(self.words)
         self.tables = []
         for rep in range(self.repetitions):
-            values = signatures(whole, self.sizes, rep, self.samples)
+            values = self.signed(self.words, self.sizes, rep, self.samples)
             order = np.argsort(values, kind="stable")
             self.tables.append((values[order], order))
 
 
 def search(items: Items, texts: Iterator[tuple[int, list[str]]]) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, distance, start, end) for every leak in numbered texts; start and end count words."""
-    get, gap = items.vocabulary.get, items.width + 2 * items.slack + 1
-    most = max(1000, 3_000_000 // gap)
+    get = items.vocabulary.get
     waiting, held = [], 0
     for row, words in texts:
         ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
@@ -197,33 +227,33 @@ def search(items: Items, texts: Iterator[tuple[int, list[str]]]) -> Iterator[tup
         one = np.repeat(items.first[ids[at]] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
         start = np.repeat(at, many) - items.anchor_place[one]
         found = np.unique(np.stack([start, items.sizes[items.anchor_item[one]]]), axis=1)
-        for lo in range(0, found.shape[1], most):
-            part = found[:, lo:lo + most]
+        piece = np.cumsum(found[1]) // CELLS_AT_ONCE
+        for c in np.unique(piece):
+            part = found[:, piece == c]
             waiting.append((row, ids, part[0], part[1]))
-            held += part.shape[1]
-            if held >= most:
+            held += int(part[1].sum())
+            if held >= CELLS_AT_ONCE:
                 yield from _verified(items, waiting)
                 waiting, held = [], 0
     if waiting:
         yield from _verified(items, waiting)
 
 
+def _window(ids: np.ndarray, start: int, size: int) -> np.ndarray:
+    """Words from ``start`` on; zeros where the window begins before the text."""
+    if start >= 0:
+        return ids[start:start + size]
+    return np.concatenate([np.zeros(min(-start, size), np.int64), ids[:max(start + size, 0)]])
+
+
 def _verified(items: Items, waiting: list[tuple]) -> Iterator[tuple[int, int, int, int, int]]:
     sizes = np.concatenate([w[3] for w in waiting])
     starts = np.concatenate([w[2] for w in waiting])
     owner = np.repeat(np.arange(len(waiting)), [len(w[2]) for w in waiting])
-    windows = np.zeros((len(sizes), items.width), np.int64)
-    begin = 0
-    for _, ids, start, size in waiting:
-        at = start[:, None] + np.arange(items.width)
-        inside = (at >= 0) & (at < len(ids)) & (np.arange(items.width) < size[:, None])
-        windows[begin:begin + len(start)] = np.where(inside, ids[np.clip(at, 0, len(ids) - 1)], 0)
-        begin += len(start)
-    order = np.argsort(-sizes, kind="stable")
-    windows, sizes, starts, owner = windows[order], sizes[order], starts[order], owner[order]
+    windows = [_window(waiting[o][1], i, n) for o, i, n in zip(owner.tolist(), starts.tolist(), sizes.tolist())]
     hits = []
     for rep, (values, whose) in enumerate(items.tables):
-        mine = signatures(windows, sizes, rep, items.samples)
+        mine = items.signed(windows, sizes, rep, items.samples)
         lo, hi = np.searchsorted(values, mine, side="left"), np.searchsorted(values, mine, side="right")
         some = np.nonzero(hi > lo)[0]
         many = (hi - lo)[some]
@@ -250,19 +280,29 @@ def _verified(items: Items, waiting: list[tuple]) -> Iterator[tuple[int, int, in
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.99,
-               samples: int = 2, min_words: int = 5, doc_id: str = "doc_id", text: str = "text",
+               samples: int = 2, min_words: int = 1, doc_id: str = "doc_id", text: str = "text",
                item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, distance, similarity, start_word, end_word: every leak of an item into a document."""
+    found = _leaks(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), benchmark,
+                   similarity, recall, samples, min_words, item_id, item_text)
+    return found.drop("h1", "h2")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, similarity: float, recall: float, samples: int, min_words: int,
+           item_id: str, item_text: str) -> DataFrame:
+    """Leaks into rows of doc_id, text, with two hashes of the row's text."""
     rows = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
     rows = rows.where("t IS NOT NULL").orderBy("i", "t").toLocalIterator()
-    schema = "doc_id long, item_id long, distance long, similarity double, start_word long, end_word long"
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    passes, chunk = [], []
+    schema = "doc_id long, h1 long, h2 long, item_id long, distance long, similarity double, start_word long, end_word long"
+    slim = docs.select("doc_id", *text_hashes(F.col("text")), "text")
+    passes, chunk, held = [], [], 0
     for r in rows:
-        chunk.append((r["i"], r["t"]))
-        if len(chunk) == ITEMS_AT_ONCE:
+        size = len(words_of(r["t"]))
+        if chunk and held + size > ITEM_WORDS_AT_ONCE:
             passes.append(chunk)
-            chunk = []
+            chunk, held = [], 0
+        chunk.append((r["i"], r["t"]))
+        held += size
     passes.append(chunk)
     found = []
     for chunk in passes:
@@ -281,22 +321,25 @@ def _searched(shared):
 
         def texts() -> Iterator[tuple[int, list[str]]]:
             for batch in batches:
-                for doc, said in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    names.append(doc)
+                for *name, said in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+                    names.append(name)
                     yield len(names) - 1, words_of(said.as_py())
 
         out = []
         for row, k, distance, start, end in search(items, texts()):
-            out.append((names[row], items.ids[k], distance, 1 - distance / int(items.sizes[k]), start, end))
-        columns = list(zip(*out)) or [()] * 6
-        kinds = [pa.int64()] * 3 + [pa.float64()] + [pa.int64()] * 2
+            out.append((*names[row], items.ids[k], distance, 1 - distance / int(items.sizes[k]), start, end))
+        columns = list(zip(*out)) or [()] * 8
+        kinds = [pa.int64()] * 5 + [pa.float64()] + [pa.int64()] * 2
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(columns, kinds)],
-            names=["doc_id", "item_id", "distance", "similarity", "start_word", "end_word"])
+            names=["doc_id", "h1", "h2", "item_id", "distance", "similarity", "start_word", "end_word"])
     return run
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents that no item leaks into."""
-    gone = find_leaks(docs, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.99, samples: int = 2,
+                   min_words: int = 5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
+                   item_text: str = "text") -> DataFrame:
+    """The rows whose text no item leaks into, whatever other rows share their doc_id."""
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    gone = _leaks(slim, benchmark, similarity, recall, samples, min_words, item_id, item_text)
+    return without_rows(docs, gone, doc_id, text)

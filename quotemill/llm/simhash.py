@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import connected, files_for, stored
+from quotemill.llm.common import connected, files_for, stored, text_hashes, without_rows
 
 BITS, SEED = 64, 42
 #: Fingerprints compared at once; larger groups are cut into pairs of such parts.
@@ -58,15 +58,20 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int((bits << np.arange(BITS, dtype=np.uint64)).sum(dtype=np.uint64))
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def with_fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text",
+                      hashes: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long); with h1 and h2 of the text, if asked for."""
+    names = ["doc_id", "h1", "h2"] if hashes else ["doc_id"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(found.view(np.int64))],
+                                             names=[*names, "fp"])
 
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *(text_hashes(F.col(text)) if hashes else []),
+                       F.col(text).alias("text"))
+    return slim.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "fp"]))
 
 
 def co_occurrence(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -257,7 +262,22 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 3, doc_id:
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3, doc_id: str = "doc_id",
              text: str = "text") -> DataFrame:
-    """The documents without those whose group has a smaller doc_id; rows without doc_id stay."""
-    groups = simhash_groups(docs, shingle, distance, doc_id, text)
-    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    """One row of each group: that with the smallest doc_id (NULL last), among those the one with the smallest hash.
+
+    Rows are told apart by doc_id and text, so another text under the same doc_id stays; of rows that agree in
+    both, one does.
+    """
+    rows = stored(with_fingerprints(docs, shingle, doc_id, text, hashes=True), "fingerprints")
+    many = rows.count()
+    files = files_for(many)
+    prints = stored(rows.select("fp", F.col("fp").alias("node")).distinct(), "prints", files)
+    groups = connected(links(prints, distance), many)
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h1", "h2")
+    grouped = stored(rows.join(groups, F.col("fp") == F.col("node"), "left").select(
+        F.coalesce("component", "fp").alias("group"), row.alias("row")).groupBy("group", "row").count(), "grouped", files)
+    kept = grouped.groupBy("group").agg(F.min("row").alias("keep"))
+    gone = grouped.join(kept, "group").where("row <> keep").select("row.doc_id", "row.h1", "row.h2")
+    if not grouped.where("count > 1").isEmpty():
+        hashed = docs.withColumns({f"_sh_{i}": h for i, h in enumerate(text_hashes(F.col(text)))})
+        docs = hashed.dropDuplicates([doc_id, "_sh_0", "_sh_1"]).select(*docs.columns)
+    return without_rows(docs, gone, doc_id, text)

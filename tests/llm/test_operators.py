@@ -269,16 +269,85 @@ def test_lines_exact_and_fuzzy(spark, odd):
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
 
 
-def test_native_simhash_of_long_lines_counts_every_chunk(spark):
-    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}word" for i in range(1300)]
-    table = line_dedup.line_table(spark.createDataFrame([(1, 1, " ".join(words)), (2, 2, " ".join(words[:500])), (3, 3, " ".join(words[:30]))],
-                                                        "row long, doc long, text string"))
-    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
-    for r in table.collect():
-        used = [hashes[w] & (1 << 64) - 1 for w in words[:{1: 1300, 2: 500, 3: 30}[r.row]]]
-        bit = lambda h, b: h >> (b % 10 + 10 * (b // 10)) & 1
-        want = sum((2 * sum(bit(h, b) for h in used) > len(used)) << b for b in range(60))
-        assert r.bits == want
+def test_recall_of_changed_lines(spark):
+    """Lines of 3 to 80 random words with a few changed ones, as similar as the limit asks."""
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    vocabulary = ["".join(rng.choice(letters, rng.integers(2, 11))) for _ in range(5000)]
+    texts, kinds = [], []
+    for n, k in ((3, 0), (5, 1), (8, 1), (12, 1), (20, 2), (40, 2), (40, 5), (80, 4), (80, 10)):
+        made = 0
+        while made < 60:
+            a = rng.choice(vocabulary, n).tolist()
+            b = list(a)
+            if not k:  # one letter of the longest word
+                at = max(range(n), key=lambda i: len(b[i]))
+                b[at] = b[at][:-1] + "0"
+                b[at] = b[at].replace("0", "z" if a[at][-1] != "z" else "y")
+            for at in rng.choice(n, k, replace=False).tolist():
+                b[at] = str(rng.choice(vocabulary))
+            x, y = " ".join(a), " ".join(b)
+            if x == y or sum(max(len(u), len(v)) for u, v in zip(a, b) if u != v) * (k > 0) > 0.2 * max(len(x), len(y)):
+                continue  # kept if certainly similar: what replacing the words whole takes
+            texts += [x, y]
+            kinds.append((n, k))
+            made += 1
+    got = {r.doc_id: r._ld_removed for r in line_dedup.dedup_lines(docs_of(spark, *texts)).collect()}
+    assert not any(got[i] for i in range(0, len(texts), 2))
+    for kind in set(kinds):
+        hits = [got[2 * i + 1] for i, x in enumerate(kinds) if x == kind]
+        assert np.mean(hits) >= 0.9, (kind, np.mean(hits))
+
+
+SIX = [(1, "A"), (2, "A"), (2, "B"), (7, "C"), (7, "C"), (None, "A")]
+
+
+def test_near_duplicates_are_dropped_by_row(spark):
+    said = {c: " ".join(f"{c.lower()}{i}" for i in range(40)) for c in "ABC"}
+    docs = docs_of(spark, *[said[t] for _, t in SIX], None, "", ids=[d for d, _ in SIX] + [None, 3])
+    left = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=str)
+    assert left == sorted([(1, said["A"]), (2, said["B"]), (7, said["C"]), (3, "")], key=str)
+    assert simhash.keep_one(docs).columns == docs.columns and simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_leaks_are_dropped_by_row_and_short_items_reported(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item), (2, "no"), (3, "two words"), (4, " "), (5, None), (1, item)], "item_id long, text string")
+    texts = ["x " + item, "clean no doubt two words", item, None, item + " y", "clean no doubt two words", "two, WORDS"]
+    docs = docs_of(spark, *texts, ids=[5, 5, None, None, 6, 5, 8])
+    found = sorted((r.doc_id or -1, r.item_id, r.distance) for r in decontaminate.find_leaks(docs, bench).collect())
+    assert found == sorted([(-1, 1, 0)] * 2 + [(5, 1, 0)] * 2 + [(6, 1, 0)] * 2 + [(5, 2, 0), (5, 3, 0)] * 2 + [(8, 3, 0)])
+    left = sorted(((r.doc_id or -1, r.text or "") for r in decontaminate.decontaminated(docs, bench).collect()))
+    assert left == [(-1, ""), (5, texts[1]), (5, texts[1]), (8, texts[6])]
+
+
+def test_leak_search_against_brute_force(spark):
+    """Every stretch within the edits allowed is found but for the recall's share; one item is far longer than the rest."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    items = [[word() for _ in range(n)] for n in (6, 9, 15, 30, 60, 600)]
+    texts = []
+    for _ in range(80):
+        leak = list(items[int(rng.integers(6))])
+        for _ in range(int(rng.integers(0, int(0.3 * len(leak)) + 1))):
+            at = int(rng.integers(len(leak)))
+            leak[at:at + int(rng.integers(2))] = [word()] * int(rng.integers(2))
+        texts.append([word() for _ in range(30)] + leak + [word() for _ in range(30)])
+    number = {}
+    ids = lambda ws: [number.setdefault(w, len(number)) for w in ws]
+    want = {(d, k) for d, t in enumerate(texts) for k, item in enumerate(items)
+            if decontaminate.best_stretch(ids(item), ids(t))[0] <= int(0.2 * len(item) + 1e-9)}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs_of(spark, *[" ".join(t) for t in texts]), bench).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 40
+
+
+def test_recall_out_of_reach_is_an_error(monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_REPETITIONS", 1)
+    rng = np.random.default_rng(13)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(40))) for i in range(20)]
+    with pytest.raises(ValueError, match="not reached"):
+        decontaminate.Items(rows, similarity=0.3, recall=0.999, samples=1, min_words=1)
 
 
 def test_jump_hash_moves_only_into_the_new_shard(spark, odd):
