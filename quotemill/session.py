@@ -57,5 +57,5 @@ def stored(df: DataFrame, purpose: str, files: int | None = None) -> DataFrame:
     ``files`` bounds the number of files, for tables whose size is known to be small.
     """
     path = f"{shared_dir(df.sparkSession, purpose)}/rows"
-    (df.coalesce(files) if files else df).write.parquet(path)
+    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
