@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 from quotemill.functions.dates import day as as_day
 from quotemill.functions.values import ratio
 from quotemill.schemas import FLOW_COLUMNS
+from quotemill.session import stored
 
 
 def latest_version(df: DataFrame, keys: Sequence[str] = ("code", "stat_date"),
@@ -108,16 +111,123 @@ def _differs(x: Column, y: Column, numeric: bool, atol: float, rtol: float) -> C
     return ~same
 
 
-def _cell(x: Column, shift: float, atol: float, rtol: float) -> Column:
-    """Number of the grid cell of ``x``: about 100 tolerances wide, in proportion to large values.
+def _overlap(a: Column, b: Column, atol: float, rtol: float) -> Column:
+    """Whether two ascending neighbours are so close that values around them may be within the tolerance."""
+    return b - a <= F.lit(atol) + F.lit(rtol) * F.greatest(F.abs(a), F.abs(b))
 
-    Values within the tolerance of each other share the cell in at least one of the grids that are
-    half a cell apart (``shift`` 0 and 0.5).
+
+def matched(left: list[tuple], right: list[tuple], numeric: Sequence[bool], atol: float, rtol: float) -> int:
+    """The largest number of pairs of a left and a right row that agree in all columns within the tolerance.
+
+    Both lists are in order of the first number, and a row's partners lie in a stretch of the other list. Each row
+    takes its first free partner; where it has none, partners are handed on along augmenting paths.
+    """
+    lead = next((i for i, n in enumerate(numeric) if n), None)
+
+    def near(x, y) -> bool:
+        if x is None or y is None or x != x or y != y:
+            return x is y or (x is not None and y is not None and x != x and y != y)
+        return x == y or abs(x - y) <= atol + rtol * abs(y)
+
+    def agree(x: tuple, y: tuple) -> bool:
+        return all(near(u, v) if n else u == v for u, v, n in zip(x, y, numeric))
+
+    def order(row: tuple) -> tuple:
+        v = row[lead] if lead is not None else None
+        return (2, 0.0) if v is None else (1, 0.0) if v != v else (0, v)
+
+    left, right = sorted(left, key=order), sorted(right, key=order)
+    partners, low = [], 0
+    for x in left:
+        v = order(x)
+        if v[0] == 0 and abs(v[1]) != float("inf"):
+            reach = 2 * (atol + rtol * abs(v[1])) + 1e-300
+            while low < len(right) and order(right[low]) < (0, v[1] - reach):
+                low += 1
+            high = low
+            while high < len(right) and order(right[high]) <= (0, v[1] + reach):
+                high += 1
+            stretch = range(low, high)
+        else:
+            stretch = range(len(right)) if lead is None else (j for j in range(len(right)) if order(right[j]) == v)
+        partners.append([j for j in stretch if agree(x, right[j])])
+    of_left: list[int | None] = [None] * len(left)
+    of_right: list[int | None] = [None] * len(right)
+    pairs = 0
+    for start in range(len(left)):
+        came, queue, end = {}, [start], None  # breadth first over rows of the left side
+        while queue and end is None:
+            for i in list(queue):
+                queue.remove(i)
+                for j in partners[i]:
+                    if j in came:
+                        continue
+                    came[j] = i
+                    if of_right[j] is None:
+                        end = j
+                        break
+                    queue.append(of_right[j])
+                if end is not None:
+                    break
+        pairs += end is not None
+        while end is not None:  # hand partners on along the path, back to the row it began with
+            i = came[end]
+            given_up, of_right[end], of_left[i] = of_left[i], i, end
+            end = given_up
+    return pairs
+
+
+def _unmatched(both: DataFrame, numeric: list[bool], atol: float, rtol: float) -> DataFrame:
+    """Keys (by ``_id``) with rows on both sides, as many on each, that cannot all be matched within the tolerance.
+
+    ``both``: _id, _left and the values _c0.. of all rows. Equal rows of a key are counted once, per side, and what
+    both sides have is taken off: two equal rows can always be each other's partners. What is left of a key is cut into
+    runs: sorted by its first number, a run ends where the next value is out of the tolerance's reach, so no
+    pair lies across two runs and each is matched by itself.
     """
-    width = max(100 * rtol, 1e-12)
-    unit = max(100 * atol, 1e-15) / width
-    x = x.cast("double")
-    return F.rint(F.signum(x) * F.asinh(F.abs(x) / unit) / width + shift) + 0.0
+    names = [f"_c{i}" for i in range(len(numeric))]
+    lead = next((i for i, n in enumerate(numeric) if n), None)
+    def value(c: str, number: bool) -> Column:
+        x = F.col(c).cast("double") + 0.0
+        return F.when(~F.isnan(x), x).alias(c) if number else F.col(c)
+
+    # NaN and NULL look alike to pandas, so NaN travels as a mark
+    marks = F.concat(F.lit(""), *[F.coalesce(F.isnan(F.col(c).cast("double")), F.lit(False)).cast("string")
+                                  for c, n in zip(names, numeric) if n])
+    wide = both.select("_id", "_left", *[value(c, n) for c, n in zip(names, numeric)], marks.alias("_nan"))
+    names, numeric = [*names, "_nan"], [*numeric, False]
+    net = wide.groupBy("_id", *names).agg(F.sum(F.when(F.col("_left"), 1).otherwise(-1)).alias("_n")).where("_n <> 0")
+    if lead is None:  # nothing has a tolerance: what does not cancel out differs
+        return net.select("_id").distinct()
+    first = F.col(f"_c{lead}")
+    # partners agree in all that has no tolerance, so those columns part the rows as well
+    net = net.withColumn("_exact", F.to_json(F.struct(*[c for c, n in zip(names, numeric) if not n])))
+    run = ["_id", "_exact", "_run"]
+    order = Window.partitionBy("_id", "_exact").orderBy(first.asc_nulls_last(), *[c for c in names if c != f"_c{lead}"])
+    before = F.lag(first).over(order)
+    cut = F.coalesce(~_overlap(before, first, 2 * atol, 2 * rtol), F.lit(True)) & ~(before.eqNullSafe(first))
+    runs = net.withColumn("_cut", cut.cast("long")).withColumn(
+        "_run", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # a run whose sides differ in size cannot match; one row a side is compared here, more are matched row by row
+    sides = [F.max(F.when(F.col("_n") * sign > 0, F.col(c))).alias(f"{t}{c}") for t, sign in (("l", 1), ("r", -1)) for c in names]
+    sized = runs.groupBy(*run).agg(F.sum("_n").alias("_over"), F.sum(F.abs("_n")).alias("_rows"), *sides)
+    apart = [_differs(F.col(f"l{c}"), F.col(f"r{c}"), n, atol, rtol) for c, n in zip(names, numeric)]
+    plain = sized.where((F.col("_over") != 0) | ((F.col("_rows") == 2) & reduce(Column.__or__, apart))).select("_id")
+    several = sized.where("_over = 0 AND _rows > 2").select(*run)
+    held = runs.join(several, run).groupBy(*run)
+    return plain.unionByName(held.applyInPandas(_match_runs(names, numeric, atol, rtol), "_id long")).distinct()
+
+
+def _match_runs(names: list[str], numeric: list[bool], atol: float, rtol: float):
+    def match(group: pd.DataFrame) -> pd.DataFrame:
+        sides: tuple[list, list] = ([], [])
+        cells = [group[c].astype(object).where(group[c].notna(), None).tolist() for c in names]
+        for n, *row in zip(group["_n"].tolist(), *cells):
+            sides[n < 0].extend([tuple(row)] * abs(n))
+        bad = len(sides[0]) != len(sides[1]) or matched(*sides, numeric, atol, rtol) < len(sides[0])
+        return group[["_id"]].head(int(bad))
+
+    return match
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str],
@@ -131,8 +241,8 @@ def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str],
     key with very many rows is combined on the map side and never compared pair by pair, and NULL
     keys meet each other.
 
-    Contents of repeated keys are compared by sums of row hashes, numbers by grid cell: a
-    difference within the tolerance is no issue, and one below some 100 tolerances may pass.
+    Rows of repeated keys are matched with each other within the tolerance, over all columns: they differ
+    if no way of pairing them off leaves every pair equal. Only keys whose sums of row hashes differ get that far.
     """
     keys = list(keys)
     shared = [c for c in left.columns
@@ -151,20 +261,18 @@ def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str],
         return df.select(*keys, F.lit(is_left).alias("_left"),
                          *[value(c).alias(f"_c{i}") for i, c in enumerate(shared)])
 
-    def contents(shift: float) -> Column:
-        cells = [_cell(F.col(f"_c{i}"), shift, atol, rtol) if numeric[c] else F.col(f"_c{i}")
-                 for i, c in enumerate(shared)]
-        # A NULL does not enter the hash, so its place is hashed as well.
-        nulls = [F.col(f"_c{i}").isNull() for i in range(len(shared))]
-        return F.xxhash64(*cells, *nulls).cast("decimal(20,0)") if shared else F.lit(0).cast("decimal(20,0)")
+    # A NULL does not enter a hash, so its place is hashed as well; numbers are hashed as doubles, -0 as 0.
+    cells = [F.col(f"_c{i}").cast("double") + 0.0 if numeric[c] else F.col(f"_c{i}") for i, c in enumerate(shared)]
+    nulls = [F.col(f"_c{i}").isNull() for i in range(len(shared))]
+    contents = [F.xxhash64(F.lit(g), *cells, *nulls).cast("decimal(20,0)") for g in range(2)]
 
     def of(is_left: bool, c: Column) -> Column:
         return F.when(F.col("_left") == is_left, c)
 
-    both = side(left, True).unionByName(side(right, False)).groupBy(*keys).agg(
+    rows = side(left, True).unionByName(side(right, False))
+    both = rows.groupBy(*keys).agg(
         *[F.count(of(s, F.lit(1))).alias(f"{t}_n") for s, t in ((True, "l"), (False, "r"))],
-        *[F.sum(of(s, contents(shift))).alias(f"{t}_hash{g}")
-          for s, t in ((True, "l"), (False, "r")) for g, shift in enumerate((0.0, 0.5))],
+        *[F.sum(of(s, h)).alias(f"{t}_hash{g}") for s, t in ((True, "l"), (False, "r")) for g, h in enumerate(contents)],
         *[F.max(of(s, F.col(f"_c{i}"))).alias(f"{t}_{i}")
           for s, t in ((True, "l"), (False, "r")) for i in range(len(shared))])
 
@@ -180,15 +288,25 @@ def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str],
         F.when(r_n == 0, issue("left_only", none, l_n, none)),
         F.when(l_n == 0, issue("right_only", none, none, r_n)),
         F.when(in_both & (l_n != r_n), issue("row_count", none, l_n, r_n)),
-        F.when((l_n == r_n) & (l_n > 1) & (F.col("l_hash0") != F.col("r_hash0"))
-               & (F.col("l_hash1") != F.col("r_hash1")), issue("repeated", none, l_n, r_n)),
     ]
     for i, c in enumerate(shared):
         a, b = F.col(f"l_{i}"), F.col(f"r_{i}")
         found.append(F.when((l_n == 1) & (r_n == 1) & _differs(a, b, numeric[c], atol, rtol),
                             issue("value", F.lit(c), a, b)))
-    return both.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("_i")) \
-        .select(*keys, "_i.*")
+    plain = both.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("_i")).select(*keys, "_i.*")
+    if not shared:
+        return plain
+    open_keys = both.where((l_n == r_n) & (l_n > 1) & ((F.col("l_hash0") != F.col("r_hash0"))
+                                                       | (F.col("l_hash1") != F.col("r_hash1")))) \
+        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.monotonically_increasing_id().alias("_id"), "l_n")
+    open_keys = stored(open_keys, "open-keys")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    meant = rows.join(open_keys, reduce(Column.__and__, same))
+    bad = _unmatched(meant.drop(*keys, *[f"_k{i}" for i in range(len(keys))], "l_n"), [numeric[c] for c in shared], atol, rtol)
+    repeated = open_keys.join(bad, "_id").select(
+        *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.lit("repeated").alias("issue"), none.alias("column_name"),
+        F.col("l_n").cast("string").alias("left_value"), F.col("l_n").cast("string").alias("right_value"))
+    return plain.unionByName(repeated)
 
 
 def missing_columns(left: DataFrame, right: DataFrame) -> DataFrame:

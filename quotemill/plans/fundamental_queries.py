@@ -160,3 +160,15 @@ def reconcile_repeated_keys(m: Market):
     right = left.withColumn("amount", changed)
     return fun.reconcile(left, right, ["user_id"]).filter("issue = 'repeated'").select(
         "user_id", F.col("left_value").cast("bigint").alias("n"))
+
+
+@query("reconcile_small_differences", "ledger", sql="""
+    WITH keyed AS (SELECT user_id AS key, amount FROM ledger UNION ALL SELECT trade_id, amount FROM ledger),
+         per AS (SELECT key, count(*) AS n, bool_or(key LIKE '%3' AND amount > 0) AS moved FROM keyed GROUP BY key)
+    SELECT key, CASE WHEN n = 1 THEN 'value' ELSE 'repeated' END AS issue FROM per WHERE moved""")
+def reconcile_small_differences(m: Market):
+    """Fifty tolerances are reported on single and on repeated keys alike, a tenth of one on neither."""
+    keyed = m.ledger.select(F.col("user_id").alias("key"), "amount").unionByName(
+        m.ledger.select(F.col("trade_id").alias("key"), "amount"))
+    off = F.when(F.col("key").endswith("3"), 1 + 5e-8).otherwise(F.lit(1 + 1e-10))
+    return fun.reconcile(keyed, keyed.withColumn("amount", F.col("amount") * off), ["key"]).select("key", "issue")

@@ -97,7 +97,44 @@ def test_reconcile_repeated_keys_within_the_tolerance(spark):
     assert rows(fun.reconcile(ints, far, ["k"]), "k", "issue") == [("b", "repeated")]
 
 
-def test_reconcile_shuffles_once(spark):
+def test_reconcile_folds_both_sides_in_one_shuffle(spark):
     t = spark.createDataFrame([("a", 1.0)], "k string, v double")
-    plan = fun.reconcile(t, t, ["k"])._jdf.queryExecution().executedPlan().toString()
+    plan = fun.reconcile(t, t.withColumnRenamed("v", "w"), ["k"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_small_differences_of_repeated_keys_are_reported_like_those_of_single_ones(spark):
+    left = [("one", 2.0), ("two", 2.0), ("two", 5.0), ("near", 2.0), ("near", 5.0)]
+    for by, reported in ((5e-8, True), (1e-8, True), (5e-10, False)):
+        right = [("one", 2.0 + by), ("two", 5.0), ("two", 2.0 + by), ("near", 5.0 + 1e-10), ("near", 2.0)]
+        got = rows(fun.reconcile(*[spark.createDataFrame(x, "k string, v double") for x in (left, right)], ["k"]), "k", "issue")
+        assert got == ([("one", "value"), ("two", "repeated")] if reported else []), by
+
+
+def test_matching_hands_partners_on():
+    """The first row could take either partner, the second only the one the first took."""
+    assert fun.matched([(1.0,), (1.6,)], [(1.5,), (0.5,)], [True], 0.7, 0.0) == 2
+    assert fun.matched([(1.0, "a"), (1.0, "b")], [(1.0, "b"), (1.0, "c")], [True, False], 0.1, 0.0) == 1
+    nan, inf = float("nan"), float("inf")
+    assert fun.matched([(None,), (nan,), (inf,), (1.0,)], [(1.0,), (nan,), (None,), (inf,)], [True], 0.1, 0.1) == 4
+
+
+def test_matching_equals_brute_force():
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ([(rng.choice([0.0, 0.4, 0.9, 1.3, None]), rng.choice(["x", "y"])) for _ in range(4)] for _ in range(2))
+        near = lambda x, y: x[1] == y[1] and (x[0] is y[0] or None not in (x[0], y[0]) and abs(x[0] - y[0]) <= 0.5)
+        want = max(sum(near(x, y) for x, y in zip(a, p)) for p in itertools.permutations(b))
+        assert fun.matched(a, b, [True, False], 0.5, 0.0) == want
+
+
+def test_repeated_keys_with_a_hot_key_in_runs(spark):
+    """One key holds most rows; a single one of them differs."""
+    base = spark.range(3000).selectExpr("if(id < 2500, 'hot', concat('k', id % 50)) AS k", "cast(id AS double) AS v", "'t' AS t")
+    near = base.withColumn("v", F.col("v") + 1e-10 * (F.col("v") + 1))
+    assert rows(fun.reconcile(base, near, ["k"])) == []
+    off = near.withColumn("v", F.when(F.col("v").between(1200, 1200.5), F.col("v") + 1e-5).otherwise(F.col("v")))
+    assert rows(fun.reconcile(base, off, ["k"]), "k", "issue") == [("hot", "repeated")]
