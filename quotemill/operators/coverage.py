@@ -12,7 +12,7 @@ from quotemill.functions.codes import is_active
 from quotemill.functions.dates import HISTORY_START, due_report_quarter
 from quotemill.functions.dates import day as as_day
 from quotemill.functions.values import round_to
-from quotemill.operators.calendar import dense_index, numbered, trading_days_between
+from quotemill.operators import day_maps
 from quotemill.operators.dated import date_between, dates_in
 from quotemill.operators.scan import active_securities, for_codes
 
@@ -174,32 +174,24 @@ def missing_on_days(securities: DataFrame, prices: DataFrame,
     return expected.join(have, ["code", "day"], "left_anti")
 
 
-def missing_trading_days(securities: DataFrame, prices: DataFrame, calendar: DataFrame) -> DataFrame:
+def missing_trading_days(securities: DataFrame, prices: DataFrame,
+                         calendar: DataFrame | None = None) -> DataFrame:
     """Every (code, day) a security was active on a trading day without a price.
 
-    Days are told by number. A security's bars, with one mark before and one after its life, are put in
-    order; the missing days are the holes between neighbours. Only missing days are ever opened.
+    Without a calendar every day with a price is a trading day. Bars become day bitmaps in one scan and one
+    shuffle; a security's expected words lack the held ones, and only missing days are opened.
     """
-    first, last = calendar.agg(F.min("day")).scalar(), calendar.agg(F.max("day")).scalar()
-    dense = dense_index(calendar)
-    lo = dense.select(F.col("date").alias("_from"), (
-        F.col("idx") - F.col("is_open").cast("int") + 1).alias("_lo"))
-    hi = dense.select(F.col("date").alias("_to"), F.col("idx").alias("_hi"))
-    life = securities.select(
-        "code", F.greatest(F.col("start_date"), first).alias("_from"),
-        F.least(F.coalesce(F.date_sub("end_date", 1), last), last).alias("_to")) \
-        .join(F.broadcast(lo), "_from").join(F.broadcast(hi), "_to") \
-        .filter(F.col("_lo") <= F.col("_hi")).select("code", "_lo", "_hi").distinct()
-    open_days = F.broadcast(numbered(calendar))
-    held = prices.select("code", "day").join(open_days, "day").select("code", "idx").distinct()
-    inside = held.join(life, "code").filter(F.col("idx").between(F.col("_lo"), F.col("_hi"))) \
-        .select("code", "_lo", "_hi", F.col("idx").cast("bigint").alias("idx"))
-    ends = life.select("code", "_lo", "_hi", F.explode(F.array(F.col("_lo") - 1, F.col("_hi") + 1)).alias("idx"))
-    order = Window.partitionBy("code", "_lo", "_hi").orderBy("idx")
-    holes = inside.unionByName(ends).withColumn("_next", F.lead("idx").over(order)) \
-        .filter(F.col("_next") > F.col("idx") + 1) \
-        .select("code", F.explode(F.sequence(F.col("idx") + 1, F.col("_next") - 1)).alias("idx"))
-    return holes.join(open_days, "idx").select("code", "day")
+    maps = day_maps.day_maps(prices)
+    until = F.coalesce(F.date_sub("end_date", 1), F.lit("9999-12-31").cast("date"))
+    alive = F.filter(
+        F.transform("_words", lambda w: F.struct(w["word"].alias("word"), w["bits"].bitwiseAND(
+            day_maps.span_mask(w["word"], F.col("start_date"), until)).alias("bits"))),
+        lambda w: w["bits"] != 0)
+    known = securities.filter(F.col("code").isNotNull()).select("code", "start_date", "end_date")
+    expected = day_maps.with_open_words(known, maps if calendar is None else calendar) \
+        .select("code", F.inline(alive)) \
+        .groupBy("code", "word").agg(F.bit_or("bits").alias("bits"))
+    return day_maps.missing(expected, maps)
 
 
 def active_per_day(securities: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -221,33 +213,41 @@ def active_per_day(securities: DataFrame, calendar: DataFrame) -> DataFrame:
         .filter("t").select("day", "active")
 
 
-def day_coverage(securities: DataFrame, prices: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Securities priced against securities active, per trading day."""
-    actual = prices.groupBy("day").agg(F.count_distinct("code").alias("actual"))
-    return active_per_day(securities, calendar).join(actual, "day", "left").select(
+def day_coverage(securities: DataFrame, prices: DataFrame,
+                 calendar: DataFrame | None = None) -> DataFrame:
+    """Securities priced against securities active, per trading day (each day with a price, by default).
+
+    Bitmaps hold a code once per day, so priced securities are plain counts, combined on the map side.
+    """
+    priced = day_maps.days_of(day_maps.day_maps(prices)).groupBy("day").agg(
+        F.count(F.lit(1)).alias("actual"))
+    days = priced if calendar is None else calendar
+    return active_per_day(securities, days).join(priced, "day", "left").select(
         "day", F.col("active").alias("expected"),
         F.coalesce("actual", F.lit(0)).cast("bigint").alias("actual"))
 
 
-def completeness(securities: DataFrame, prices: DataFrame, calendar: DataFrame,
+def completeness(securities: DataFrame, prices: DataFrame, calendar: DataFrame | None,
                  as_of: dt.date | str, floor: dt.date = HISTORY_START) -> DataFrame:
-    """Per security: bars held over trading days expected, at most 1; nothing expected is 1."""
-    last = calendar.filter(F.col("day") <= as_day(as_of)).agg(F.max("day")).scalar()
-    spans = securities.select(
-        "code", F.greatest(F.coalesce("start_date", F.lit(floor)), F.lit(floor)).alias("from_day"),
+    """Per security: days held over trading days expected, at most 1; nothing expected is 1.
+
+    Without a calendar every day with a price is a trading day. Days come from bitmaps: a repeated bar
+    counts once, and securities repeated with the same life are one row.
+    """
+    maps = day_maps.day_maps(prices)
+    known = day_maps.with_open_words(securities.select("code", "start_date", "end_date"),
+                                     maps if calendar is None else calendar)
+    last = day_maps.newest_day(F.col("_words"), as_day(as_of))
+    spans = known.select(
+        "code", "_words", F.greatest(F.coalesce("start_date", F.lit(floor)), F.lit(floor)).alias("from_day"),
         F.least(F.coalesce(F.col("end_date"), last), last).alias("to_day"))
-    expected = trading_days_between(spans, calendar, "from_day", "to_day")
-    bars = prices.select(F.col("code").alias("_code"), "day")
-    held = bars.join(spans, (F.col("_code") == F.col("code")) & (F.col("day") >= F.col("from_day"))
-                     & (F.col("day") <= F.col("to_day"))) \
-        .groupBy("code").agg(F.count(F.lit(1)).alias("actual_days"))
+    expected = spans.withColumn("expected_days", day_maps.days_in(
+        F.col("_words"), F.col("from_day"), F.col("to_day"))).drop("_words")
+    done = day_maps.held_between(expected, maps, "from_day", "to_day")
     ratio = F.coalesce(F.least(F.lit(1.0), F.try_divide(
-        F.coalesce("actual_days", F.lit(0)).cast("double"), F.col("expected_days").cast("double"))),
-        F.lit(1.0))
-    return expected.join(held, "code", "left").select(
-        "code", "from_day", "to_day", "expected_days",
-        F.coalesce("actual_days", F.lit(0)).cast("bigint").alias("actual_days"),
-        round_to(ratio, 6).alias("completeness"))
+        F.col("actual_days").cast("double"), F.col("expected_days").cast("double"))), F.lit(1.0))
+    return done.select("code", "from_day", "to_day", "expected_days", "actual_days",
+                       round_to(ratio, 6).alias("completeness"))
 
 
 def incomplete_indices(prices: DataFrame, codes: DataFrame, start: dt.date | str,

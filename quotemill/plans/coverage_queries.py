@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quotemill.operators import calendar as cal
 from quotemill.operators import coverage as cov
-from quotemill.operators import scan
+from quotemill.operators import day_maps, scan
 from quotemill.plans.market import EVENTS_AS_OF, LEDGER_AS_OF, Market
 from quotemill.plans.registry import query
 
@@ -196,7 +195,7 @@ def missing_on_days(m: Market):
       ON s.start_date <= d.day AND (s.end_date IS NULL OR s.end_date > d.day)
     WHERE NOT EXISTS (SELECT 1 FROM bars_li p WHERE p.code = s.code AND p.day = d.day)""")
 def missing_trading_days(m: Market):
-    return cov.missing_trading_days(m.securities, m.bars_li, cal.trading_calendar(m.bars_li))
+    return cov.missing_trading_days(m.securities, m.bars_li)
 
 
 @query("day_coverage", "bars_li", "securities", sql="""
@@ -204,7 +203,7 @@ def missing_trading_days(m: Market):
                      AND (s.end_date IS NULL OR s.end_date > d.day)) AS expected, d.actual
     FROM (SELECT day, count(DISTINCT code) AS actual FROM bars_li GROUP BY day) d""")
 def day_coverage(m: Market):
-    return cov.day_coverage(m.securities, m.bars_li, cal.trading_calendar(m.bars_li))
+    return cov.day_coverage(m.securities, m.bars_li)
 
 
 @query("series_completeness", "bars_li", "securities", sql=f"""
@@ -224,8 +223,24 @@ def day_coverage(m: Market):
 def series_completeness(m: Market):
     import datetime as dt
 
-    return cov.completeness(m.securities, m.bars_li, cal.trading_calendar(m.bars_li),
-                            LEDGER_AS_OF, floor=dt.date(1996, 1, 1))
+    return cov.completeness(m.securities, m.bars_li, None, LEDGER_AS_OF, floor=dt.date(1996, 1, 1))
+
+
+@query("day_maps_of_loads", "bars_li", sql="""
+    SELECT code, count(DISTINCT day) AS n_days, count(DISTINCT day) FILTER (year(day) = 1998) AS n_1998,
+           max(day) AS last_day FROM bars_li GROUP BY code""")
+def day_maps_of_loads(m: Market):
+    """Bitmaps of three loads, two of which share days, merged; counted without opening them."""
+    loads = [m.bars_li.filter(c) for c in ("day < '1995-07-01'", "day BETWEEN '1995-01-01' AND '1998-03-15'",
+                                           "day >= '1998-03-16'")]
+    maps = day_maps.merged(*[day_maps.day_maps(x) for x in loads])
+    first, last = F.lit("1998-01-01").cast("date"), F.lit("1998-12-31").cast("date")
+    inside = F.col("bits").bitwiseAND(day_maps.span_mask(F.col("word"), first, last))
+    words = F.collect_list(F.struct("word", "bits"))
+    return maps.groupBy("code").agg(
+        F.sum(F.bit_count("bits")).cast("bigint").alias("n_days"),
+        F.sum(F.bit_count(inside)).cast("bigint").alias("n_1998"),
+        day_maps.newest_day(words, F.lit("9999-12-31").cast("date")).alias("last_day"))
 
 
 @query("incomplete_indices", "bars_li", "securities", sql="""

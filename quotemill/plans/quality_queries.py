@@ -217,8 +217,7 @@ _DONE = f"""
     cal AS {_CAL},
     spans AS (SELECT code, greatest(start_date, DATE '1996-01-01') AS a,
                      least(coalesce(end_date, l.d), l.d) AS b
-              FROM (SELECT * FROM securities WHERE end_date IS NULL OR end_date > DATE '{LEDGER_AS_OF}'
-                    ORDER BY md5(code || '3'), code LIMIT 60) s,
+              FROM (SELECT * FROM securities WHERE end_date IS NULL OR end_date > DATE '{LEDGER_AS_OF}') s,
                    (SELECT max(day) AS d FROM cal WHERE day <= DATE '{LEDGER_AS_OF}') l),
     done AS (SELECT s.code, e.n AS expected, h.n AS actual, least(1.0, h.n / e.n) AS c
              FROM spans s JOIN (SELECT code, count(day) AS n FROM spans JOIN cal ON day BETWEEN a AND b
@@ -246,7 +245,7 @@ def check_price_completeness(m: Market):
     import datetime as dt
 
     return flat(checks.price_completeness(
-        m.securities, _thin_prices(m), cal.trading_calendar(m.bars_li), LEDGER_AS_OF, 60, "3",
+        m.securities, _thin_prices(m), cal.trading_calendar(m.bars_li), LEDGER_AS_OF,
         floor=dt.date(1996, 1, 1)))
 
 
@@ -259,7 +258,7 @@ def check_series_completeness(m: Market):
     import datetime as dt
 
     return figures(checks.series_completeness(
-        m.securities, _thin_prices(m), cal.trading_calendar(m.bars_li), LEDGER_AS_OF, 60, 0.95, "3",
+        m.securities, _thin_prices(m), cal.trading_calendar(m.bars_li), LEDGER_AS_OF,
         floor=dt.date(1996, 1, 1)))
 
 
