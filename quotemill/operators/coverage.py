@@ -179,9 +179,10 @@ def missing_trading_days(securities: DataFrame, prices: DataFrame,
     """Every (code, day) a security was active on a trading day without a price.
 
     Without a calendar every day with a price is a trading day. Bars become day bitmaps in one scan and one
-    shuffle; a security's expected words lack the held ones, and only missing days are opened.
+    shuffle (``prices`` may be stored maps); a security's expected words lack the held ones, and only
+    missing days are opened.
     """
-    maps = day_maps.day_maps(prices)
+    maps = day_maps.maps_of(prices)
     until = F.coalesce(F.date_sub("end_date", 1), F.lit("9999-12-31").cast("date"))
     alive = F.filter(
         F.transform("_words", lambda w: F.struct(w["word"].alias("word"), w["bits"].bitwiseAND(
@@ -219,7 +220,7 @@ def day_coverage(securities: DataFrame, prices: DataFrame,
 
     Bitmaps hold a code once per day, so priced securities are plain counts, combined on the map side.
     """
-    priced = day_maps.days_of(day_maps.day_maps(prices)).groupBy("day").agg(
+    priced = day_maps.days_of(day_maps.maps_of(prices)).groupBy("day").agg(
         F.count(F.lit(1)).alias("actual"))
     days = priced if calendar is None else calendar
     return active_per_day(securities, days).join(priced, "day", "left").select(
@@ -234,7 +235,7 @@ def completeness(securities: DataFrame, prices: DataFrame, calendar: DataFrame |
     Without a calendar every day with a price is a trading day. Days come from bitmaps: a repeated bar
     counts once, and securities repeated with the same life are one row.
     """
-    maps = day_maps.day_maps(prices)
+    maps = day_maps.maps_of(prices)
     known = day_maps.with_open_words(securities.select("code", "start_date", "end_date"),
                                      maps if calendar is None else calendar)
     last = day_maps.newest_day(F.col("_words"), as_day(as_of))

@@ -35,6 +35,11 @@ def day_maps(rows: DataFrame, keys: Sequence[str] = ("code",), date_col: str = "
     return placed.groupBy(*keys, "word").agg(F.bit_or("bits").alias("bits"))
 
 
+def maps_of(df: DataFrame) -> DataFrame:
+    """Maps as they are; anything else is taken for rows of ``code, day``."""
+    return df if {"word", "bits"} <= set(df.columns) else day_maps(df)
+
+
 def merged(*maps: DataFrame, keys: Sequence[str] = ("code",)) -> DataFrame:
     """The maps of several loads as one."""
     out = maps[0]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quotemill.functions.conditions import gap_share
 from quotemill.functions.dates import day as as_day
 from quotemill.functions.values import ratio
 from quotemill.schemas import FLOW_COLUMNS
@@ -78,8 +79,7 @@ def one_sided_codes(margin: DataFrame, flow: DataFrame) -> DataFrame:
 
 def balance_errors(df: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Statements whose assets differ from liabilities plus equity by more than 1%."""
-    parts = F.col("total_liability") + F.col("total_sheet_owner_equities")
-    err = ratio(F.abs(F.col("total_assets") - parts), F.abs(F.col("total_assets")))
+    err = gap_share("total_assets", "total_liability", "total_sheet_owner_equities")
     return df.withColumn("error_ratio", err).filter(F.col("error_ratio") > tolerance)
 
 

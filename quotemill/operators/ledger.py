@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quotemill.functions import trades as tf
 from quotemill.functions.codes import has_known_suffix, trade_type_name
+from quotemill.functions.conditions import CASH, HOLDING, below_zero, gap, holding_clash, not_positive, present
 from quotemill.functions.dates import day as as_day
 from quotemill.functions.values import money_avg, money_sum, round_to, sum_when
 from quotemill.operators.dated import date_between
@@ -212,32 +213,26 @@ def _flag(cond: Column) -> Column:
 def trade_is_valid() -> Column:
     return _flag(
         _filled("trade_id", "user_id", "stock_code", "trade_date", "trade_time")
-        & F.col("trade_type").isin(BUY, SELL) & (F.col("quantity") > 0) & (F.col("price") > 0)
+        & F.col("trade_type").isin(BUY, SELL) & present("quantity", "price")
+        & ~not_positive("quantity", "price")
         & has_known_suffix("stock_code") & (F.to_date("trade_time") == F.col("trade_date")))
 
 
 def position_is_valid() -> Column:
-    q, avail, frozen = (F.col(c) for c in
-                        ("position_quantity", "available_quantity", "frozen_quantity"))
     return _flag(
         _filled("position_id", "user_id", "stock_code", "position_date")
-        & (q >= 0) & (avail >= 0) & (frozen <= q) & (avail + frozen <= q)
-        & has_known_suffix("stock_code") & (F.col("open_price") >= 0)
-        & (F.col("market_value") >= 0)
-        & (F.col("current_price").isNull() | (F.col("current_price") >= 0)))
+        & present(*HOLDING, "open_price", "market_value") & ~holding_clash()
+        & has_known_suffix("stock_code") & ~below_zero("open_price", "market_value")
+        & ~F.coalesce(below_zero("current_price"), F.lit(False)))
 
 
 def account_is_valid() -> Column:
-    money = ("total_assets", "position_market_value", "available_cash", "frozen_cash")
-    ok = _filled("user_id", "info_date")
-    for c in money:
-        ok = ok & (F.col(c) >= 0)
-    return _flag(ok)
+    money = ("total_assets", *CASH)
+    return _flag(_filled("user_id", "info_date") & present(*money) & ~below_zero(*money))
 
 
 def account_imbalance() -> Column:
-    parts = F.col("position_market_value") + F.col("available_cash") + F.col("frozen_cash")
-    return F.abs(F.col("total_assets") - parts)
+    return gap("total_assets", *CASH)
 
 
 def account_warns(limit: float = 10.0) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotemill.functions.conditions import account_clash, bar_clash, below_zero, holding_clash, not_positive
 from quotemill.functions.dates import HISTORY_START, due_report_quarter, is_quarter_end
 from quotemill.functions.dates import day as as_day
 from quotemill.functions.values import percent_text
@@ -25,6 +26,7 @@ from quotemill.quality.issues import (
     union_issues,
 )
 from quotemill.quality.rules import KEY_FIELDS, THRESHOLDS, UNIQUE_KEYS
+from quotemill.schemas import BUY, SELL
 
 
 def table_empty(df: DataFrame, table: str) -> DataFrame:
@@ -69,7 +71,7 @@ def at_most(df: DataFrame, value: str, maximum: int, **labels) -> DataFrame:
     return as_issues(df.filter(F.col(value) >= maximum), count=F.col(value), **labels)
 
 
-def series_completeness(securities: DataFrame, prices: DataFrame, calendar: DataFrame,
+def series_completeness(securities: DataFrame, prices: DataFrame, calendar: DataFrame | None,
                         as_of: dt.date | str, sample_size: int | None = None,
                         threshold: float = 0.95, seed: str = "0",
                         floor: dt.date = HISTORY_START) -> DataFrame:
@@ -92,7 +94,7 @@ def _incomplete(securities, prices, calendar, as_of, sample_size, threshold, see
     return done.filter(F.col("completeness") < threshold)
 
 
-def price_completeness(securities: DataFrame, prices: DataFrame, calendar: DataFrame,
+def price_completeness(securities: DataFrame, prices: DataFrame, calendar: DataFrame | None,
                        as_of: dt.date | str, sample_size: int | None = None, seed: str = "0",
                        floor: dt.date = HISTORY_START) -> DataFrame:
     """Each security missing over 5% (over 20% critical), and a summary above 10% of them."""
@@ -203,8 +205,7 @@ def price_day_sampled(securities: DataFrame, prices: DataFrame, days: Sequence[d
 
 
 def price_day_logic(prices: DataFrame, days: Sequence[dt.date | str]) -> DataFrame:
-    bad = dates_in(prices, "day", days).filter(
-        "high < low OR open < 0 OR close < 0 OR high < 0 OR low < 0 OR volume < 0")
+    bad = dates_in(prices, "day", days).filter(bar_clash())
     per_day = bad.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
     return as_issues(per_day, severity="critical", category="accuracy", table="price_data",
                      check="price_day_logic",
@@ -387,7 +388,7 @@ def account_tables_on(dates: Sequence[dt.date | str], transactions: DataFrame |
 
     def look(df, table, date_col, bad_rule, check, severity, may_be_empty):
         hit = dates_in(df, date_col, dates).agg(
-            F.count(F.lit(1)).alias("n"), F.count_if(F.expr(bad_rule)).alias("bad"))
+            F.count(F.lit(1)).alias("n"), F.count_if(bad_rule).alias("bad"))
         if not may_be_empty:
             parts.append(as_issues(
                 hit.filter(F.col("n") == 0), severity="warning", category="completeness",
@@ -399,16 +400,13 @@ def account_tables_on(dates: Sequence[dt.date | str], transactions: DataFrame |
 
     if positions is not None:
         look(positions, "user_positions", "position_date",
-             "position_quantity < 0 OR available_quantity < 0 OR frozen_quantity > position_quantity "
-             "OR available_quantity + frozen_quantity > position_quantity",
-             "position_logic_on_dates", "critical", False)
+             holding_clash(), "position_logic_on_dates", "critical", False)
     if accounts is not None:
         look(accounts, "user_account_info", "info_date",
-             "total_assets > 0 AND abs(total_assets - (position_market_value + available_cash "
-             "+ frozen_cash)) > 10", "asset_balance_on_dates", "warning", False)
+             account_clash(), "asset_balance_on_dates", "warning", False)
     if transactions is not None:
         look(transactions, "user_transactions", "trade_date",
-             "quantity <= 0 OR price <= 0 OR trade_type NOT IN (23, 24)",
+             not_positive("quantity", "price") | ~F.col("trade_type").isin(BUY, SELL),
              "trade_logic_on_dates", "critical", True)
     return union_issues(parts, spark or next(
         d for d in (transactions, positions, accounts) if d is not None).sparkSession)
@@ -416,7 +414,7 @@ def account_tables_on(dates: Sequence[dt.date | str], transactions: DataFrame |
 
 def load_rejects(feed: DataFrame, table: str = "price_data") -> DataFrame:
     """Landed rows with negative volume or money; they are loaded and reported."""
-    bad = feed.filter("volume < 0 OR money < 0")
+    bad = feed.filter(below_zero("volume", "money"))
     kind = F.when(F.col("volume") < 0, "negative volume").otherwise("negative money")
     return as_issues(bad, severity="warning", category="accuracy", table=table,
                      check="negative_feed_value", description=kind,

@@ -9,10 +9,28 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotemill.functions.codes import has_known_suffix
+from quotemill.functions.conditions import (
+    CASH,
+    account_clash,
+    bar_clash,
+    below_zero,
+    gap_share,
+    holding_clash,
+    leaves_band,
+    misstated_product,
+    not_bracketed,
+    not_positive,
+    outside,
+    present,
+)
+from quotemill.functions.dates import day as as_day
+from quotemill.functions.values import percent_text
 from quotemill.quality.issues import first_samples, sample_text
+from quotemill.schemas import BUY, SELL
 
 # --- fixed values: thresholds of the standard rule set ----------------------
 THRESHOLDS = {
@@ -37,6 +55,18 @@ THRESHOLDS = {
     "sample_size": None,  # all securities; a number judges a repeatable sample of them
 }
 
+LIMITS = {
+    "day_range_share": 0.15,
+    "close": (0.01, 1000),
+    "pe_ratio": (-1000, 1000),
+    "pb_ratio": (0, 100),
+    "eps": (-100, 100),
+    "asset_gap": 10,
+    "statement_gap_share": 0.01,
+}
+
+EXCHANGES = ["XSHG", "XSHE", "BSE"]
+
 KEY_FIELDS = {
     "stock_list": ["code", "display_name"],
     "price_data": ["code", "day", "open", "high", "low", "close", "volume"],
@@ -67,17 +97,20 @@ class RowRule:
     name: str
     category: str
     severity: str
-    bad: str
+    bad: Column | str               # a text is read as SQL
     description: str
     allowed: int = 0
     listed_only: bool = False       # judge rows inside the security's listing life only
     level: str = "quick"
     samples: tuple[str, ...] = ()   # columns shown for some of the bad rows
 
+    def condition(self) -> Column:
+        return F.expr(self.bad) if isinstance(self.bad, str) else self.bad
+
 
 def _required(table: str, fields: Sequence[str], listed_only: bool = False,
               name: str = "required_fields_not_null") -> list[RowRule]:
-    return [RowRule(table, f"{name}_{f}", "completeness", "critical", f"{f} IS NULL",
+    return [RowRule(table, f"{name}_{f}", "completeness", "critical", F.col(f).isNull(),
                     f"required field {f} is NULL", listed_only=listed_only) for f in fields]
 
 
@@ -86,76 +119,72 @@ def standard_rules(thresholds: Mapping | None = None, as_of: str = "9999-12-31")
     tol, lim, since = t["financial_ratio_tolerance"], t["ratio_limit"], t["user_data_start_date"]
     shares = ("user_id", "position_date", "stock_code")
     trade = ("user_id", "trade_id", "stock_code")
+    def accuracy(table: str, severity: str, name: str, bad: Column, description: str, **more) -> RowRule:
+        return RowRule(table, name, "accuracy", severity, bad, description, **more)
+
     return [
         *_required("stock_list", ["code", "display_name", "start_date"]),
-        RowRule("stock_list", "stock_code_format", "accuracy", "critical",
-                r"NOT (code LIKE '%.SH' OR code LIKE '%.SZ' OR code LIKE '%.BJ')",
-                "code without a known suffix"),
-        RowRule("stock_list", "date_logic_validation", "accuracy", "critical",
-                "end_date < start_date", "delisted before listing"),
-        RowRule("stock_list", "exchange_code_validation", "accuracy", "warning",
-                "exchange NOT IN ('XSHG', 'XSHE', 'BSE')", "unknown exchange"),
+        accuracy("stock_list", "critical", "stock_code_format",
+                 present("code") & ~has_known_suffix("code"),
+                 "code without a known suffix"),
+        accuracy("stock_list", "critical", "date_logic_validation",
+                 F.datediff("end_date", "start_date") < 0, "delisted before listing"),
+        accuracy("stock_list", "warning", "exchange_code_validation", ~F.col("exchange").isin(EXCHANGES),
+                 "unknown exchange"),
 
         *_required("price_data", ["code", "day", "open", "high", "low", "close", "volume"],
                    listed_only=True),
-        RowRule("price_data", "price_logic_validation", "accuracy", "critical",
-                "high < low OR open < 0 OR high < 0 OR low < 0 OR close < 0 OR volume < 0",
-                "high below low, or a negative value", listed_only=True, samples=("code", "day")),
-        RowRule("price_data", "price_range_validation", "accuracy", "warning",
-                "high > close * 1.15 OR low < close * 0.85 OR close > 1000 OR close < 0.01",
-                "price outside its plausible range", allowed=t["max_extreme_prices"] - 1,
-                listed_only=True),
-        RowRule("price_data", "price_bracket_validation", "accuracy", "warning",
-                "high < greatest(open, close) OR low > least(open, close)",
-                "open or close outside high and low", level="standard", samples=("code", "day")),
-
-        RowRule("valuation_data", "valuation_ratios_reasonableness", "accuracy", "warning",
-                "pe_ratio < -1000 OR pe_ratio > 1000 OR pb_ratio < 0 OR pb_ratio > 100 "
-                "OR market_cap < 0", "implausible valuation ratio",
-                allowed=t["max_extreme_valuations"] - 1, listed_only=True),
-
-        RowRule("indicator_data", "financial_ratios_validation", "accuracy", "warning",
-                f"abs(eps) > 100 OR roe < -{lim} OR roe > {lim} OR roa < -{lim} OR roa > {lim}",
-                "implausible financial ratio", allowed=t["max_invalid_ratios"] - 1),
+        accuracy("price_data", "critical", "price_logic_validation", bar_clash(),
+                 "high below low, or a negative value", listed_only=True, samples=("code", "day")),
+        accuracy("price_data", "warning", "price_range_validation",
+                 leaves_band("low", "high", "close", LIMITS["day_range_share"])
+                 | outside("close", *LIMITS["close"]),
+                 "price outside its plausible range", allowed=t["max_extreme_prices"] - 1,
+                 listed_only=True),
+        accuracy("price_data", "warning", "price_bracket_validation",
+                 not_bracketed("low", "high", "open", "close"),
+                 "open or close outside high and low", level="standard", samples=("code", "day")),
+
+        accuracy("valuation_data", "warning", "valuation_ratios_reasonableness",
+                 outside("pe_ratio", *LIMITS["pe_ratio"]) | outside("pb_ratio", *LIMITS["pb_ratio"])
+                 | below_zero("market_cap"), "implausible valuation ratio",
+                 allowed=t["max_extreme_valuations"] - 1, listed_only=True),
+
+        accuracy("indicator_data", "warning", "financial_ratios_validation",
+                 outside("eps", *LIMITS["eps"]) | outside("roe", -lim, lim) | outside("roa", -lim, lim),
+                 "implausible financial ratio", allowed=t["max_invalid_ratios"] - 1),
 
         *_required("user_transactions", ["trade_id", "user_id", "stock_code", "trade_date",
                                          "trade_type"], name="required_fields_completeness"),
-        RowRule("user_transactions", "trade_type_validation", "accuracy", "critical",
-                "trade_type NOT IN (23, 24)", "neither buy nor sell", samples=trade),
-        RowRule("user_transactions", "quantity_price_validation", "accuracy", "critical",
-                "quantity <= 0 OR price <= 0", "quantity or price not positive", samples=trade),
-        RowRule("user_transactions", "amount_calculation_accuracy", "accuracy", "warning",
-                "quantity > 0 AND price > 0 AND amount > 0 AND "
-                f"try_divide(abs(quantity * price - amount), amount) > {tol}",
-                "amount is not quantity times price", samples=trade),
-        RowRule("user_transactions", "trade_date_validation", "accuracy", "warning",
-                f"trade_date > DATE '{as_of}'", "trade in the future", samples=trade),
-
-        RowRule("user_positions", "position_quantity_logic", "accuracy", "critical",
-                "position_quantity < 0 OR available_quantity < 0 OR "
-                "frozen_quantity > position_quantity OR "
-                "available_quantity + frozen_quantity > position_quantity",
-                "quantities contradict each other", samples=shares),
-        RowRule("user_positions", "market_value_calculation", "accuracy", "warning",
-                "position_quantity > 0 AND current_price > 0 AND market_value > 0 AND "
-                "try_divide(abs(position_quantity * current_price - market_value), market_value) "
-                f"> {tol}", "market value is not quantity times price", samples=shares),
-
-        RowRule("user_account_info", "asset_balance_check", "accuracy", "warning",
-                "total_assets > 0 AND abs(total_assets - (position_market_value + available_cash "
-                f"+ frozen_cash)) > 10 AND info_date >= DATE '{since}'",
-                "assets are not the sum of their parts", samples=("user_id", "info_date")),
-        RowRule("user_account_info", "negative_amounts_check", "accuracy", "warning",
-                "total_assets < 0 OR position_market_value < 0 OR available_cash < 0 "
-                "OR frozen_cash < 0", "negative amount", samples=("user_id", "info_date")),
+        accuracy("user_transactions", "critical", "trade_type_validation",
+                 ~F.col("trade_type").isin(BUY, SELL), "neither buy nor sell", samples=trade),
+        accuracy("user_transactions", "critical", "quantity_price_validation",
+                 not_positive("quantity", "price"), "quantity or price not positive", samples=trade),
+        accuracy("user_transactions", "warning", "amount_calculation_accuracy",
+                 misstated_product("amount", "quantity", "price", tol),
+                 "amount is not quantity times price", samples=trade),
+        accuracy("user_transactions", "warning", "trade_date_validation",
+                 F.col("trade_date") > as_day(as_of), "trade in the future", samples=trade),
+
+        accuracy("user_positions", "critical", "position_quantity_logic", holding_clash(),
+                 "quantities contradict each other", samples=shares),
+        accuracy("user_positions", "warning", "market_value_calculation",
+                 misstated_product("market_value", "position_quantity", "current_price", tol),
+                 "market value is not quantity times price", samples=shares),
+
+        accuracy("user_account_info", "warning", "asset_balance_check",
+                 account_clash(LIMITS["asset_gap"]) & (F.col("info_date") >= as_day(since)),
+                 "assets are not the sum of their parts", samples=("user_id", "info_date")),
+        accuracy("user_account_info", "warning", "negative_amounts_check",
+                 below_zero("total_assets", *CASH), "negative amount", samples=("user_id", "info_date")),
     ]
 
 
 def statement_rules() -> list[RowRule]:
     """Assets equal liabilities plus equity within 1%."""
+    share = gap_share("total_assets", "total_liability", "total_sheet_owner_equities")
     return [RowRule("balance_sheet", "statement_balance", "accuracy", "warning",
-                    "try_divide(abs(total_assets - (total_liability + total_sheet_owner_equities)), "
-                    "abs(total_assets)) > 0.01", "statement does not balance",
+                    share > LIMITS["statement_gap_share"], "statement does not balance",
                     samples=("code", "stat_date"))]
 
 
@@ -166,28 +195,41 @@ def rules_at(level: str, rules: Sequence[RowRule]) -> list[RowRule]:
     return [r for r in rules if level == "standard" or r.level == "quick"]
 
 
-def judge_rows(df: DataFrame, rules: Sequence[RowRule], not_empty: bool = False) -> DataFrame:
+def judge_rows(df: DataFrame, rules: Sequence[RowRule], not_empty: bool = False,
+               key_fields: Sequence[str] = (), null_warning: float = THRESHOLDS["null_ratio_warning"],
+               null_critical: float = THRESHOLDS["null_ratio_critical"]) -> DataFrame:
     """Issues of one table from its row rules (all of one table and scope).
 
-    ``not_empty`` adds the rule that there are rows at all.
+    ``not_empty`` adds the rule that there are rows at all, ``key_fields`` the shares of NULLs in them;
+    all of it is one aggregate over one scan. Samples take a second scan, cut by rank before the shuffle.
     """
     spark, table = df.sparkSession, rules[0].table
-    figures = [F.count_if(F.expr(r.bad)).alias(r.name) for r in rules]
-    about = [(r.name, r.category, r.severity, r.description, r.allowed) for r in rules]
+    figures = [F.count_if(r.condition()).alias(r.name) for r in rules]
+    about = [(r.name, r.category, r.severity, r.description, r.allowed, None) for r in rules]
     if not_empty:
         figures.append(F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).cast("bigint")
                        .alias("table_not_empty"))
-        about.append(("table_not_empty", "completeness", "critical", "the table has no rows", 0))
-    counts = df.agg(*figures).unpivot([], [a[0] for a in about], "check_name", "n")
+        about.append(("table_not_empty", "completeness", "critical", "the table has no rows", 0, None))
+    for field in key_fields:
+        figures.append(F.count_if(F.col(field).isNull()).alias(f"null_ratio_{field}"))
+        about.append((f"null_ratio_{field}", "completeness", None, None, None, field))
+    counts = df.agg(F.count(F.lit(1)).alias("total"), *figures) \
+        .unpivot(["total"], [a[0] for a in about], "check_name", "n")
     # One row per rule: bounded by the rule list.
     meta = F.broadcast(spark.createDataFrame(
-        about, "rule string, category string, severity string, description string, allowed bigint"))
-    found = counts.join(meta, F.col("check_name") == F.col("rule")).filter(
-        F.col("n") > F.col("allowed"))
+        about, "rule string, category string, severity string, description string, allowed bigint, field string"))
+    share = F.try_divide(F.col("n").cast("double"), F.col("total").cast("double"))
+    found = counts.join(meta, F.col("check_name") == F.col("rule")).withColumn("share", share) \
+        .filter(F.when(F.col("field").isNull(), F.col("n") > F.col("allowed"))
+                .otherwise(F.col("share") > null_warning)) \
+        .withColumn("severity", F.coalesce("severity", F.when(F.col("share") > null_critical, "critical")
+                                           .otherwise("warning"))) \
+        .withColumn("description", F.coalesce("description", F.concat(
+            F.col("field"), F.lit(" is NULL in "), percent_text(F.col("share")), F.lit(" of rows"))))
     listing = [r for r in rules if r.samples]
     if listing:
         marks = F.array_compact(F.array(*[
-            F.when(F.expr(r.bad), F.struct(F.lit(r.name).alias("sampled"),
+            F.when(r.condition(), F.struct(F.lit(r.name).alias("sampled"),
                                            sample_text(r.samples).alias("text")))
             for r in listing]))
         exploded = df.select(F.explode(marks).alias("_m")).select("_m.*")

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from quotemill.functions.dates import day as as_day
 from quotemill.operators import coverage as cov
+from quotemill.operators import day_maps
 from quotemill.operators.calendar import trading_calendar
 from quotemill.operators.dated import date_between
 from quotemill.quality import checks
 from quotemill.quality.issues import union_issues
 from quotemill.quality.rules import KEY_FIELDS, UNIQUE_KEYS, judge_rows, rules_at, standard_rules, statement_rules
 from quotemill.schemas import WATERMARK
+from quotemill.session import stored
 
 
 def _has(tables: Mapping[str, DataFrame], judged: Sequence[str], name: str, *columns: str) -> bool:
@@ -37,8 +39,10 @@ def run_checks(tables: Mapping[str, DataFrame], as_of: dt.date | str, level: str
     spark = next(iter(tables.values())).sparkSession
     judged = [n for n in tables if only is None or n in only]
     securities, prices = tables.get("stock_list"), tables.get("price_data")
-    # At most one row per date, read by many checks: computed once per run.
-    calendar = trading_calendar(prices).persist() if prices is not None else None
+    # The days each code is held, written once as bitmaps: completeness and calendar come from them, not
+    # from the bars. This is the one job that runs before the issues are asked for.
+    maps = stored(day_maps.day_maps(prices), "day-maps") if prices is not None else None
+    calendar = None if maps is None else day_maps.days_of(day_maps.merged(maps, keys=()))
     rules = rules_at(level, [*standard_rules(t, str(as_of)), *statement_rules()])
     parts: list[DataFrame] = []
 
@@ -47,8 +51,9 @@ def run_checks(tables: Mapping[str, DataFrame], as_of: dt.date | str, level: str
         own = [r for r in rules if r.table == name]
         everywhere = [r for r in own if not r.listed_only]
         listed = [r for r in own if r.listed_only]
+        fields = [c for c in KEY_FIELDS.get(name, []) if c in df.columns] if level == "standard" else []
         if everywhere:
-            parts.append(judge_rows(df, everywhere, not_empty=True))
+            parts.append(judge_rows(df, everywhere, not_empty=True, key_fields=fields))
         else:
             parts.append(checks.table_empty(df, name))
         if listed:
@@ -56,8 +61,7 @@ def run_checks(tables: Mapping[str, DataFrame], as_of: dt.date | str, level: str
             parts.append(judge_rows(scope, listed))
         if name in UNIQUE_KEYS:
             parts.append(checks.duplicate_key(df, name))
-        fields = [c for c in KEY_FIELDS.get(name, []) if c in df.columns]
-        if level == "standard" and fields:
+        if fields and not everywhere:
             parts.append(checks.null_ratios(df, name, fields))
 
     since = t["user_data_start_date"]
@@ -67,9 +71,9 @@ def run_checks(tables: Mapping[str, DataFrame], as_of: dt.date | str, level: str
         parts.append(checks.recent_breadth(prices, as_of, t["min_recent_codes"]))
         if securities is not None:
             parts.append(checks.series_completeness(
-                securities, prices, calendar, as_of, t["sample_size"], t["completion_threshold"], seed))
+                securities, maps, None, as_of, t["sample_size"], t["completion_threshold"], seed))
         if level == "standard" and securities is not None:
-            parts.append(checks.price_completeness(securities, prices, calendar, as_of, t["sample_size"], seed))
+            parts.append(checks.price_completeness(securities, maps, None, as_of, t["sample_size"], seed))
         if level == "standard":
             scope = prices if securities is None else cov.within_listing(
                 date_between(prices, "day", F.date_sub(as_day(as_of), 30)), securities)
@@ -115,7 +119,7 @@ def routine(tables: Mapping[str, DataFrame], as_of: dt.date | str, recent_days:
     t = checks.standard_thresholds(thresholds)
     securities, prices = tables["stock_list"], tables["price_data"]
     spark = prices.sparkSession
-    days = trading_calendar(prices, end=F.date_sub(as_day(as_of), 1)).persist()
+    days = stored(trading_calendar(prices, end=F.date_sub(as_day(as_of), 1)), "trading-days", 1)
     recent = [r.day for r in days.orderBy(F.col("day").desc()).limit(recent_days).collect()]
     edge = days.orderBy(F.col("day").desc()).limit(8).agg(F.min("day")).scalar()
     pool = days.filter((F.col("day") <= edge) & (F.col("day") >= F.date_sub(edge, 365)))

@@ -16,7 +16,6 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.operators.calendar import trading_calendar
 from quotemill.quality.checks import series_completeness
 from quotemill.quality.issues import as_issues, sample_text, top_samples, union_issues
 from quotemill.schemas import ISSUES, WATERMARK
@@ -122,7 +121,7 @@ def _one_rule(spark, rule, table, category, views, context, as_of, seed) -> list
     if rule.get("check_type") == "time_series" or rule["name"] == "time_series_completeness":
         prices = views[table]
         issue = series_completeness(
-            views["stock_list"], prices, trading_calendar(prices), as_of,
+            views["stock_list"], prices, None, as_of,
             context["sample_size"], float(rule.get("completion_threshold", 0.95)), seed)
         return [issue.withColumn("severity", F.lit(rule.get("severity", "warning")))]
     raise ValueError(f"rule {rule['name']} has neither sql, sql_template nor check_type")
