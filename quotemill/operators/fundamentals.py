@@ -61,6 +61,51 @@ def asof_or_latest(df: DataFrame, start: dt.date | str, end: dt.date | str,
         .withColumnRenamed("_in", "in_range").drop("_n", "_any")
 
 
+#: Order of statements known at the same time: the newest quarter, in it the highest version.
+NEWEST = ("stat_date", "report_type", "pub_date")
+
+
+def known_spans(statements: DataFrame, order: Sequence[str] = NEWEST, known: str = "pub_date") -> DataFrame:
+    """``code, from_day, until_day`` (exclusive, NULL for open) and ``statement``, the best known then.
+
+    A statement published late for an older quarter does not replace a newer quarter's. Per code there
+    are a few statements a year; rows of one code and publication day are folded first.
+    """
+    rest = [c for c in statements.columns if c not in ("code", *order)]
+    best = F.struct(*order, *rest)
+    per_day = statements.filter(F.col("code").isNotNull() & F.col(known).isNotNull()) \
+        .groupBy("code", F.col(known).alias("from_day")).agg(F.max(best).alias("_best"))
+    in_time = Window.partitionBy("code").orderBy("from_day")
+    held = per_day.withColumn("statement", F.max("_best").over(
+        in_time.rowsBetween(Window.unboundedPreceding, 0)))
+    turns = held.withColumn("_before", F.lag("statement").over(in_time)) \
+        .filter(~F.col("statement").eqNullSafe(F.col("_before")))
+    return turns.select("code", "from_day", F.lead("from_day").over(in_time).alias("until_day"), "statement")
+
+
+def with_known_statement(bars: DataFrame, statements: DataFrame, day: str = "day",
+                         order: Sequence[str] = NEWEST, known: str = "pub_date") -> DataFrame:
+    """Every bar with the statement known on its day (struct ``statement``, NULL before the first one).
+
+    Spans are dealt into quarters, so a bar meets the two or three spans of its code and quarter and not
+    all of the code's history. Bars are shuffled once, by code and quarter; a hot one is split by AQE, and
+    no window runs over bars. Bars without code or day keep a NULL statement; repeated bars stay.
+    """
+    def quarter(c: Column) -> Column:
+        return F.year(c) * 4 + F.quarter(c)
+
+    last = bars.agg(F.max(day)).scalar()
+    spans = known_spans(statements, order, known).withColumn("_last", last)
+    end = F.least(F.date_sub(F.coalesce("until_day", F.date_add("_last", 1)), 1), F.col("_last"))
+    dealt = spans.filter(F.col("from_day") <= F.col("_last")).select(
+        F.col("code").alias("_code"), "from_day", "until_day", "statement",
+        F.explode(F.sequence(quarter(F.col("from_day")), quarter(end))).alias("_quarter"))
+    meets = ((F.col("code") == F.col("_code")) & (quarter(F.col(day)) == F.col("_quarter"))
+             & (F.col(day) >= F.col("from_day"))
+             & (F.col("until_day").isNull() | (F.col(day) < F.col("until_day"))))
+    return bars.join(dealt, meets, "left").select(*[bars[c] for c in bars.columns], "statement")
+
+
 def merge_margin_and_flow(margin: DataFrame, flow: DataFrame) -> DataFrame:
     """All (code, day) of either feed with the columns of both."""
     flow_cols = [c for c in FLOW_COLUMNS if c in flow.columns]

@@ -20,6 +20,7 @@ from quotemill.operators.calendar import off_calendar, on_calendar
 from quotemill.operators.coverage import latest_dates
 from quotemill.operators.dated import date_between
 from quotemill.operators.ledger import split_valid
+from quotemill.session import stored
 
 
 def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column] | None = None,
@@ -347,3 +348,160 @@ def touched_partitions(existing: DataFrame, new: DataFrame, partition_by: Sequen
     """Rows of the table that live in partitions the batch writes to."""
     return existing.join(_keyed(new, partition_by), list(partition_by), "left_semi") \
         .select(*existing.columns)
+
+
+# --- changes of stored tables that write only the folders they touch ---------
+
+def _folders(spark, path: str, partition_by: str, values: Sequence) -> DataFrame:
+    """The rows of the named folders: values are literals, so the other folders are not even listed as input."""
+    table = spark.read.parquet(path)
+    known = [v for v in values if v is not None]
+    hit = F.col(partition_by).isin(known)
+    return table.filter(hit | F.col(partition_by).isNull() if len(known) < len(values) else hit)
+
+
+def _values_of(df: DataFrame, partition_by: str) -> list:
+    """Partition values, fetched: one per folder that a change touches."""
+    return [r[0] for r in df.select(partition_by).distinct().collect()]
+
+
+def _rewrite(spark, path: str, partition_by: str, values: Sequence, new_rows: DataFrame) -> None:
+    """Puts ``new_rows`` in place of the named folders; folders nothing is left for are removed.
+
+    The rows are stored first, so a write that fails and runs again finds them, and the table is read once.
+    """
+    rows = stored(new_rows, "touched")
+    write_partitions(rows, path, [partition_by])
+    left = {str(v) for v in _values_of(rows, partition_by)}
+    for v in values:
+        if str(v) not in left:
+            name = "__HIVE_DEFAULT_PARTITION__" if v is None else v
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{partition_by}={name}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def upsert_stored(path: str, new: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
+                  partition_by: str) -> list:
+    """``upsert`` into a stored table, writing only folders that hold keys of the batch or get rows of it.
+
+    Key columns and the partition column are read to find those folders (a key may move to another one);
+    where the partition column is one of the keys, the batch alone names them. Returns the folders'
+    values, one per folder touched. ``order`` columns that the table lacks only order the batch.
+    """
+    spark = new.sparkSession
+    table = spark.read.parquet(path)
+    fresh = stored(one_per_key(new, keys, order, keep="last").select(*table.columns), "batch")
+    values = set(_values_of(fresh, partition_by))
+    if partition_by not in keys:
+        held = table.select(*keys, partition_by).join(fresh.select(*keys), list(keys), "left_semi")
+        values |= set(_values_of(held, partition_by))
+    values = sorted(values, key=lambda v: (v is None, str(v)))
+    kept = _folders(spark, path, partition_by, values).join(fresh.select(*keys), list(keys), "left_anti")
+    _rewrite(spark, path, partition_by, values, kept.select(*table.columns).unionByName(fresh))
+    return values
+
+
+def _matching(spark, path: str, partition_by: str, equals: Mapping) -> tuple[DataFrame, Column, list]:
+    if not equals:
+        raise ValueError("a change needs at least one condition")
+    table = spark.read.parquet(path)
+    hit = F.lit(True)
+    for col, value in equals.items():
+        hit = hit & (F.col(col) == F.lit(value))
+    hit = F.coalesce(hit, F.lit(False))
+    return table, hit, _values_of(table.filter(hit), partition_by)
+
+
+def delete_stored(spark, path: str, partition_by: str, **equals) -> list:
+    """``delete_where`` on a stored table; only folders with matching rows are written. Returns their values."""
+    table, hit, values = _matching(spark, path, partition_by, equals)
+    if values:
+        _rewrite(spark, path, partition_by, values, _folders(spark, path, partition_by, values).filter(~hit))
+    return values
+
+
+def update_stored(spark, path: str, partition_by: str, changes: Mapping[str, object], **equals) -> list:
+    """``update_where`` on a stored table; only folders with matching rows are written. Returns their values."""
+    if partition_by in changes:
+        raise ValueError("rows do not change folders by an update: use upsert_stored")
+    table, hit, values = _matching(spark, path, partition_by, equals)
+    if values:
+        rows = _folders(spark, path, partition_by, values)
+        _rewrite(spark, path, partition_by, values, update_where(rows, changes, **equals))
+    return values
+
+
+# --- contents compared by order-free sums ------------------------------------
+
+LEAVES = 4096
+
+
+def _sums(columns: Sequence[str]) -> list[Column]:
+    """Row count and four sums of two 64-bit row hashes, cut in halves so that sums of 2^31 rows fit a long."""
+    out = [F.count(F.lit(1)).alias("n")]
+    for i in range(2):
+        h = F.xxhash64(F.lit(i), *[F.struct(F.col(c).isNull(), F.col(c)) for c in columns])
+        out += [F.sum(F.shiftright(h, 32)).alias(f"h{i}"),
+                F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"l{i}")]
+    return out
+
+
+_SUMS = ["n", "h0", "l0", "h1", "l1"]
+
+
+def _leaf(keys: Sequence[str], leaves: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(leaves)).cast("int")
+
+
+def content_sums(df: DataFrame, keys: Sequence[str], range_col: str, leaves: int = LEAVES) -> DataFrame:
+    """The contents of a table in a few numbers per range (a year, say) and leaf of hashed keys.
+
+    Sums are order-free and mergeable, so they can be kept beside a table and compared later. All other
+    columns take part. One scan, partial sums on the map side, at most ``ranges * leaves`` rows.
+    """
+    rest = sorted(c for c in df.columns if c not in keys and c != range_col)
+    return df.groupBy(range_col, _leaf(keys, leaves).alias("leaf")).agg(*_sums([*keys, *rest]))
+
+
+def _unequal(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Groups whose sums differ, with the row counts of both sides; NULL groups meet each other."""
+    sides = left.select(*by, F.lit(1).alias("_side"), *_SUMS).unionByName(
+        right.select(*by, F.lit(-1).alias("_side"), *_SUMS))
+    folded = sides.groupBy(*by).agg(
+        *[F.sum(F.col(c) * F.col("_side")).alias(c) for c in _SUMS],
+        F.coalesce(F.sum(F.when(F.col("_side") == 1, F.col("n"))), F.lit(0)).alias("left_rows"),
+        F.coalesce(F.sum(F.when(F.col("_side") == -1, F.col("n"))), F.lit(0)).alias("right_rows"))
+    differs = F.lit(False)
+    for c in _SUMS:
+        differs = differs | (F.col(c) != 0)
+    return folded.filter(differs).select(*by, "left_rows", "right_rows")
+
+
+def content_diff(left: DataFrame, right: DataFrame, keys: Sequence[str], range_col: str,
+                 leaves: int = LEAVES, left_sums: DataFrame | None = None,
+                 right_sums: DataFrame | None = None) -> DataFrame:
+    """``keys, left_rows, right_rows, state`` of the keys whose rows differ: missing, extra or changed.
+
+    Sums of ranges and leaves are compared first (those kept from a load may be given); only leaves that
+    differ are opened, and ranges without any are not read where ``range_col`` is a folder column. Keys
+    may repeat: their rows are compared as a multiset. The differing leaves are fetched to name the ranges.
+    """
+    a = content_sums(left, keys, range_col, leaves) if left_sums is None else left_sums
+    b = content_sums(right, keys, range_col, leaves) if right_sums is None else right_sums
+    bad = stored(_unequal(a, b, [range_col, "leaf"]).select(range_col, "leaf"), "leaves", 1)
+    ranges = _values_of(bad, range_col)
+    columns = sorted(c for c in left.columns if c not in keys and c != range_col)
+
+    def opened(df: DataFrame) -> DataFrame:
+        known = [v for v in ranges if v is not None]
+        hit = F.col(range_col).isin(known)
+        rows = df.filter(hit | F.col(range_col).isNull() if len(known) < len(ranges) else hit) \
+            .withColumn("leaf", _leaf(keys, leaves))
+        wanted = bad.select(F.col(range_col).alias("_range"), F.col("leaf").alias("_leaf"))
+        near = rows.join(wanted, F.col(range_col).eqNullSafe(F.col("_range")) & (F.col("leaf") == F.col("_leaf")),
+                         "left_semi")
+        return near.groupBy(*keys).agg(*_sums([range_col, *columns]))
+
+    found = _unequal(opened(left), opened(right), keys)
+    return found.withColumn("state", F.when(F.col("left_rows") == 0, "extra")
+                            .when(F.col("right_rows") == 0, "missing").otherwise("changed"))

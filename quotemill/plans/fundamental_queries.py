@@ -172,3 +172,16 @@ def reconcile_small_differences(m: Market):
         m.ledger.select(F.col("trade_id").alias("key"), "amount"))
     off = F.when(F.col("key").endswith("3"), 1 + 5e-8).otherwise(F.lit(1 + 1e-10))
     return fun.reconcile(keyed, keyed.withColumn("amount", F.col("amount") * off), ["key"]).select("key", "issue")
+
+
+@query("bars_with_known_statement", "bars_li", "statements", sql="""
+    SELECT code, day, close, stat_date, report_type, total_assets FROM (
+      SELECT p.code, p.day, p.close, s.stat_date, s.report_type, s.total_assets,
+             row_number() OVER (PARTITION BY p.code, p.day ORDER BY s.stat_date DESC NULLS LAST,
+                                s.report_type DESC) AS rn
+      FROM bars_li p LEFT JOIN statements s ON s.code = p.code AND s.pub_date <= p.day) x WHERE rn = 1""")
+def bars_with_known_statement(m: Market):
+    """Every bar with the newest quarter's highest version that was published by its day."""
+    out = fun.with_known_statement(m.bars_li.select("code", "day", "close"), m.statements)
+    return out.select("code", "day", "close", *[
+        F.col(f"statement.{c}").alias(c) for c in ("stat_date", "report_type", "total_assets")])

@@ -13,6 +13,7 @@ from quotemill.operators import merge
 from quotemill.plans.market import EVENTS_AS_OF, LEDGER_AS_OF, Market
 from quotemill.plans.registry import query
 from quotemill.schemas import SCHEMAS
+from quotemill.session import shared_dir
 from quotemill.sources import landed, tables
 
 _PRICE_COLUMNS = [f.name for f in SCHEMAS["price_data"].fields]
@@ -477,3 +478,68 @@ def json_records(m: Market):
     return tables.records(m.securities.select("code", "end_date", F.lit(float("nan")).alias("gap")))
 
 
+
+
+def _by_year(m: Market, df, day: str) -> str:
+    """A table stored by year in the shared folder."""
+    path = f"{shared_dir(m.spark, 'by-year')}/rows"
+    merge.write_partitions(df.withColumn("part_year", F.year(day)), path, ["part_year"])
+    return path
+
+
+@query("upsert_stored_years", "bars_li", sql=f"""
+    SELECT * FROM {_LI_OLD} o WHERE day < DATE '2001-01-01' UNION ALL SELECT * FROM {_LI_NEW} n""")
+def upsert_stored_years(m: Market):
+    """Two versions of each key of a year; the other years' files stay as they are."""
+    path = _by_year(m, _old(m), "day")
+    new = _new(m).withColumn("version", F.explode(F.array(F.lit(1), F.lit(2)))).withColumns({
+        "close": F.col("close") + F.when(F.col("version") == 1, 1000.0).otherwise(0.0),
+        "part_year": F.year("day")})
+    merge.upsert_stored(path, new, ["code", "day"], ["version"], "part_year")
+    return m.spark.read.parquet(path).select("code", "day", "close")
+
+
+@query("upsert_stored_moved", "ledger", sql="""
+    WITH x AS (SELECT trade_id, user_id, CASE WHEN trade_id LIKE '%7-1' AND year(trade_date) < 1994
+                      THEN trade_date + 366 ELSE trade_date END AS trade_date FROM ledger)
+    SELECT DISTINCT trade_id, user_id, trade_date FROM x""")
+def upsert_stored_moved(m: Market):
+    """Trades whose corrected date lies in another folder leave the old one."""
+    trades = m.ledger.select("trade_id", "user_id", "trade_date").distinct()
+    path = _by_year(m, trades, "trade_date")
+    moved = trades.filter("trade_id LIKE '%7-1' AND year(trade_date) < 1994").withColumn(
+        "trade_date", F.date_add("trade_date", 366)).withColumn("part_year", F.year("trade_date"))
+    merge.upsert_stored(path, moved, ["trade_id"], ["trade_date"], "part_year")
+    return m.spark.read.parquet(path).select("trade_id", "user_id", "trade_date")
+
+
+@query("delete_update_stored", "bars_li", sql="""
+    SELECT code, day, CASE WHEN day = DATE '1995-03-10' THEN -1.0::DOUBLE ELSE close END AS close
+    FROM bars_li WHERE day <> DATE '1997-05-06'""")
+def delete_update_stored(m: Market):
+    path = _by_year(m, m.bars_li.select("code", "day", "close"), "day")
+    merge.delete_stored(m.spark, path, "part_year", day=dt.date(1997, 5, 6))
+    merge.update_stored(m.spark, path, "part_year", {"close": -1.0}, day=dt.date(1995, 3, 10))
+    return m.spark.read.parquet(path).select("code", "day", "close")
+
+
+_CHANGED = """(SELECT code, day, CASE WHEN code LIKE '%1.SZ' AND year(day) = 1996 THEN close + 1 ELSE close END AS close,
+                      volume FROM bars_li WHERE NOT (code LIKE '%2.BJ' AND day < DATE '1994-01-01')
+               UNION ALL SELECT code, day + 20000, close, volume FROM bars_li WHERE day = DATE '1998-02-03')"""
+
+
+@query("reload_contents", "bars_li", sql=f"""
+    SELECT coalesce(a.code, b.code) AS code, coalesce(a.day, b.day) AS day,
+           CAST(count(a.code) AS BIGINT) AS left_rows, CAST(count(b.code) AS BIGINT) AS right_rows,
+           CASE WHEN count(a.code) = 0 THEN 'extra' WHEN count(b.code) = 0 THEN 'missing' ELSE 'changed' END AS state
+    FROM bars_li a FULL JOIN {_CHANGED} b ON a.code = b.code AND a.day = b.day
+    WHERE a.code IS NULL OR b.code IS NULL OR a.close <> b.close OR a.volume <> b.volume GROUP BY 1, 2""")
+def reload_contents(m: Market):
+    """Contents after a reload against those before: changed, missing and extra keys, found by sums."""
+    old = m.bars_li.select("code", "day", "close", "volume")
+    new = old.filter("NOT (code LIKE '%2.BJ' AND day < DATE '1994-01-01')").withColumn(
+        "close", F.when(F.expr("code LIKE '%1.SZ' AND year(day) = 1996"), F.col("close") + 1).otherwise(F.col("close")))
+    extra = old.filter("day = DATE '1998-02-03'").withColumn("day", F.date_add("day", 20000))
+    before, after = _by_year(m, old, "day"), _by_year(m, new.unionByName(extra), "day")
+    return merge.content_diff(m.spark.read.parquet(before), m.spark.read.parquet(after),
+                              ["code", "day"], "part_year")
