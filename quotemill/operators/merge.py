@@ -360,7 +360,7 @@ def _folders(spark, path: str, partition_by: str, values: Sequence) -> DataFrame
     return table.filter(hit | F.col(partition_by).isNull() if len(known) < len(values) else hit)
 
 
-def _values_of(df: DataFrame, partition_by: str) -> list:
+def partition_values(df: DataFrame, partition_by: str) -> list:
     """Partition values, fetched: one per folder that a change touches."""
     return [r[0] for r in df.select(partition_by).distinct().collect()]
 
@@ -372,7 +372,7 @@ def _rewrite(spark, path: str, partition_by: str, values: Sequence, new_rows: Da
     """
     rows = stored(new_rows, "touched")
     write_partitions(rows, path, [partition_by])
-    left = {str(v) for v in _values_of(rows, partition_by)}
+    left = {str(v) for v in partition_values(rows, partition_by)}
     for v in values:
         if str(v) not in left:
             name = "__HIVE_DEFAULT_PARTITION__" if v is None else v
@@ -391,10 +391,10 @@ def upsert_stored(path: str, new: DataFrame, keys: Sequence[str], order: Sequenc
     spark = new.sparkSession
     table = spark.read.parquet(path)
     fresh = stored(one_per_key(new, keys, order, keep="last").select(*table.columns), "batch")
-    values = set(_values_of(fresh, partition_by))
+    values = set(partition_values(fresh, partition_by))
     if partition_by not in keys:
         held = table.select(*keys, partition_by).join(fresh.select(*keys), list(keys), "left_semi")
-        values |= set(_values_of(held, partition_by))
+        values |= set(partition_values(held, partition_by))
     values = sorted(values, key=lambda v: (v is None, str(v)))
     kept = _folders(spark, path, partition_by, values).join(fresh.select(*keys), list(keys), "left_anti")
     _rewrite(spark, path, partition_by, values, kept.select(*table.columns).unionByName(fresh))
@@ -409,7 +409,7 @@ def _matching(spark, path: str, partition_by: str, equals: Mapping) -> tuple[Dat
     for col, value in equals.items():
         hit = hit & (F.col(col) == F.lit(value))
     hit = F.coalesce(hit, F.lit(False))
-    return table, hit, _values_of(table.filter(hit), partition_by)
+    return table, hit, partition_values(table.filter(hit), partition_by)
 
 
 def delete_stored(spark, path: str, partition_by: str, **equals) -> list:
@@ -489,7 +489,7 @@ def content_diff(left: DataFrame, right: DataFrame, keys: Sequence[str], range_c
     a = content_sums(left, keys, range_col, leaves) if left_sums is None else left_sums
     b = content_sums(right, keys, range_col, leaves) if right_sums is None else right_sums
     bad = stored(_unequal(a, b, [range_col, "leaf"]).select(range_col, "leaf"), "leaves", 1)
-    ranges = _values_of(bad, range_col)
+    ranges = partition_values(bad, range_col)
     columns = sorted(c for c in left.columns if c not in keys and c != range_col)
 
     def opened(df: DataFrame) -> DataFrame:

@@ -47,3 +47,18 @@ def stream_append_trades(m: Market):
     trades = _trade_stream(m).select("trade_id", "trade_date", "user_id", "quantity")
     st.run(st.append_trades(trades, f"{work}/table", f"{work}/checkpoint", partition_by=()))
     return m.spark.read.schema(trades.schema).parquet(f"{work}/table").select("trade_id", "trade_date")
+
+
+@query("stream_append_batches", "ledger", sql="""
+    SELECT DISTINCT trade_id, CAST(year(trade_date) AS INTEGER) AS part_year FROM ledger""")
+def stream_append_batches(m: Market):
+    """Three batches, a quarter of the ids in each of them; only the folders of a batch's years are read."""
+    work = shared_dir(m.spark, "batches")
+    trades = m.ledger.select("trade_id", "user_id", F.year("trade_date").alias("part_year"))
+    part = F.crc32("trade_id") % 4
+    for i in range(3):
+        trades.filter(part.isin(i, 3)).coalesce(1).write.mode("append").parquet(f"{work}/landed")
+    stream = m.spark.readStream.schema(trades.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/landed")
+    st.run(st.append_trades(stream, f"{work}/table", f"{work}/checkpoint", partition_by=("part_year",),
+                            keys=("trade_id", "part_year")))
+    return m.spark.read.schema(trades.schema).parquet(f"{work}/table").select("trade_id", "part_year")

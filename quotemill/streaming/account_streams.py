@@ -44,6 +44,13 @@ def _existing(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def _touched(held: DataFrame, batch: DataFrame, partition_by: tuple[str, ...]) -> DataFrame:
+    """Rows of the folders a batch writes to. Their values go into the scan as literals, one per folder."""
+    first = partition_by[0]
+    values = [v for v in merge.partition_values(batch, first) if v is not None]
+    return merge.touched_partitions(held.filter(F.col(first).isin(values)), batch, partition_by)
+
+
 def append_trades(stream: DataFrame, table_path: str, checkpoint: str,
                   partition_by: tuple[str, ...] = ("trade_date",),
                   keys: tuple[str, ...] = ("trade_id",)) -> DataStreamWriter:
@@ -51,13 +58,13 @@ def append_trades(stream: DataFrame, table_path: str, checkpoint: str,
 
     With the id alone as key a repeat is found whatever its date, at the price of reading all ids of
     the table for every batch. Where ids repeat only within a date, give ``("trade_id", "trade_date")``:
-    then only the date folders a batch touches are read, however long the table grows.
+    then only the date folders a batch touches are listed in the scan, however long the table grows.
     """
 
     def add(batch: DataFrame, _epoch: int) -> None:
         held = _existing(batch.sparkSession, table_path, stream.schema)
         if partition_by and set(partition_by) <= set(keys):
-            held = merge.touched_partitions(held, batch, partition_by)
+            held = _touched(held, batch, partition_by)
         fresh = merge.insert_new(held, batch, list(keys))
         merge.append(fresh.hint("rebalance", *partition_by), table_path, partition_by)
 
