@@ -21,7 +21,8 @@ from quotemill.operators.series import latest_rows
 from quotemill.schemas import BUY, SELL
 
 
-def _signed(col: str) -> Column:
+def signed(col: str) -> Column:
+    """Bought as it is, sold below zero."""
     return F.when(F.col("trade_type") == BUY, F.col(col)).otherwise(-F.col(col))
 
 
@@ -32,8 +33,8 @@ def net_positions(ledger: DataFrame, end: dt.date | str | None = None,
     if user_id is not None:
         rows = rows.filter(F.col("user_id") == user_id)
     return rows.groupBy("user_id", "stock_code").agg(
-        money_sum(_signed("quantity")).alias("total_quantity"),
-        money_sum(_signed("net_amount")).alias("total_amount"),
+        money_sum(signed("quantity")).alias("total_quantity"),
+        money_sum(signed("net_amount")).alias("total_amount"),
         F.count(F.lit(1)).alias("transaction_count"),
     ).filter(F.col("total_quantity") > 0)
 
@@ -181,7 +182,7 @@ def running_positions(ledger: DataFrame, *extra: Column) -> DataFrame:
     ``extra`` are further aggregates over the same user, stock and day.
     """
     daily = ledger.groupBy("user_id", "stock_code", F.col("trade_date").alias("position_date")).agg(
-        F.sum(_signed("quantity").cast("decimal(38,10)")).alias("_q"), *extra)
+        F.sum(signed("quantity").cast("decimal(38,10)")).alias("_q"), *extra)
     upto = Window.partitionBy("user_id", "stock_code").orderBy("position_date")
     return daily.withColumn("position_quantity", F.sum("_q").over(upto).cast("double")).drop("_q")
 

@@ -352,9 +352,8 @@ def touched_partitions(existing: DataFrame, new: DataFrame, partition_by: Sequen
 
 # --- changes of stored tables that write only the folders they touch ---------
 
-def _folders(spark, path: str, partition_by: str, values: Sequence) -> DataFrame:
+def folder_rows(table: DataFrame, partition_by: str, values: Sequence) -> DataFrame:
     """The rows of the named folders: values are literals, so the other folders are not even listed as input."""
-    table = spark.read.parquet(path)
     known = [v for v in values if v is not None]
     hit = F.col(partition_by).isin(known)
     return table.filter(hit | F.col(partition_by).isNull() if len(known) < len(values) else hit)
@@ -365,7 +364,7 @@ def partition_values(df: DataFrame, partition_by: str) -> list:
     return [r[0] for r in df.select(partition_by).distinct().collect()]
 
 
-def _rewrite(spark, path: str, partition_by: str, values: Sequence, new_rows: DataFrame) -> None:
+def replace_folders(spark, path: str, partition_by: str, values: Sequence, new_rows: DataFrame) -> None:
     """Puts ``new_rows`` in place of the named folders; folders nothing is left for are removed.
 
     The rows are stored first, so a write that fails and runs again finds them, and the table is read once.
@@ -396,8 +395,8 @@ def upsert_stored(path: str, new: DataFrame, keys: Sequence[str], order: Sequenc
         held = table.select(*keys, partition_by).join(fresh.select(*keys), list(keys), "left_semi")
         values |= set(partition_values(held, partition_by))
     values = sorted(values, key=lambda v: (v is None, str(v)))
-    kept = _folders(spark, path, partition_by, values).join(fresh.select(*keys), list(keys), "left_anti")
-    _rewrite(spark, path, partition_by, values, kept.select(*table.columns).unionByName(fresh))
+    kept = folder_rows(spark.read.parquet(path), partition_by, values).join(fresh.select(*keys), list(keys), "left_anti")
+    replace_folders(spark, path, partition_by, values, kept.select(*table.columns).unionByName(fresh))
     return values
 
 
@@ -416,7 +415,7 @@ def delete_stored(spark, path: str, partition_by: str, **equals) -> list:
     """``delete_where`` on a stored table; only folders with matching rows are written. Returns their values."""
     table, hit, values = _matching(spark, path, partition_by, equals)
     if values:
-        _rewrite(spark, path, partition_by, values, _folders(spark, path, partition_by, values).filter(~hit))
+        replace_folders(spark, path, partition_by, values, folder_rows(table, partition_by, values).filter(~hit))
     return values
 
 
@@ -426,8 +425,8 @@ def update_stored(spark, path: str, partition_by: str, changes: Mapping[str, obj
         raise ValueError("rows do not change folders by an update: use upsert_stored")
     table, hit, values = _matching(spark, path, partition_by, equals)
     if values:
-        rows = _folders(spark, path, partition_by, values)
-        _rewrite(spark, path, partition_by, values, update_where(rows, changes, **equals))
+        rows = folder_rows(table, partition_by, values)
+        replace_folders(spark, path, partition_by, values, update_where(rows, changes, **equals))
     return values
 
 

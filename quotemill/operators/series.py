@@ -17,6 +17,7 @@ from quotemill.functions.dates import day as as_day
 from quotemill.functions.dates import week_end
 from quotemill.functions.values import money_avg, money_sum, pad_change, ratio, round_to
 from quotemill.operators.dated import date_between
+from quotemill.operators.handed_on import with_previous
 
 TRADING_DAYS_PER_YEAR = 252
 MA_PERIODS = (5, 10, 20, 60, 120, 250)
@@ -179,6 +180,27 @@ def abnormal_moves(bars: DataFrame, as_of: dt.date | str, limit: float = 0.5,
             .withColumn("change_ratio", change).filter(F.col("change_ratio") > limit))
 
 
+def day_changes(rows: DataFrame, ranges: int | None = None) -> DataFrame:
+    """``code, day, close, copies, prev_close, return`` of tables that are not clean.
+
+    For unknown codes (NULL is a code) and any number of rows for a code and day: exact repeats count as
+    one row with their number in ``copies``, the others follow each other by day and close (NULLs first).
+    Work is dealt by ranges, so no code is too large. On a clean table it gives ``daily_returns`` of closes.
+    """
+    told_apart = rows.groupBy("code", "day", "close").agg(F.count(F.lit(1)).alias("copies"))
+    moved = with_previous(told_apart, ["code"], ["day", "close"], "close", "prev_close", ranges)
+    return moved.withColumn("return", ratio("close", "prev_close") - 1.0)
+
+
+def abnormal_moves_of_dirty_rows(rows: DataFrame, as_of: dt.date | str, limit: float = 0.5,
+                                 days: int | None = 30) -> DataFrame:
+    """``abnormal_moves`` for tables with unknown codes and repeated days, see ``day_changes``."""
+    looked_at = rows if days is None else date_between(rows, "day", F.date_sub(as_day(as_of), days))
+    moved = day_changes(looked_at.select("code", "day", "close"))
+    return (moved.where("prev_close > 0").withColumn("change_ratio", F.abs("return"))
+            .where(F.col("change_ratio") > limit).select("code", "day", "close", "prev_close", "change_ratio"))
+
+
 def gap_fill_days(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """Trading days between a code's first and last bar on which it has none."""
     from quotemill.operators.calendar import numbered

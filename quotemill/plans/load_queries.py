@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from quotemill.functions import trades as tf
 from quotemill.operators import calendar as cal
 from quotemill.operators import coverage as cov
-from quotemill.operators import merge
-from quotemill.plans.market import EVENTS_AS_OF, LEDGER_AS_OF, Market
+from quotemill.operators import kept_states, merge
+from quotemill.plans.market import EVENTS_AS_OF, LEDGER_AS_OF, Market, dsum
 from quotemill.plans.registry import query
 from quotemill.schemas import SCHEMAS
 from quotemill.session import shared_dir
@@ -543,3 +543,66 @@ def reload_contents(m: Market):
     before, after = _by_year(m, old, "day"), _by_year(m, new.unionByName(extra), "day")
     return merge.content_diff(m.spark.read.parquet(before), m.spark.read.parquet(after),
                               ["code", "day"], "part_year")
+
+
+# --- figures kept up to date over loads ---------------------------------------
+
+def _five_loads(m: Market, rows, key: str, kept: kept_states.Figures):
+    """The rows come in five loads, each with rows of all years; the last one runs twice."""
+    work = shared_dir(m.spark, "kept")
+    rows = rows.withColumn("part_year", F.year(F.col(key)))
+    load = F.pmod(F.xxhash64(*rows.columns), F.lit(5))
+    for i in (0, 1, 2, 3, 4, 4):
+        batch = rows.filter(load == i)
+        if kept_states.add_load(f"{work}/states", batch, kept, i + 1):
+            merge.append(batch, f"{work}/table", ("part_year",))
+    return f"{work}/table", f"{work}/states"
+
+
+@query("kept_net_positions", "ledger", sql=f"""
+    SELECT user_id, stock_code, {dsum("CASE WHEN trade_type = 23 THEN quantity ELSE -quantity END")} AS total_quantity,
+           {dsum("CASE WHEN trade_type = 23 THEN net_amount ELSE -net_amount END")} AS total_amount, count(*) AS transaction_count
+    FROM ledger WHERE trade_date <> DATE '1995-05-05' GROUP BY user_id, stock_code HAVING total_quantity > 0""")
+def kept_net_positions(m: Market):
+    """Net positions from kept states: five loads, then a day is deleted."""
+    kept = kept_states.position_figures("part_year")
+    table, states = _five_loads(m, m.ledger.select("trade_id", "user_id", "stock_code", "trade_date", "trade_type", "quantity",
+                                                   "net_amount"), "trade_date", kept)
+    kept_states.delete_rows(table, states, m.spark, kept, trade_date=dt.date(1995, 5, 5))
+    return kept_states.net_positions(m.spark.read.parquet(states), kept)
+
+
+@query("kept_latest_rows", "bars_li", sql="""
+    SELECT code, max(day) AS latest_date, min(day) AS first_date, count(*) AS days, max_by(close, day) AS close,
+           max_by(volume, day) AS volume
+    FROM bars_li WHERE code <> '600005.SH' OR day <> DATE '1997-05-06' GROUP BY code""")
+def kept_latest_rows(m: Market):
+    """The newest bar and the dates of every code from kept states."""
+    kept = kept_states.Figures(keys=("code",), folder="part_year", counts={"days": "day"}, least={"first_date": "day"},
+                               greatest={"latest_date": "day"}, newest={"newest": ["day", "close", "volume"]})
+    table, states = _five_loads(m, m.bars_li.select("code", "day", "close", "volume"), "day", kept)
+    kept_states.delete_rows(table, states, m.spark, kept, code="600005.SH", day=dt.date(1997, 5, 6))
+    now = kept_states.figures(m.spark.read.parquet(states), kept)
+    return now.select("code", "latest_date", "first_date", "days", "newest.close", "newest.volume")
+
+
+@query("kept_position_summary", "positions", sql=f"""
+    SELECT user_id, position_date, count(*) AS total_positions, count(DISTINCT stock_code) AS unique_stocks,
+           CAST(sum(CAST(position_quantity AS BIGINT)) AS BIGINT) AS total_quantity, {dsum('market_value')} AS total_market_value,
+           {dsum('unrealized_pnl')} AS total_unrealized_pnl
+    FROM (SELECT *, max(position_date) OVER (PARTITION BY user_id) AS newest FROM positions) x
+    WHERE position_date = newest AND position_quantity > 0 GROUP BY user_id, position_date""")
+def kept_position_summary(m: Market):
+    """The newest book per user from kept states per user and date; a stock occurs once in a book."""
+    held = F.col("position_quantity") > 0
+    kept = kept_states.Figures(
+        keys=("user_id", "position_date"), folder="part_year", counts={"total_positions": F.when(held, 1)},
+        sums={"total_quantity": F.when(held, F.col("position_quantity").cast("bigint")),
+              "total_market_value": F.when(held, F.col("market_value")), "total_unrealized_pnl": F.when(held, F.col("unrealized_pnl"))})
+    _, states = _five_loads(m, m.positions.select("user_id", "stock_code", "position_date", "position_quantity", "market_value",
+                                                  "unrealized_pnl"), "position_date", kept)
+    books = kept_states.figures(m.spark.read.parquet(states), kept)
+    newest = books.groupBy("user_id").agg(F.max("position_date").alias("position_date"))
+    return (books.join(newest, ["user_id", "position_date"], "left_semi").filter("total_positions > 0")
+            .withColumn("unique_stocks", F.col("total_positions")).withColumn("total_quantity", F.col("total_quantity").cast("bigint"))
+            .drop("_rows"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quotemill.functions.values import pad_change
 from quotemill.operators import calendar as cal
 from quotemill.operators import scan, series
-from quotemill.plans.market import EVENTS_AS_OF, LEDGER_AS_OF, Market, query_round as r6
+from quotemill.plans.market import EVENTS_AS_OF, LEDGER_AS_OF, Market, _code, code_from, query_round as r6
 from quotemill.plans.registry import query
 
 _ADJ = "SELECT *, close * factor AS adj_close FROM bars_ev"
@@ -170,6 +170,31 @@ def abnormal_moves_all(m: Market):
     return r6(series.abnormal_moves(m.bars_li, LEDGER_AS_OF, days=None), "change_ratio")
 
 
+# Ticks as they come, half of them without a code: one key of half of all rows.
+_DIRTY = f"""
+    SELECT code, day, close, copies, lag(close) OVER (PARTITION BY code ORDER BY day NULLS FIRST, close NULLS FIRST) AS prev_close
+    FROM (SELECT CASE WHEN user_id % 2 = 1 THEN {_code('user_id')} END AS code, CAST(ts AS DATE) AS day, value AS close,
+                 count(*) AS copies FROM events GROUP BY ALL) x"""
+
+
+def _dirty_rows(m: Market):
+    return m.raw("events").select(F.when(F.col("user_id") % 2 == 1, code_from(F.col("user_id"))).alias("code"),
+                                  F.to_date("ts").alias("day"), F.col("value").alias("close"))
+
+
+@query("day_changes_dirty", sql=f"""
+    SELECT code, day, close, copies, prev_close, round(close / nullif(prev_close, 0) - 1.0, 6) AS "return" FROM ({_DIRTY}) y""")
+def day_changes_dirty(m: Market):
+    return r6(series.day_changes(_dirty_rows(m)), "return")
+
+
+@query("abnormal_moves_dirty", sql=f"""
+    SELECT code, day, close, prev_close, round(abs(close / prev_close - 1.0), 6) AS change_ratio FROM ({_DIRTY}) y
+    WHERE prev_close > 0 AND abs(close / prev_close - 1.0) > 0.5""")
+def abnormal_moves_dirty(m: Market):
+    return r6(series.abnormal_moves_of_dirty_rows(_dirty_rows(m), EVENTS_AS_OF, days=None), "change_ratio")
+
+
 @query("daily_bars_from_ticks", "bars_ev", sql="SELECT * FROM bars_ev")
 def daily_bars_from_ticks(m: Market):
     return m.bars_ev

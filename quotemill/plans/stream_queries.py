@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quotemill.operators import kept_states
 from quotemill.plans.market import Market, code_from, dsum
 from quotemill.plans.registry import query
 from quotemill.session import shared_dir
@@ -62,3 +63,35 @@ def stream_append_batches(m: Market):
     st.run(st.append_trades(stream, f"{work}/table", f"{work}/checkpoint", partition_by=("part_year",),
                             keys=("trade_id", "part_year")))
     return m.spark.read.schema(trades.schema).parquet(f"{work}/table").select("trade_id", "part_year")
+
+
+@query("stream_late_days", "ledger", sql=f"""
+    SELECT trade_date, user_id, stock_code, count(*) AS trade_count, {dsum('quantity')} AS total_quantity,
+           {dsum('amount')} AS total_amount
+    FROM ledger GROUP BY trade_date, user_id, stock_code""")
+def stream_late_days(m: Market):
+    """Three batches, the newest days first: what comes for days long written is merged into them."""
+    work = shared_dir(m.spark, "late")
+    trades = m.ledger.select("trade_date", "user_id", "stock_code", "quantity", "amount", F.year("trade_date").alias("part_year"))
+    late = F.coalesce(F.crc32(F.col("trade_date").cast("string")) % 3, F.lit(0))
+    newer = F.col("part_year") >= 1996
+    for some in (newer, ~newer & (late == 1), ~newer & (late != 1)):
+        trades.filter(F.coalesce(some, F.lit(False))).coalesce(1).write.mode("append").parquet(f"{work}/landed")
+    trades.filter("part_year IS NULL").coalesce(1).write.mode("append").parquet(f"{work}/landed")
+    stream = m.spark.readStream.schema(trades.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/landed")
+    kept = st.day_figures("part_year")
+    st.run(st.keep_figures(stream, kept, f"{work}/states", f"{work}/checkpoint"))
+    return kept_states.figures(m.spark.read.parquet(f"{work}/states"), kept).drop("_rows")
+
+
+@query("stream_drop_repeats", "ledger", sql="SELECT trade_id, min(trade_date) AS trade_date FROM ledger GROUP BY trade_id")
+def stream_drop_repeats(m: Market):
+    """Every trade arrives twice; the state drops its repeat."""
+    work = shared_dir(m.spark, "repeats")
+    trades = m.ledger.select("trade_id", "trade_date", F.col("trade_date").alias("trade_time"))
+    for _ in range(2):
+        trades.write.mode("append").parquet(f"{work}/landed")
+    stream = m.spark.readStream.schema(trades.schema).parquet(f"{work}/landed")
+    once = st.drop_repeats(stream).select("trade_id", "trade_date")
+    st.run(st.write_closed_days(once, f"{work}/out", f"{work}/checkpoint"))
+    return m.spark.read.schema(once.schema).parquet(f"{work}/out")

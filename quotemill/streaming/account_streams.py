@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from quotemill.functions.values import money_sum
-from quotemill.operators import merge
+from quotemill.operators import kept_states, merge
 from quotemill.schemas import SCHEMAS
 from quotemill.sources import account_files as af
 
@@ -143,6 +143,8 @@ def replace_snapshots(stream: DataFrame, table_path: str, checkpoint: str) -> Da
 def daily_trade_sums(stream: DataFrame, delay: str = "7 days", time_col: str = "trade_time") -> DataFrame:
     """Trades per day, user and stock; a day comes out once the watermark has passed it.
 
+    Rows later than that are not in it; ``keep_figures`` takes them in.
+
     Windows start at midnight UTC, so the session time zone should be UTC.
     """
     timed = stream.withColumn("_event", F.col(time_col).cast("timestamp"))
@@ -154,6 +156,26 @@ def daily_trade_sums(stream: DataFrame, delay: str = "7 days", time_col: str = "
                     "total_quantity", "total_amount"))
 
 
+def day_figures(partition_by: str = "trade_date") -> kept_states.Figures:
+    """Trades, quantity and amount per day, user and stock, kept in folders by ``partition_by``."""
+    return kept_states.Figures(keys=("trade_date", "user_id", "stock_code"), folder=partition_by,
+                               counts={"trade_count": F.lit(1)},
+                               sums={"total_quantity": "quantity", "total_amount": "amount"})
+
+
+def keep_figures(stream: DataFrame, kept: kept_states.Figures, state_path: str, checkpoint: str) -> DataStreamWriter:
+    """Keeps figures over all rows that came, late ones included, however old their day is.
+
+    No watermark and no streaming state: every batch is merged into the folders it touches, and is a numbered
+    load, so one that runs again counts once. A state table belongs to one checkpoint: with a new
+    checkpoint numbers start anew, so start a new table too.
+    """
+    def add(batch: DataFrame, epoch: int) -> None:
+        kept_states.add_load(state_path, batch, kept, epoch + 1)
+
+    return _available(stream.writeStream.foreachBatch(add), checkpoint)
+
+
 def with_open_days(closed: DataFrame, trades: DataFrame, time_col: str = "trade_time") -> DataFrame:
     """The days the stream has closed, and from the stored trades those it still holds open."""
     done = closed.select(F.col("trade_date").alias("_day")).distinct()
