@@ -575,13 +575,13 @@ def kept_net_positions(m: Market):
 @query("kept_latest_rows", "bars_li", sql="""
     SELECT code, max(day) AS latest_date, min(day) AS first_date, count(*) AS days, max_by(close, day) AS close,
            max_by(volume, day) AS volume
-    FROM bars_li WHERE code <> '600005.SH' OR day <> DATE '1997-05-06' GROUP BY code""")
+    FROM bars_li WHERE day <> DATE '2001-10-28' GROUP BY code""")
 def kept_latest_rows(m: Market):
     """The newest bar and the dates of every code from kept states."""
     kept = kept_states.Figures(keys=("code",), folder="part_year", counts={"days": "day"}, least={"first_date": "day"},
                                greatest={"latest_date": "day"}, newest={"newest": ["day", "close", "volume"]})
     table, states = _five_loads(m, m.bars_li.select("code", "day", "close", "volume"), "day", kept)
-    kept_states.delete_rows(table, states, m.spark, kept, code="600005.SH", day=dt.date(1997, 5, 6))
+    kept_states.delete_rows(table, states, m.spark, kept, day=dt.date(2001, 10, 28))
     now = kept_states.figures(m.spark.read.parquet(states), kept)
     return now.select("code", "latest_date", "first_date", "days", "newest.close", "newest.volume")
 
