@@ -105,17 +105,17 @@ def _proposals(kind: str, text: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Confirmed spans: _row (content key of the text's row), doc_id, kind, start, end, value, score.
+    """Confirmed spans: _row (hash of the text; beside doc_id it names the row), doc_id, kind, start, end, value, score.
 
     Places are code points, end exclusive.
     """
-    rows = docs.select(F.xxhash64(doc_id, text).alias("_row"), F.col(doc_id).alias("doc_id"),
+    rows = docs.select(F.xxhash64(text).alias("_row"), F.col(doc_id).alias("doc_id"),
                        F.col(text).alias("_text"))
     hit = reduce(lambda a, b: a | b, (HINTS[k](F.col("_text")) for k in KINDS))
     proposed = (rows.where(hit)
                 .select("_row", "doc_id", F.inline(F.concat(*[_proposals(k, F.col("_text")) for k in KINDS])))
-                .repartition("_row", "kind").dropDuplicates(["_row", "kind", "i"]))
-    order = Window.partitionBy("_row", "kind").orderBy("i")
+                .dropDuplicates(["_row", "doc_id", "kind", "i"]))
+    order = Window.partitionBy("_row", "doc_id", "kind").orderBy("i")
     size = F.length("found").cast("long")
     start = (F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0))
              + F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -133,13 +133,13 @@ def pii_digest(docs: DataFrame) -> DataFrame:
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    per_row = (find_pii(docs).withColumn("rank", rank).groupBy("_row")
+    per_row = (find_pii(docs).withColumn("rank", rank).groupBy("_row", F.col("doc_id").alias("_id"))
                .agg(F.array_sort(F.collect_list(F.struct("rank", "start", "end", "kind"))).alias("all"),
                     *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS],
                     F.max("score").alias("top_score")))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_row"))
     base = F.filter("all", lambda s: s["rank"] <= len(BASE))
-    joined = rows.join(per_row, "_row", "left")
+    joined = rows.join(per_row, (rows["_row"] == per_row["_row"]) & rows["doc_id"].eqNullSafe(per_row["_id"]), "left")
     return joined.select(
         "doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.coalesce(listed(base), F.lit("")).cast("binary"), 256).alias("base_sha256"),
