@@ -180,8 +180,13 @@ def trained(docs: DataFrame, per_language: int = PER_LANGUAGE, doc_id: str = "do
     """A network fitted to at most ``per_language`` documents of each language that may be learnt from."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull()
                        & ~held_out(doc_id)).select(F.col(doc_id).alias("i"), F.col(lang).alias("l"))
+    # The rows of smallest hash: about four times as many are let through by their hash alone, so that no
+    # language's rank receives more than that, however large the table is.
+    often = F.broadcast(known.groupBy("l").agg(F.count(F.lit(1)).alias("n")))  # one row a language
+    share = F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("n"))
     order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    chosen = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("i").distinct()
+    let = known.join(often, "l").where(F.xxhash64("i").cast("double") <= F.lit(2.0 ** 64) * share - F.lit(2.0 ** 63))
+    chosen = let.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("i").distinct()
     chosen = {r["i"] for r in chosen.collect()}  # bounded: per_language x languages
     if not chosen:
         return None
