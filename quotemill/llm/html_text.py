@@ -35,9 +35,11 @@ from quotemill.llm.common import stored
 
 MOST_BROADCAST = 200_000
 
-# Every alternative ends at the next "<" or after a bounded quotation, so broken markup stays linear.
+# A tag ends at a ">" outside of quotations of any length, or, with a quotation that never ends, at the next ">" before a
+# "<". A read that began earlier goes on only while each later "<" lies inside its quotations; quotation marks never
+# bring two reads into the same state, so at most three pass any character: broken markup stays linear.
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)
-                        ((?:[^<>"']|"[^"]{0,4096}"|'[^']{0,4096}')*+|[^<>]*)>""", re.S | re.X)
+                        ((?:[^<>"']|"[^"]*+"|'[^']*+')*+|[^<>]*)>""", re.S | re.X)
 _ATTRIBUTE = re.compile(r"([A-Za-z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*.?true", re.I)
 _SPACE = re.compile(r"\s+")
