@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -179,12 +180,31 @@ def test_chat_round_trip_and_examples(spark):
         assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
         loss = "".join(t for r, t in own if r == "assistant")
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    whole = {(r.conv_id, r.example): r for r in chat.examples(shared).collect()}
+    whole = {(r.conv_id, r.example): r for r in chat.full_texts(shared).collect()}
     assert set(whole) == {(1, 0), (1, 1), (3, 0), (3, 1)}
     first = whole[1, 0]
     assert chat.unescaped(first.text[first.loss_start:first.loss_end]) == "<|text|>é"
     assert first.text.endswith("<|end|>") and whole[1, 1].text.startswith(first.text)
     assert chat.read_back(chat.segments(turns.limit(0))).count() == 0
+    exploded = {(r.conv_id, r.example): r for r in chat.examples(shared).collect()}
+    assert set(exploded) == set(whole)
+    for at, r in exploded.items():
+        assert len(whole[at].text) == r.context_chars + len(r.reply) and whole[at].text.endswith(r.reply)
+        assert (r.loss_start, r.loss_end) == (whole[at].loss_start, whole[at].loss_end)
+
+
+def test_chat_long_conversation_null_turn_and_broken_example(spark):
+    said = [(1, i, "assistant" if i % 3 else "user", "x" * (i % 50)) for i in range(1500)] + [(2, None, "user", "first"), (2, 0, "user", "then")]
+    said += [(3, 0, "user", "<|end|>" * 40_000), (3, 1, "assistant", "<|" * 100_000)]
+    shared = chat.segments(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: r for r in chat.read_back(shared).collect()}
+    assert got[1].n_examples == 1000 and got[3].loss_chars == 200_000
+    assert got[2].turns_sha256 == hashlib.sha256(b"user\nfirst\nuser\nthen\n").hexdigest()
+    texts = chat.full_texts(shared).where("conv_id = 1").collect()
+    assert len(texts) == 1000 and max(len(r.text) for r in texts) == got[1].formatted_chars
+    shifted = shared.withColumn("context_chars", F.col("context_chars") + 1)
+    with pytest.raises(Exception, match="does not continue its context"):
+        chat.read_back(shifted).collect()
 
 
 def test_tokens_match_the_tokenizer_and_packing_is_tight(spark, odd):
@@ -250,6 +270,22 @@ def test_html_main_text(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [50, 5_000, 300_000])
+def test_quotations_of_any_length_and_broken_markup(n):
+    inside = "a) > leaked <p>words " * (n // 20)
+    assert html_text.main_text(f'<p>one <img alt="{inside}" src=x> two</p>', None) == "one two"
+    assert html_text.main_text(f"<p title='{inside}'>three</p>", None) == "three"
+    for broken in ('<a "', "<a '\"", '<a href="x\' ', "<a '\"<b \"'", '<a "<b\'"', "<!-- x", '<a ""'):
+        began = time.perf_counter()
+        html_text.main_text("<p>text</p>" + broken * (n // len(broken)), None)
+        assert time.perf_counter() - began < 20
+
+
+def test_repeated_pages_are_each_extracted(spark):
+    pages = spark.createDataFrame([(1, "http://h/x", "<p>same &amp; same</p>")] * 3, "page_id long, url string, html string")
+    assert [r.text for r in html_text.extract(pages).collect()] == ["same & same"] * 3
+
+
 def test_lines_exact_and_fuzzy(spark, odd):
     rng = np.random.default_rng(7)
     word = lambda: "".join(rng.choice(list("abcdefghijkl"), 7))
