@@ -2,6 +2,10 @@
 
 ``.../account/<digits>/trades_orders/YYYYMMDD.json`` and
 ``.../account/<digits>/account_positions/YYYYMMDD.json``.
+
+Files are read loose (a path or glob) or from a *bundle*: a Parquet folder named ``<name>.bundle`` that holds one
+landed file per row, in the columns of Spark's ``binaryFile`` source. A year of a million accounts is a listing of
+hundreds of millions of loose files, a block of disk and an open each; as rows of a bundle they cost their bytes.
 """
 
 from __future__ import annotations
@@ -50,10 +54,40 @@ POSITION_FILE = (f"timestamp STRING, account_info {_struct(ACCOUNT_ITEM)}, "
                  f"positions ARRAY<{_struct(POSITION_ITEM)}>, {BAD} STRING")
 
 
-def _file_columns() -> dict[str, Column]:
-    path = F.col("_metadata.file_path")
+#: A landed file as a row, as ``binaryFile`` reads it.
+BUNDLE_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+
+
+def is_bundle(path: str) -> bool:
+    return path.rstrip("/").endswith(".bundle")
+
+
+def write_bundle(files: DataFrame, path: str) -> None:
+    """Adds files (``path, modificationTime, length, content``) to a bundle."""
+    if not is_bundle(path):
+        raise ValueError("a bundle's name ends in .bundle")
+    files.select("path", "modificationTime", "length", "content").write.mode("append").option(
+        "compression", "zstd").parquet(path)
+
+
+def bundle_files(spark: SparkSession, loose: str, path: str) -> None:
+    """Packs loose files into a bundle; run it once for each lot that landed."""
+    write_bundle(spark.read.format("binaryFile").load(loose), path)
+
+
+def opened_bundle(files: DataFrame, schema: str) -> DataFrame:
+    """Rows of a bundle parsed as the JSON reader parses loose files: ``file_path, modified`` and the file's fields.
+
+    A file that is empty or a list of objects is refused (loose, an empty one gives no row and a list a row per object).
+    """
+    text = F.ltrim(F.col("content").cast("string"), F.lit("\ufeff"))
+    parsed = files.select(F.col("path").alias("file_path"), F.col("modificationTime").alias("modified"),
+                          F.from_json(text, schema, {"columnNameOfCorruptRecord": BAD}).alias("_file"))
+    return parsed.select("file_path", "modified", "_file.*")
+
+
+def _file_columns(path: Column) -> dict[str, Column]:
     return {
-        "file_path": path,
         "user_id": F.nullif(F.regexp_extract(path, r"/account/([0-9]+)/", 1), F.lit("")),
         "file_date": from_compact(F.regexp_extract(path, r"/([0-9]{8})\.json$", 1)),
     }
@@ -66,19 +100,25 @@ def _reason(payload: str) -> Column:
             .when(F.col(payload).isNull(), f"no {payload} list"))
 
 
-def _read(reader, path: str, schema: str):
-    return reader.schema(schema).option("multiLine", True).option(
-        "columnNameOfCorruptRecord", BAD).json(path).withColumns(_file_columns())
+def read_files(reader, path: str, schema: str, payload: str) -> DataFrame:
+    """One row per file, loose or of a bundle, by a batch or stream reader; ``modified`` is its time stamp."""
+    if is_bundle(path):
+        files = opened_bundle(reader.schema(BUNDLE_FILE).parquet(path), schema)
+    else:
+        files = reader.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", BAD).json(path) \
+            .withColumn("modified", F.col("_metadata.file_modification_time")) \
+            .withColumn("file_path", F.col("_metadata.file_path"))
+    return files.withColumns(_file_columns(F.col("file_path"))).withColumn("reject_reason", _reason(payload))
 
 
 def trade_files(spark: SparkSession, path: str, users: Sequence[str] | None = None) -> DataFrame:
     """One row per file: path, account, date, its trades and why it is refused, if it is."""
-    df = _read(spark.read, path, TRADE_FILE).withColumn("reject_reason", _reason("trades"))
+    df = read_files(spark.read, path, TRADE_FILE, "trades")
     return df if users is None else df.filter(F.col("user_id").isin(list(users)))
 
 
 def position_files(spark: SparkSession, path: str, users: Sequence[str] | None = None) -> DataFrame:
-    df = _read(spark.read, path, POSITION_FILE).withColumn("reject_reason", _reason("positions"))
+    df = read_files(spark.read, path, POSITION_FILE, "positions")
     return df if users is None else df.filter(F.col("user_id").isin(list(users)))
 
 

@@ -17,22 +17,14 @@ from quotemill.schemas import SCHEMAS
 from quotemill.sources import account_files as af
 
 
-def _file_stream(spark: SparkSession, path: str, schema: str, payload: str) -> DataFrame:
-    stream = (spark.readStream.schema(schema).option("multiLine", True)
-              .option("columnNameOfCorruptRecord", af.BAD).json(path))
-    return stream.withColumns(af._file_columns()).withColumn(
-        "modified", F.col("_metadata.file_modification_time")).withColumn(
-        "reject_reason", af._reason(payload))
-
-
 def trade_file_stream(spark: SparkSession, path: str) -> DataFrame:
     """New trade files as rows of ``user_transactions``; refused files give no rows."""
-    return af.trades_from(_file_stream(spark, path, af.TRADE_FILE, "trades")).drop("file_path")
+    return af.trades_from(af.read_files(spark.readStream, path, af.TRADE_FILE, "trades")).drop("file_path")
 
 
 def position_file_stream(spark: SparkSession, path: str) -> DataFrame:
     """New position files, one row per file with its holdings still nested."""
-    return _file_stream(spark, path, af.POSITION_FILE, "positions")
+    return af.read_files(spark.readStream, path, af.POSITION_FILE, "positions")
 
 
 def _existing(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -125,7 +117,7 @@ def replace_snapshots(stream: DataFrame, table_path: str, checkpoint: str) -> Da
             .filter(F.col("_old").isNull() | (F.col("_new") >= F.col("_old"))) \
             .select("user_id", "position_date", "_new.modified", "_new.file_path").persist()
         try:
-            files = good.join(taken.select("file_path"), "file_path", "left_semi")
+            files = good.join(taken.select("file_path", "modified"), ["file_path", "modified"], "left_semi")
             rows = af.positions_from(files).drop("file_path").select(*schema.fieldNames())
             held = _existing(batch.sparkSession, table_path, schema)
             kept = merge.touched_partitions(held, taken, ["position_date"]).join(

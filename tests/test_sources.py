@@ -58,6 +58,28 @@ def test_trade_files(spark, trade_dir):
     assert tuple(af.directory_totals(report).first()) == (6, 4, 3, 2, 2)
 
 
+def test_bundled_files_read_as_loose_ones(spark, trade_dir):
+    loose = f"{trade_dir}/account/*/trades_orders/*.json"
+    bundle = f"{shared_dir(spark, 'bundle')}/trades.bundle"
+    af.bundle_files(spark, loose, bundle)
+    files = [af.trade_files(spark, p) for p in (loose, bundle)]
+    assert rows(af.rejected_files(files[1])) == rows(af.rejected_files(files[0])) and files[1].count() == 6
+    assert rows(af.trades_from(files[1])) == rows(af.trades_from(files[0]))
+    assert rows(af.trade_file_report(files[1])) == rows(af.trade_file_report(files[0]))
+    assert rows(files[1].select("file_path", "modified")) == rows(files[0].select("file_path", "modified"))
+    with pytest.raises(ValueError, match="bundle"):
+        af.write_bundle(files[0], "trades")
+
+
+def test_file_queries_land_no_file_per_account(spark, market):
+    from quotemill.plans import source_queries as sq
+
+    accounts = market.ledger.select("user_id").distinct().count()
+    for path in (sq._trade_tree(market), sq._position_tree(market, sq._holdings(market), shared_dir(spark, "few"))):
+        names = [n for _, _, files in os.walk(os.path.dirname(path)) for n in files if n.endswith((".json", ".parquet"))]
+        assert 0 < len(names) <= 8 < accounts
+
+
 def holding(code, qty, value, frozen=0):
     return {"证券代码": code, "持仓数量": qty, "可用数量": qty - frozen, "冻结数量": frozen, "开仓价格": 1.0,
             "持仓市值": value}
@@ -123,6 +145,26 @@ def test_position_stream_replaces_account_days(spark):
     assert step(2) == [("111", "A.SH", 9), ("222", "C.SH", 3)]
 
 
+def test_position_stream_of_bundles(spark):
+    base = shared_dir(spark, "bundle-stream")
+
+    def land(*files):
+        texts = [(f"/in/account/{user}/account_positions/20240110.json", at,
+                  json.dumps({"positions": [holding(*h) for h in held]}, ensure_ascii=False)) for user, at, held in files]
+        df = spark.createDataFrame(texts, "path string, at long, text string")
+        af.write_bundle(df.select("path", F.timestamp_seconds("at").alias("modificationTime"), F.length("text").cast("long").alias("length"),
+                                  F.col("text").cast("binary").alias("content")), f"{base}/in.bundle")
+
+    def step():
+        st.run(st.replace_snapshots(st.position_file_stream(spark, f"{base}/in.bundle"), f"{base}/table", f"{base}/checkpoint"))
+        return rows(spark.read.parquet(f"{base}/table"), "user_id", "stock_code", "position_quantity")
+
+    land(("111", 10, [("A.SH", 1, 1.0)]), ("111", 20, [("A.SH", 2, 1.0)]), ("222", 10, [("B.SH", 3, 1.0)]))
+    assert step() == [("111", "A.SH", 2), ("222", "B.SH", 3)]  # of one file landed twice the newer counts
+    land(("111", 15, [("A.SH", 9, 1.0)]), ("222", 30, [("C.SH", 4, 1.0)]))
+    assert step() == [("111", "A.SH", 2), ("222", "C.SH", 4)]
+
+
 def test_position_stream_empty_and_late_files(spark):
     base = shared_dir(spark, "position-late")
     clock = iter(range(1_700_000_000, 1_800_000_000, 1000))
