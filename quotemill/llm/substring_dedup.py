@@ -53,7 +53,7 @@ _powers: dict[int, np.ndarray] = {}
 
 def _power(base: int, n: int) -> np.ndarray:
     """base, base^2 .. base^n modulo 2^64."""
-    if len(_powers.get(base, ())) < n:
+    if base not in _powers or len(_powers[base]) < n:
         _powers[base] = np.full(max(n, 1 << 16), base, np.uint64).cumprod()
     return _powers[base][:n]
 

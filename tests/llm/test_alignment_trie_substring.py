@@ -279,3 +279,9 @@ def test_trie_of_chains_that_leave_chains(spark, monkeypatch):
     turned = prefix_trie.turn_rows(turns_of(spark, rows))
     start = turned.select("conv_id").distinct().selectExpr("conv_id", "0L AS pos", "0L AS k1", "0L AS k2", "0L AS chars")
     assert trie_rows(prefix_trie.trie(start.unionByName(turned))) == brute_trie(convs)
+
+
+def test_a_worker_may_begin_with_an_empty_text(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_powers", {})
+    assert len(substring_dedup.word_values("")) == len(substring_dedup.word_values(None)) == 0
+    assert len(substring_dedup.word_values("a b")) == 2
