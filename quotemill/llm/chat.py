@@ -1,11 +1,10 @@
 """Chat formatting by prefix-target expansion.
 
-Every assistant turn becomes an example of its own: all turns before it are context, only that reply is
-trainable. A conversation of n turns holds up to n examples whose contexts repeat each other, n * n / 2
-turns of text, so the stored form shares prefixes: a *segment* is what an example adds to the one before
-it, and example k reads as the segments 0..k. The output grows with the input, also for a conversation
-of a million turns. ``examples`` gives one row per reply with its context by reference, ``full_texts`` writes
-contexts out.
+Every assistant turn becomes an example of its own: all turns before it are context (the prefix), only that reply
+(the target) is trainable. ``examples`` writes each one out with its whole context. A conversation of n turns holds
+up to n examples whose contexts repeat each other, n * n / 2 turns of text: they are formed and read in streams and
+never shuffled or stored. ``segments`` is the shared form below them, in which a *segment* is what an example adds to
+the one before it and example k reads as the segments 0..k; it grows with the input.
 
 Template: ``<|turn|>`` role ``<|text|>`` text ``<|end|>``. Inside roles and texts each ``<|`` is written
 ``<||``; no control string starts that way, so the escape is reversible and nothing inside a text can
@@ -22,7 +21,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,60 +65,37 @@ def segments(turns: DataFrame) -> DataFrame:
                        "context_chars", "text", "loss_start", "loss_end")
 
 
-def examples(shared: DataFrame) -> DataFrame:
-    """One row per assistant turn: conv_id, example, seq, context_chars, reply, loss_start, loss_end.
-
-    An example's text is its context, the first ``context_chars`` code points of the formatted conversation
-    (all turns before the reply), and its formatted ``reply``. Only the places from ``loss_start`` to
-    ``loss_end`` (code points of that text, end exclusive) are trained on.
-    """
-    return shared.where("loss_start IS NOT NULL").select(
-        "conv_id", "example", "seq", "context_chars", F.col("text").alias("reply"),
-        (F.col("context_chars") + F.col("loss_start")).alias("loss_start"),
-        (F.col("context_chars") + F.col("loss_end")).alias("loss_end"))
+#: Characters of examples handed on at a time.
+CHARS_AT_ONCE = 1 << 24
 
+EXAMPLES = "conv_id long, example long, seq long, context_chars long, context string, reply string, loss_start long, loss_end long"
 
-def _streamed(shared: DataFrame) -> DataFrame:
-    """Turns and examples of a conversation in one task, in order, an example right behind its reply."""
-    turns = shared.select("conv_id", "seq", F.lit(None).cast("long").alias("example"), "text",
-                          *[F.lit(None).cast("long").alias(c) for c in ("context_chars", "loss_start", "loss_end")])
-    own = examples(shared).select("conv_id", "seq", "example", F.col("reply").alias("text"), "context_chars", "loss_start",
-                                  "loss_end")
-    return (turns.unionByName(own).repartition("conv_id")
-            .sortWithinPartitions("conv_id", "seq", F.col("example").asc_nulls_first()))
 
+def expanded(shared: DataFrame) -> DataFrame:
+    """The formatted output: every example written out, then the turns behind a conversation's last reply.
 
-#: Characters of full examples handed on at a time.
-CHARS_AT_ONCE = 1 << 24
+    A row with ``example`` is a prefix and its target: ``context`` holds all turns before the reply, whole, ``reply``
+    the formatted reply. Rows without ``example`` hold a turn of the tail as ``reply``; nothing of it is trained on.
+    Rows of a conversation stand together and in order. A worker holds the text of one conversation so far, and
+    the examples it is about to hand on.
+    """
+    in_order = shared.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    return in_order.mapInArrow(_expand, EXAMPLES)
 
 
-def full_texts(shared: DataFrame) -> DataFrame:
-    """conv_id, example, text, loss_start, loss_end: every example written out, contexts repeated.
+def examples(shared: DataFrame) -> DataFrame:
+    """One row per assistant turn: conv_id, example, seq, context_chars, context, reply, loss_start, loss_end.
 
-    A worker holds the text of one conversation so far, and the examples it is about to hand on.
+    An example's text is its ``context`` (the formatted turns before the reply, ``context_chars`` code points) and its
+    formatted ``reply``. Only the places from ``loss_start`` to ``loss_end`` (code points of that text, end
+    exclusive) are trained on.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["conv_id", "example", "text", "loss_start", "loss_end"]
-        now, parts, done, held = _NONE, [], [], 0
-        for batch in batches:
-            for conv, example, text, start, end in zip(batch["conv_id"], batch["example"], batch["text"], batch["loss_start"],
-                                                       batch["loss_end"]):
-                conv = _whole(conv)
-                if now is _NONE or conv != now:
-                    now, parts = conv, []
-                if _whole(example) is None:
-                    parts.append(text)
-                    continue
-                parts = ["".join(parts)]
-                done.append((conv, int(example), parts[0], int(start), int(end)))
-                held += len(parts[0])
-                if held >= CHARS_AT_ONCE:
-                    yield pd.DataFrame(done, columns=names).astype({"conv_id": "Int64"})
-                    done, held = [], 0
-        if done:
-            yield pd.DataFrame(done, columns=names).astype({"conv_id": "Int64"})
-
-    return _streamed(shared).mapInPandas(run, "conv_id long, example long, text string, loss_start long, loss_end long")
+    return expanded(shared).where("example IS NOT NULL")
+
+
+def full_texts(shared: DataFrame) -> DataFrame:
+    """conv_id, example, text, loss_start, loss_end: every example as one text, contexts repeated."""
+    return examples(shared).select("conv_id", "example", F.concat("context", "reply").alias("text"), "loss_start", "loss_end")
 
 
 READ_BACK = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
@@ -127,40 +103,69 @@ READ_BACK = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long,
 
 
 def read_back(shared: DataFrame) -> DataFrame:
-    """Parses formatted turns and examples again and digests what they hold, one row per conversation.
+    """Parses the written examples again and digests what they hold, one row per conversation.
 
-    Each example must continue what was read before it: its context ends where its reply begins and the reply
-    is the turn that stands there, else it is an error. What is trained on is cut out of the examples by
-    their masks. Rows stream through in order; a conversation is never held, only its two running digests.
+    Turns are read out of the contexts and replies as they stand in the examples, what is trained on is cut out of
+    them by their masks. Each context must begin with the example before it, else it is an error.
     """
-    return _streamed(shared).mapInPandas(_digests, READ_BACK)
+    return expanded(shared).mapInArrow(_digests, READ_BACK)
 
 
 _NONE = object()
 
 
-def _whole(x) -> int | None:
-    return None if x is None or x != x else int(x)
+def _batch(rows: list[tuple], columns: str) -> pa.RecordBatch:
+    kinds = [c.split() for c in columns.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if kind == "long" else pa.string())
+                                       for i, (_, kind) in enumerate(kinds)], names=[name for name, _ in kinds])
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in columns))
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, before, since, done, held = _NONE, "", [], [], 0
+    for conv, seq, example, chars, text, start, end in _rows(
+            batches, "conv_id", "seq", "example", "context_chars", "text", "loss_start", "loss_end"):
+        if now is _NONE or conv != now:
+            now, before, since = conv, "", []
+        if start is not None:
+            before, since = before + "".join(since), [text]
+            done.append((conv, example, seq, chars, before, text, chars + start, chars + end))
+            held += len(before)
+        elif example is None:
+            done.append((conv, None, seq, chars, None, text, None, None))
+        else:
+            since.append(text)
+        held += len(text)
+        if held >= CHARS_AT_ONCE:
+            yield _batch(done, EXAMPLES)
+            done, held = [], 0
+    yield _batch(done, EXAMPLES)
 
 
 class _Digest:
     def __init__(self, conv):
         self.conv, self.turns, self.chars, self.loss, self.examples = conv, 0, 0, 0, 0
         self.all, self.trained = hashlib.sha256(), hashlib.sha256()
-        self.before, self.last = 0, ""
+        self.before = ""
 
-    def turn(self, text: str) -> None:
+    def read(self, text: str) -> None:
         for m in _TURN.finditer(text):
             role, said = unescaped(m[1]), unescaped(m[2])
             self.all.update(f"{role}\n{said}\n".encode())
             self.turns += 1
-        self.before, self.last = self.chars, text
         self.chars += len(text)
 
-    def example(self, context: int, reply: str, start: int, end: int) -> None:
-        if context != self.before or reply != self.last:
+    def example(self, context: str, chars: int, reply: str, start: int, end: int) -> None:
+        if chars != len(context) or not context.startswith(self.before):
             raise ValueError(f"example {self.examples} of conversation {self.conv} does not continue its context")
-        masked = unescaped(reply[start - context:end - context])
+        self.read(context[len(self.before):])
+        self.read(reply)
+        self.before = context + reply
+        masked = unescaped(self.before[start:end])
         self.trained.update(masked.encode())
         self.loss += len(masked)
         self.examples += 1
@@ -170,30 +175,25 @@ class _Digest:
                 self.examples)
 
 
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in READ_BACK.split(", ")]
-    now, done = None, []
+#: Digests handed on at a time.
+ROWS_AT_ONCE = 4096
 
-    def frame():
-        out = pd.DataFrame(done, columns=names)
-        out["conv_id"] = out["conv_id"].astype("Int64")
-        return out
 
-    for batch in batches:
-        for conv, example, text, context, start, end in zip(*[batch[c] for c in (
-                "conv_id", "example", "text", "context_chars", "loss_start", "loss_end")]):
-            conv = _whole(conv)
-            if now is None or now.conv != conv:
-                if now is not None:
-                    done.append(now.row())
-                now = _Digest(conv)
-            if _whole(example) is None:
-                now.turn(text)
-            else:
-                now.example(int(context), text, int(start), int(end))
-        if done:
-            yield frame()
-            done = []
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, done = None, []
+    for conv, example, chars, context, reply, start, end in _rows(
+            batches, "conv_id", "example", "context_chars", "context", "reply", "loss_start", "loss_end"):
+        if now is None or now.conv != conv:
+            if now is not None:
+                done.append(now.row())
+            now = _Digest(conv)
+            if len(done) >= ROWS_AT_ONCE:
+                yield _batch(done, READ_BACK)
+                done = []
+        if example is None:
+            now.read(reply)
+        else:
+            now.example(context, chars, reply, start, end)
     if now is not None:
         done.append(now.row())
-        yield frame()
+    yield _batch(done, READ_BACK)

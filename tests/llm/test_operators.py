@@ -207,6 +207,25 @@ def test_chat_long_conversation_null_turn_and_broken_example(spark):
         chat.read_back(shifted).collect()
 
 
+def test_chat_examples_hold_their_whole_context(spark):
+    said = [(1 << 60, 0, "user", "a<|"), (1 << 60, 1, "assistant", "b"), (1 << 60, 2, "user", "c"), (1 << 60, 3, "assistant", "d"),
+            (1 << 60, 4, "user", "tail"), (None, 0, "assistant", "x")]
+    shared = chat.segments(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))
+
+    def turn(role, text):
+        return f"<|turn|>{role}<|text|>{text.replace('<|', '<||')}<|end|>"
+
+    first, reply, then = turn("user", "a<|"), turn("assistant", "b"), turn("user", "c")
+    got = {(r.conv_id, r.example): (r.context, r.reply) for r in chat.examples(shared).collect()}
+    assert got == {(1 << 60, 0): (first, reply), (1 << 60, 1): (first + reply + then, turn("assistant", "d")),
+                   (None, 0): ("", turn("assistant", "x"))}
+    back = {r.conv_id: r for r in chat.read_back(shared).collect()}
+    assert set(back) == {1 << 60, None} and (back[1 << 60].n_turns, back[1 << 60].n_examples) == (5, 2)
+    cut = shared.where("seq <> 2")  # a context that lacks a turn
+    with pytest.raises(Exception, match="does not continue its context"):
+        chat.read_back(cut).collect()
+
+
 def test_tokens_match_the_tokenizer_and_packing_is_tight(spark, odd):
     encode = Tokenizer.from_file(TOKENS)
     texts = ["İstanbul ΣΑΣ", "It's 3.14, we'LL go.\n\nfoo,bar. end.", "<|startoftext|> x<|ENDOFTEXT|>y <|endoftext|>.", "\x1c a\x1cb \x85 nbsp\xa0x. y",
