@@ -548,12 +548,17 @@ def reload_contents(m: Market):
 # --- figures kept up to date over loads ---------------------------------------
 
 def _five_loads(m: Market, rows, key: str, kept: kept_states.Figures):
-    """The rows come in five loads, each with rows of all years; the last one runs twice."""
+    """The rows come in five loads, each with rows of all years; the last one runs twice.
+
+    They are dealt into folders of the loads first, so that the tables they come from are read once.
+    """
     work = shared_dir(m.spark, "kept")
     rows = rows.withColumn("part_year", F.year(F.col(key)))
-    load = F.pmod(F.xxhash64(*rows.columns), F.lit(5))
+    dealt = rows.withColumn("load_no", F.pmod(F.xxhash64(*rows.columns), F.lit(5)).cast("int"))
+    dealt.write.option("compression", "zstd").partitionBy("load_no").parquet(f"{work}/loads")
+    loads = m.spark.read.schema(dealt.schema).parquet(f"{work}/loads")
     for i in (0, 1, 2, 3, 4, 4):
-        batch = rows.filter(load == i)
+        batch = loads.filter(F.col("load_no") == i).select(*rows.columns)
         if kept_states.add_load(f"{work}/states", batch, kept, i + 1):
             merge.append(batch, f"{work}/table", ("part_year",))
     return f"{work}/table", f"{work}/states"

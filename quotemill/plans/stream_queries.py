@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.operators import kept_states
 from quotemill.plans.market import Market, code_from, dsum
 from quotemill.plans.registry import query
-from quotemill.session import shared_dir
+from quotemill.session import shared_dir, stored
 from quotemill.streaming import account_streams as st
 
 
@@ -50,18 +53,23 @@ def stream_append_trades(m: Market):
     return m.spark.read.schema(trades.schema).parquet(f"{work}/table").select("trade_id", "trade_date")
 
 
+def _lots(m: Market, rows: DataFrame, conditions: Sequence[Column], landed: str) -> Iterator[DataFrame]:
+    """The rows land lot by lot, in as many files as they fill; each lot is a batch of the stream that follows it."""
+    for hit in conditions:
+        rows.filter(F.coalesce(hit, F.lit(False))).write.mode("append").parquet(landed)
+        yield m.spark.readStream.schema(rows.schema).parquet(landed)
+
+
 @query("stream_append_batches", "ledger", sql="""
     SELECT DISTINCT trade_id, CAST(year(trade_date) AS INTEGER) AS part_year FROM ledger""")
 def stream_append_batches(m: Market):
     """Three batches, a quarter of the ids in each of them; only the folders of a batch's years are read."""
     work = shared_dir(m.spark, "batches")
-    trades = m.ledger.select("trade_id", "user_id", F.year("trade_date").alias("part_year"))
+    trades = stored(m.ledger.select("trade_id", "user_id", F.year("trade_date").alias("part_year")), "batches-in")
     part = F.crc32("trade_id") % 4
-    for i in range(3):
-        trades.filter(part.isin(i, 3)).coalesce(1).write.mode("append").parquet(f"{work}/landed")
-    stream = m.spark.readStream.schema(trades.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/landed")
-    st.run(st.append_trades(stream, f"{work}/table", f"{work}/checkpoint", partition_by=("part_year",),
-                            keys=("trade_id", "part_year")))
+    for stream in _lots(m, trades, [part.isin(i, 3) for i in range(3)], f"{work}/landed"):
+        st.run(st.append_trades(stream, f"{work}/table", f"{work}/checkpoint", partition_by=("part_year",),
+                                keys=("trade_id", "part_year")))
     return m.spark.read.schema(trades.schema).parquet(f"{work}/table").select("trade_id", "part_year")
 
 
@@ -70,17 +78,16 @@ def stream_append_batches(m: Market):
            {dsum('amount')} AS total_amount
     FROM ledger GROUP BY trade_date, user_id, stock_code""")
 def stream_late_days(m: Market):
-    """Three batches, the newest days first: what comes for days long written is merged into them."""
+    """Newest days first, then two lots of older ones and what has no day: what comes for days long written is merged into them."""
     work = shared_dir(m.spark, "late")
-    trades = m.ledger.select("trade_date", "user_id", "stock_code", "quantity", "amount", F.year("trade_date").alias("part_year"))
+    trades = stored(m.ledger.select("trade_date", "user_id", "stock_code", "quantity", "amount",
+                                    F.year("trade_date").alias("part_year")), "late-in")
     late = F.coalesce(F.crc32(F.col("trade_date").cast("string")) % 3, F.lit(0))
     newer = F.col("part_year") >= 1996
-    for some in (newer, ~newer & (late == 1), ~newer & (late != 1)):
-        trades.filter(F.coalesce(some, F.lit(False))).coalesce(1).write.mode("append").parquet(f"{work}/landed")
-    trades.filter("part_year IS NULL").coalesce(1).write.mode("append").parquet(f"{work}/landed")
-    stream = m.spark.readStream.schema(trades.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/landed")
     kept = st.day_figures("part_year")
-    st.run(st.keep_figures(stream, kept, f"{work}/states", f"{work}/checkpoint"))
+    lots = [newer, ~newer & (late == 1), ~newer & (late != 1), F.col("part_year").isNull()]
+    for stream in _lots(m, trades, lots, f"{work}/landed"):
+        st.run(st.keep_figures(stream, kept, f"{work}/states", f"{work}/checkpoint"))
     return kept_states.figures(m.spark.read.parquet(f"{work}/states"), kept).drop("_rows")
 
 

@@ -110,3 +110,27 @@ def test_moves_of_clean_rows_are_the_same_either_way(spark, market):
     two = series.abnormal_moves_of_dirty_rows(bars, "1998-12-01", days=None)
     shown = ["code", "day", "close", "prev_close", F.round("change_ratio", 9).alias("c")]
     assert rows(one.select(*shown)) == rows(two.select(*shown))
+
+
+def test_loads_are_dealt_from_one_reading(spark, market):
+    from quotemill.plans import load_queries
+
+    drawn = spark.range(500).select(F.expr("uuid()").alias("k"), F.lit(1.0).alias("v"), F.lit(1).alias("at"),
+                                    F.lit("2001-02-03").cast("date").alias("day"))  # other ids each time it is read
+    kept = ks.Figures(keys=("k",), folder="part_year", counts={"n": "v"})
+    table, states = load_queries._five_loads(market, drawn, "day", kept)
+    ids = {r.k for r in spark.read.parquet(table).select("k").collect()}
+    assert len(ids) == 500 == spark.read.parquet(table).count()
+    assert {r.k for r in spark.read.parquet(states).select("k").collect()} == ids
+
+
+def test_a_lot_lands_in_as_many_files_as_it_fills(spark, market):
+    from quotemill.plans import stream_queries
+
+    landed = f"{shared_dir(spark, 'lots')}/landed"
+    rows_in = spark.range(400, numPartitions=4).select("id", F.when(F.col("id") > 9, F.col("id") % 2).alias("part"))
+    seen = []
+    for stream in stream_queries._lots(market, rows_in, [F.col("part") == 0, F.col("part") == 1, F.col("part").isNull()], landed):
+        assert stream.isStreaming
+        seen.append((len(glob.glob(f"{landed}/*.parquet")), spark.read.schema(rows_in.schema).parquet(landed).count()))
+    assert [n for _, n in seen] == [195, 390, 400] and seen[0][0] > 1 and seen[1][0] - seen[0][0] > 1
