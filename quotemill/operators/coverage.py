@@ -233,17 +233,18 @@ def completeness(securities: DataFrame, prices: DataFrame, calendar: DataFrame |
     """Per security: days held over trading days expected, at most 1; nothing expected is 1.
 
     Without a calendar every day with a price is a trading day. Days come from bitmaps: a repeated bar
-    counts once, and securities repeated with the same life are one row.
+    counts once, and securities repeated with the same life are one row. The calendar's newest day and running counts
+    are made once, so a security costs two look-ups and not a walk over the calendar.
     """
     maps = day_maps.maps_of(prices)
-    known = day_maps.with_open_words(securities.select("code", "start_date", "end_date"),
-                                     maps if calendar is None else calendar)
-    last = day_maps.newest_day(F.col("_words"), as_day(as_of))
+    open_days = day_maps.counted_calendar(maps if calendar is None else calendar, as_day(as_of))
+    known = securities.select("code", "start_date", "end_date").withColumn("_cal", open_days)
+    last = F.col("_cal.newest")
     spans = known.select(
-        "code", "_words", F.greatest(F.coalesce("start_date", F.lit(floor)), F.lit(floor)).alias("from_day"),
+        "code", "_cal", F.greatest(F.coalesce("start_date", F.lit(floor)), F.lit(floor)).alias("from_day"),
         F.least(F.coalesce(F.col("end_date"), last), last).alias("to_day"))
-    expected = spans.withColumn("expected_days", day_maps.days_in(
-        F.col("_words"), F.col("from_day"), F.col("to_day"))).drop("_words")
+    expected = spans.withColumn("expected_days", day_maps.calendar_days_in(
+        F.col("_cal"), F.col("from_day"), F.col("to_day"))).drop("_cal")
     done = day_maps.held_between(expected, maps, "from_day", "to_day")
     ratio = F.coalesce(F.least(F.lit(1.0), F.try_divide(
         F.col("actual_days").cast("double"), F.col("expected_days").cast("double"))), F.lit(1.0))

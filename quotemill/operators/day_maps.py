@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = 64
@@ -68,12 +68,6 @@ def span_mask(word: Column, first: Column, last: Column) -> Column:
     return F.when(known & (lo < WORD) & (hi >= 0), mask).otherwise(F.lit(0).cast("bigint"))
 
 
-def days_in(words: Column, first: Column, last: Column) -> Column:
-    """How many days of the array ``words`` lie in ``[first, last]``."""
-    return F.aggregate(words, F.lit(0).cast("bigint"), lambda n, w: n + F.bit_count(
-        w["bits"].bitwiseAND(span_mask(w["word"], first, last))))
-
-
 def newest_day(words: Column, upto: Column) -> Column:
     """The newest day of the array ``words`` not after ``upto``; NULL without one."""
     def top(w: Column) -> Column:
@@ -84,6 +78,43 @@ def newest_day(words: Column, upto: Column) -> Column:
     return F.array_max(F.transform(words, top))
 
 
+def counted_calendar(calendar: DataFrame, as_of: Column) -> Column:
+    """The calendar as one value, for a scalar: its first word, per word the bits and the days before it, and the newest
+    day not after ``as_of``.
+
+    Words without days are laid in, so that a day finds its word by place. Some 571 cells a century; ``calendar`` as in
+    ``with_open_words``.
+    """
+    words = calendar if "bits" in calendar.columns else day_maps(calendar, ())
+    one = words.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    edge = one.agg(F.min("word").alias("_lo"), F.max("word").alias("_hi"))
+    spine = edge.filter("_lo IS NOT NULL").select(F.explode(F.sequence("_lo", "_hi")).alias("word"))
+    upto = Window.orderBy("word").rowsBetween(Window.unboundedPreceding, -1)
+    cells = spine.join(one, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")) \
+        .withColumn("before", F.coalesce(F.sum(F.bit_count("bits")).over(upto), F.lit(0)))
+    cell = F.struct("word", "bits", "before")
+    packed = cells.agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    return packed.select(F.struct(F.get("cells", F.lit(0))["word"].alias("first"), F.size("cells").alias("n"), "cells",
+                                  newest_day(F.col("cells"), as_of).alias("newest"))).scalar()
+
+
+def calendar_days_in(calendar: Column, first: Column, last: Column) -> Column:
+    """How many days of a ``counted_calendar`` lie in ``[first, last]``: two look-ups, however long the span.
+
+    ``calendar``, ``first`` and ``last`` should be plain columns: each is named several times.
+    """
+    def upto(number: Column) -> Column:
+        word = F.shiftright(number, 6)
+        cell = F.get(calendar["cells"], (word - calendar["first"]).cast("int"))
+        held = F.bit_count(cell["bits"].bitwiseAND(_shift("shiftrightunsigned", _all_bits(), F.lit(WORD - 1) - F.pmod(number, F.lit(WORD)))))
+        top = F.get(calendar["cells"], calendar["n"] - 1)
+        return F.when(word < calendar["first"], 0).when(word > top["word"], top["before"] + F.bit_count(top["bits"])) \
+            .otherwise(cell["before"] + held)
+
+    some = (calendar["n"] > 0) & (first <= last)
+    return F.when(some, upto(F.unix_date(last)) - upto(F.unix_date(first) - 1)).otherwise(0).cast("bigint")
+
+
 def days_of(maps: DataFrame, bits: str = "bits", out: str = "day") -> DataFrame:
     """One row per set bit: the other columns and the day."""
     places = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit(F.col(bits), i) == 1)

@@ -78,3 +78,22 @@ def test_one_scan_of_the_bars_is_shuffled_once(spark, market):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ReusedExchange") >= 1, plan
+
+
+def test_a_security_does_not_walk_over_the_calendar(spark):
+    rnd = random.Random(9)
+    known = sorted({_day(rnd.randrange(900)) for _ in range(200)} | {_day(4000)})  # words without days between
+    spans = [(i, _day(rnd.randrange(-200, 4300)), _day(rnd.randrange(-200, 4300))) for i in range(300)]
+    spans += [(300, None, _day(5)), (301, _day(5), None), (302, known[0], known[0]), (303, _day(5), _day(4))]
+    frame = spark.createDataFrame(spans, "i int, a date, b date")
+    for days, as_of in ((known, _day(100)), ([], _day(100)), (known, _day(-300))):
+        calendar = spark.createDataFrame([(d,) for d in days], "day date")
+        got = frame.withColumn("c", day_maps.counted_calendar(calendar, F.lit(as_of))).select(
+            "i", day_maps.calendar_days_in(F.col("c"), F.col("a"), F.col("b")).alias("n"), "c.newest").collect()
+        want = {i: sum(a <= d <= b for d in days) if a and b else 0 for i, a, b in spans}
+        assert {r.i: r.n for r in got} == want
+        assert {r.newest for r in got} == {max((d for d in days if d <= as_of), default=None)}
+    held, lives = _random(4)
+    sec = spark.createDataFrame(lives, "code string, start_date date, end_date date")
+    low = coverage.completeness(sec, _bars(spark, held), None, _day(250), _day(3)).filter("expected_days > 0")
+    assert "aggregate(" not in low._jdf.queryExecution().optimizedPlan().toString()
