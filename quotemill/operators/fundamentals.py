@@ -6,7 +6,6 @@ import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -222,57 +221,67 @@ def matched(left: list[tuple], right: list[tuple], numeric: Sequence[bool], atol
     return pairs
 
 
-def _unmatched(both: DataFrame, numeric: list[bool], atol: float, rtol: float) -> DataFrame:
-    """Keys (by ``_id``) with rows on both sides, as many on each, that cannot all be matched within the tolerance.
+def _repeated(dealt: DataFrame, keys: list[str], numeric: list[bool], atol: float, rtol: float) -> DataFrame:
+    """``keys, _total`` of keys with as many rows on both sides, more than one, that may not all be matched; ``_hard``.
 
-    ``both``: _id, _left and the values _c0.. of all rows. Equal rows of a key are counted once, per side, and what
-    both sides have is taken off: two equal rows can always be each other's partners. What is left of a key is cut into
-    runs: sorted by its first number, a run ends where the next value is out of the tolerance's reach, so no
-    pair lies across two runs and each is matched by itself.
+    ``dealt``: the keys, _left and the values _c0.. of all rows, dealt by the keys, so that nothing here is shuffled again.
+    Equal rows of a key are counted once, per side, and what both sides have is taken off: two equal rows can always be each
+    other's partners. What is left of a key is cut into runs: sorted by its first number, a run ends where the next value
+    is out of the tolerance's reach, so no pair lies across two runs and each is matched by itself. Rows of runs that cannot
+    match have no ``_hard``; those of runs to be matched row by row have it, with their run, number and values.
     """
     names = [f"_c{i}" for i in range(len(numeric))]
     lead = next((i for i, n in enumerate(numeric) if n), None)
+
     def value(c: str, number: bool) -> Column:
         x = F.col(c).cast("double") + 0.0
         return F.when(~F.isnan(x), x).alias(c) if number else F.col(c)
 
-    # NaN and NULL look alike to pandas, so NaN travels as a mark
+    # NULL and NaN are told apart by a mark: NaN has no place in the order of a run
     marks = F.concat(F.lit(""), *[F.coalesce(F.isnan(F.col(c).cast("double")), F.lit(False)).cast("string")
                                   for c, n in zip(names, numeric) if n])
-    wide = both.select("_id", "_left", *[value(c, n) for c, n in zip(names, numeric)], marks.alias("_nan"))
-    names, numeric = [*names, "_nan"], [*numeric, False]
-    net = wide.groupBy("_id", *names).agg(F.sum(F.when(F.col("_left"), 1).otherwise(-1)).alias("_n")).where("_n <> 0")
+    wide = dealt.select(*keys, "_left", *[value(c, n) for c, n in zip(names, numeric)], marks.alias("_nan"))
+    exact = [*[c for c, n in zip(names, numeric) if not n], "_nan"]
+    close = [c for c, n in zip(names, numeric) if n]
+    # one sort serves all windows down to the runs
+    placed = wide.sortWithinPartitions(*keys, *exact, *close, "_left")
+    of_key = Window.partitionBy(*keys)
+    totals = placed.withColumns({"_total": F.count_if("_left").over(of_key), "_other": F.count_if(~F.col("_left")).over(of_key)}) \
+        .where("_total = _other AND _total > 1")
+    # partners agree in all that has no tolerance, so those columns part the rows as well
+    group = Window.partitionBy(*keys, *exact)
+    sign = F.sum(F.when(F.col("_left"), 1).otherwise(-1))
+    row = F.struct("_n", *exact, *close)
     if lead is None:  # nothing has a tolerance: what does not cancel out differs
-        return net.select("_id").distinct()
+        left_over = totals.withColumn("_n", sign.over(group)).where("_n <> 0")
+        return left_over.select(*keys, "_total", F.when(F.lit(False), F.struct(F.lit(0).cast("bigint").alias("_run"), row.alias("_row"))).alias("_hard"))
+    order = group.orderBy(*close)
+    net = totals.withColumns({"_n": sign.over(order.rangeBetween(Window.currentRow, Window.currentRow)), "_peers": F.rank().over(order),
+                              "_place": F.row_number().over(group.orderBy(*close, "_left"))}).where("_n <> 0 AND _place = _peers")
     first = F.col(f"_c{lead}")
-    # partners agree in all that has no tolerance, so those columns part the rows as well
-    net = net.withColumn("_exact", F.to_json(F.struct(*[c for c, n in zip(names, numeric) if not n])))
-    run = ["_id", "_exact", "_run"]
-    order = Window.partitionBy("_id", "_exact").orderBy(first.asc_nulls_last(), *[c for c in names if c != f"_c{lead}"])
     before = F.lag(first).over(order)
     cut = F.coalesce(~_overlap(before, first, 2 * atol, 2 * rtol), F.lit(True)) & ~(before.eqNullSafe(first))
     runs = net.withColumn("_cut", cut.cast("long")).withColumn(
         "_run", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     # a run whose sides differ in size cannot match; one row a side is compared here, more are matched row by row
-    sides = [F.max(F.when(F.col("_n") * sign > 0, F.col(c))).alias(f"{t}{c}") for t, sign in (("l", 1), ("r", -1)) for c in names]
-    sized = runs.groupBy(*run).agg(F.sum("_n").alias("_over"), F.sum(F.abs("_n")).alias("_rows"), *sides)
-    apart = [_differs(F.col(f"l{c}"), F.col(f"r{c}"), n, atol, rtol) for c, n in zip(names, numeric)]
-    plain = sized.where((F.col("_over") != 0) | ((F.col("_rows") == 2) & reduce(Column.__or__, apart))).select("_id")
-    several = sized.where("_over = 0 AND _rows > 2").select(*run)
-    held = runs.join(several, run).groupBy(*run)
-    return plain.unionByName(held.applyInPandas(_match_runs(names, numeric, atol, rtol), "_id long")).distinct()
-
-
-def _match_runs(names: list[str], numeric: list[bool], atol: float, rtol: float):
-    def match(group: pd.DataFrame) -> pd.DataFrame:
+    of_run = Window.partitionBy(*keys, *exact, "_run")
+    sides = {f"{t}{c}": F.max(F.when(F.col("_n") * sign > 0, F.col(c))).over(of_run) for t, sign in (("l", 1), ("r", -1)) for c in close}
+    sized = runs.withColumns({"_over": F.sum("_n").over(of_run), "_rows": F.sum(F.abs("_n")).over(of_run), **sides})
+    apart = reduce(Column.__or__, [_differs(F.col(f"l{c}"), F.col(f"r{c}"), True, atol, rtol) for c in close])
+    several = (F.col("_over") == 0) & (F.col("_rows") > 2)
+    return sized.where((F.col("_over") != 0) | (F.col("_rows") > 2) | apart).select(
+        *keys, "_total", F.when(several, F.struct("_run", row.alias("_row"))).alias("_hard"))
+
+
+def _run_differs(numeric: list[bool], atol: float, rtol: float):
+    """Whether the rows of a run (number, left above zero, and values) cannot all be matched."""
+    def differs(rows: list) -> bool:
         sides: tuple[list, list] = ([], [])
-        cells = [group[c].astype(object).where(group[c].notna(), None).tolist() for c in names]
-        for n, *row in zip(group["_n"].tolist(), *cells):
+        for n, *row in rows:
             sides[n < 0].extend([tuple(row)] * abs(n))
-        bad = len(sides[0]) != len(sides[1]) or matched(*sides, numeric, atol, rtol) < len(sides[0])
-        return group[["_id"]].head(int(bad))
+        return len(sides[0]) != len(sides[1]) or matched(*sides, numeric, atol, rtol) < len(sides[0])
 
-    return match
+    return F.udf(differs, "boolean")
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str],
@@ -282,12 +291,13 @@ def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str],
 
     ``issue`` is ``left_only`` or ``right_only`` (key on one side), ``row_count`` (different
     number of rows for the key), ``repeated`` (same number above one, contents differ) or
-    ``value`` (one cell). Both sides are folded together to one row per key in one shuffle, so a
-    key with very many rows is combined on the map side and never compared pair by pair, and NULL
-    keys meet each other.
+    ``value`` (one cell). Both sides are read and shuffled once, by key; all else happens where the rows lie, so they
+    travel as bare values, without sums or hashes. A key's rows are never compared pair by pair, but all of a hot key's
+    go through one task (sorted there, spilling). NULL keys meet each other.
 
     Rows of repeated keys are matched with each other within the tolerance, over all columns: they differ
-    if no way of pairing them off leaves every pair equal. Only keys whose sums of row hashes differ get that far.
+    if no way of pairing them off leaves every pair equal. What is found is stored (eager); runs of several rows a side
+    are matched when the result is asked for.
     """
     keys = list(keys)
     shared = [c for c in left.columns
@@ -306,18 +316,13 @@ def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str],
         return df.select(*keys, F.lit(is_left).alias("_left"),
                          *[value(c).alias(f"_c{i}") for i, c in enumerate(shared)])
 
-    # A NULL does not enter a hash, so its place is hashed as well; numbers are hashed as doubles, -0 as 0.
-    cells = [F.col(f"_c{i}").cast("double") + 0.0 if numeric[c] else F.col(f"_c{i}") for i, c in enumerate(shared)]
-    nulls = [F.col(f"_c{i}").isNull() for i in range(len(shared))]
-    contents = [F.xxhash64(F.lit(g), *cells, *nulls).cast("decimal(20,0)") for g in range(2)]
-
     def of(is_left: bool, c: Column) -> Column:
         return F.when(F.col("_left") == is_left, c)
 
     rows = side(left, True).unionByName(side(right, False))
-    both = rows.groupBy(*keys).agg(
+    dealt = rows.repartition(*keys)
+    both = dealt.groupBy(*keys).agg(
         *[F.count(of(s, F.lit(1))).alias(f"{t}_n") for s, t in ((True, "l"), (False, "r"))],
-        *[F.sum(of(s, h)).alias(f"{t}_hash{g}") for s, t in ((True, "l"), (False, "r")) for g, h in enumerate(contents)],
         *[F.max(of(s, F.col(f"_c{i}"))).alias(f"{t}_{i}")
           for s, t in ((True, "l"), (False, "r")) for i in range(len(shared))])
 
@@ -341,17 +346,22 @@ def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str],
     plain = both.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("_i")).select(*keys, "_i.*")
     if not shared:
         return plain
-    open_keys = both.where((l_n == r_n) & (l_n > 1) & ((F.col("l_hash0") != F.col("r_hash0"))
-                                                       | (F.col("l_hash1") != F.col("r_hash1")))) \
-        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.monotonically_increasing_id().alias("_id"), "l_n")
-    open_keys = stored(open_keys, "open-keys")
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    meant = rows.join(open_keys, reduce(Column.__and__, same))
-    bad = _unmatched(meant.drop(*keys, *[f"_k{i}" for i in range(len(keys))], "l_n"), [numeric[c] for c in shared], atol, rtol)
-    repeated = open_keys.join(bad, "_id").select(
-        *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.lit("repeated").alias("issue"), none.alias("column_name"),
-        F.col("l_n").cast("string").alias("left_value"), F.col("l_n").cast("string").alias("right_value"))
-    return plain.unionByName(repeated)
+    flags = [numeric[c] for c in shared]
+    open_rows = _repeated(dealt, keys, flags, atol, rtol).select(
+        *keys, F.lit("repeated").alias("issue"), none.alias("column_name"), F.col("_total").cast("string").alias("left_value"),
+        F.col("_total").cast("string").alias("right_value"), "_hard")
+    seen = stored(plain.unionByName(open_rows, allowMissingColumns=True), "differences")
+    issue_columns = [*keys, "issue", "column_name", "left_value", "right_value"]
+    known, repeated = seen.where("_hard IS NULL"), F.col("issue") == "repeated"
+    exact = [F.col(f"_hard._row.{c}").alias(f"_e{i}") for i, c in enumerate(
+        [*[f"_c{i}" for i, n in enumerate(flags) if not n], "_nan"])]
+    hard = seen.where("_hard IS NOT NULL").groupBy(*issue_columns, *exact, F.col("_hard._run").alias("_run")) \
+        .agg(F.collect_list("_hard._row").alias("_rows"))
+    # in a row the values without tolerance come first, then the numbers
+    differs = _run_differs([False] * len(exact) + [True] * sum(flags), atol, rtol)
+    bad = hard.where(differs("_rows")).select(*issue_columns)
+    return known.where(~repeated).select(*issue_columns).unionByName(
+        known.where(repeated).select(*issue_columns).unionByName(bad).distinct())
 
 
 def missing_columns(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -138,3 +138,14 @@ def test_repeated_keys_with_a_hot_key_in_runs(spark):
     assert rows(fun.reconcile(base, near, ["k"])) == []
     off = near.withColumn("v", F.when(F.col("v").between(1200, 1200.5), F.col("v") + 1e-5).otherwise(F.col("v")))
     assert rows(fun.reconcile(base, off, ["k"]), "k", "issue") == [("hot", "repeated")]
+
+
+def test_reconcile_shuffles_its_rows_once_by_key(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(fun, "stored", lambda df, purpose: seen.append(df) or df)
+    left = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", 3.0), (None, "x", 4.0), ("a", "x", 1.0)], "k string, t string, v double")
+    right = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.5), ("b", "x", 3.5), (None, "x", 4.0), ("a", "x", 1.0)], "k string, t string, v double")
+    found = fun.reconcile(left, right, ["k"])
+    assert sorted((r.k, r.issue, r.left_value) for r in found.collect()) == [("a", "repeated", "3"), ("b", "value", "3.0")]
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and "ENSURE_REQUIREMENTS" not in plan
