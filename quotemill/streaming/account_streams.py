@@ -14,6 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from quotemill.functions.values import money_sum
 from quotemill.operators import kept_states, merge
 from quotemill.schemas import SCHEMAS
+from quotemill.session import shared_dir, stored
 from quotemill.sources import account_files as af
 
 
@@ -107,27 +108,28 @@ def replace_snapshots(stream: DataFrame, table_path: str, checkpoint: str) -> Da
     log_path = f"{table_path.rstrip('/')}_files"
 
     def put(batch: DataFrame, _epoch: int) -> None:
-        good = batch.filter(F.col("reject_reason").isNull())
+        # Parsed once and stored: a batch has its own session without adaptive execution, so all else runs in the caller's.
+        spark = stream.sparkSession
+        path = f"{shared_dir(spark, 'batch-files')}/rows"
+        batch.filter(F.col("reject_reason").isNull()).write.option("compression", "zstd").parquet(path)
+        good = spark.read.schema(batch.schema).parquet(path)
         newest = good.groupBy("user_id", F.col("file_date").alias("position_date")).agg(
             F.max(F.struct("modified", "file_path")).alias("_new"))
         seen = merge.touched_partitions(
-            _existing(batch.sparkSession, log_path, _FILE_LOG), newest, ["position_date"]) \
+            _existing(spark, log_path, _FILE_LOG), newest, ["position_date"]) \
             .groupBy("user_id", "position_date").agg(F.max(F.struct("modified", "file_path")).alias("_old"))
-        taken = newest.join(seen, ["user_id", "position_date"], "left") \
-            .filter(F.col("_old").isNull() | (F.col("_new") >= F.col("_old"))) \
-            .select("user_id", "position_date", "_new.modified", "_new.file_path").persist()
-        try:
-            files = good.join(taken.select("file_path", "modified"), ["file_path", "modified"], "left_semi")
-            rows = af.positions_from(files).drop("file_path").select(*schema.fieldNames())
-            held = _existing(batch.sparkSession, table_path, schema)
-            kept = merge.touched_partitions(held, taken, ["position_date"]).join(
-                taken, ["user_id", "position_date"], "left_anti")
-            merge.write_partitions(
-                kept.select(*schema.fieldNames()).unionByName(rows), table_path, ["position_date"])
-            _drop_emptied_days(table_path, taken.select("user_id", "position_date").distinct(), schema, rows)
-            merge.append(taken, log_path, ("position_date",))
-        finally:
-            taken.unpersist()
+        taken = stored(newest.join(seen, ["user_id", "position_date"], "left")
+                       .filter(F.col("_old").isNull() | (F.col("_new") >= F.col("_old")))
+                       .select("user_id", "position_date", "_new.modified", "_new.file_path"), "batch-taken")
+        files = good.join(taken.select("file_path", "modified"), ["file_path", "modified"], "left_semi")
+        rows = af.positions_from(files).drop("file_path").select(*schema.fieldNames())
+        held = _existing(spark, table_path, schema)
+        kept = merge.touched_partitions(held, taken, ["position_date"]).join(
+            taken, ["user_id", "position_date"], "left_anti")
+        merge.write_partitions(
+            kept.select(*schema.fieldNames()).unionByName(rows), table_path, ["position_date"])
+        _drop_emptied_days(table_path, taken.select("user_id", "position_date").distinct(), schema, rows)
+        merge.append(taken, log_path, ("position_date",))
 
     return _available(stream.writeStream.foreachBatch(put), checkpoint)
 

@@ -165,6 +165,25 @@ def test_position_stream_of_bundles(spark):
     assert step() == [("111", "A.SH", 2), ("222", "C.SH", 4)]
 
 
+def test_a_batch_of_position_files_is_parsed_once_and_written_adaptively(spark, monkeypatch):
+    base, written = shared_dir(spark, "parsed-once"), []
+    write = st.merge.write_partitions
+
+    def watched(df, *args):
+        written.append((df.sparkSession.conf.get("spark.sql.adaptive.enabled"), df._jdf.queryExecution().optimizedPlan().toString()))
+        write(df, *args)
+
+    monkeypatch.setattr(st.merge, "write_partitions", watched)
+    text = json.dumps({"positions": [holding("A.SH", 1, 1.0)]}, ensure_ascii=False)
+    df = spark.createDataFrame([("/in/account/111/account_positions/20240110.json", text)], "path string, text string")
+    af.write_bundle(df.select("path", F.timestamp_seconds(F.lit(10)).alias("modificationTime"), F.length("text").cast("long").alias("length"),
+                              F.col("text").cast("binary").alias("content")), f"{base}/in.bundle")
+    st.run(st.replace_snapshots(st.position_file_stream(spark, f"{base}/in.bundle"), f"{base}/table", f"{base}/checkpoint"))
+    assert rows(spark.read.parquet(f"{base}/table"), "user_id", "stock_code") == [("111", "A.SH")]
+    (adaptive, plan), = written
+    assert adaptive == "true" and "from_json" not in plan
+
+
 def test_position_stream_empty_and_late_files(spark):
     base = shared_dir(spark, "position-late")
     clock = iter(range(1_700_000_000, 1_800_000_000, 1000))
