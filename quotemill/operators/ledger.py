@@ -179,9 +179,13 @@ def snapshot_gap_counts(positions: DataFrame, max_gap: int = 7) -> DataFrame:
 def running_positions(ledger: DataFrame, *extra: Column) -> DataFrame:
     """End-of-day holding per user and stock, from the ledger (days with trades only).
 
-    ``extra`` are further aggregates over the same user, stock and day.
+    ``extra`` are further aggregates over the same user, stock and day. Trades are dealt by user and stock at once: both the
+    day's sums and the running one are formed there, and nothing is shuffled a second time. The parts are as many as a
+    shuffle has, never merged into larger ones: a task holds the sums and the sorted days of its part at once.
     """
-    daily = ledger.groupBy("user_id", "stock_code", F.col("trade_date").alias("position_date")).agg(
+    parts = int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ledger.repartition(parts, "user_id", "stock_code")
+    daily = dealt.groupBy("user_id", "stock_code", F.col("trade_date").alias("position_date")).agg(
         F.sum(signed("quantity").cast("decimal(38,10)")).alias("_q"), *extra)
     upto = Window.partitionBy("user_id", "stock_code").orderBy("position_date")
     return daily.withColumn("position_quantity", F.sum("_q").over(upto).cast("double")).drop("_q")

@@ -146,3 +146,14 @@ def test_unknown_codes_and_their_rows(spark):
     master = spark.createDataFrame([("A",)], "code string")
     assert rows(cov.unknown_codes(facts, master)) == [("X", 1)]
     assert rows(cov.rows_with_unknown_code(facts, master), "v") == [(3,), (4,)]
+
+
+def test_running_positions_shuffle_the_trades_once(spark):
+    trades = [("u", "A.SH", dt.date(2024, 1, d), 23 if d % 3 else 24, 10.0 * d) for d in (1, 2, 2, 3, 5)] + [(None, None, dt.date(2024, 1, 1), 23, 1.0)]
+    t = spark.createDataFrame(trades, "user_id string, stock_code string, trade_date date, trade_type int, quantity double")
+    held = ledger.running_positions(t)
+    assert rows(held, "user_id", "position_date", "position_quantity") == [
+        ("u", dt.date(2024, 1, 1), 10.0), ("u", dt.date(2024, 1, 2), 50.0), ("u", dt.date(2024, 1, 3), 20.0),
+        ("u", dt.date(2024, 1, 5), 70.0), (None, dt.date(2024, 1, 1), 1.0)]
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "ENSURE_REQUIREMENTS" not in plan
