@@ -46,7 +46,7 @@ class Market:
         kept = StoredMarket(self.spark, self.dir, base)
         for name in ("securities", "bars_li", "ledger", "positions", "accounts", "valuation",
                      "statements", "indicators"):
-            getattr(Market, name).fget(kept).write.parquet(f"{base}/{name}")
+            getattr(Market, name).fget(kept).write.option("compression", "zstd").parquet(f"{base}/{name}")
             kept.done.add(name)
         return {"stock_list": kept.securities, "price_data": kept.bars_li,
                 "valuation_data": kept.valuation, "indicator_data": kept.indicators,
