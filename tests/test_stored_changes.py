@@ -113,3 +113,15 @@ def test_known_statement_against_a_search_through_all(spark):
     assert out.count() == len(bars) and got == want
     assert fundamentals.with_known_statement(b.limit(0), s).count() == 0
     assert rows(fundamentals.with_known_statement(b, s.limit(0)).filter("statement IS NOT NULL"), "id") == []
+
+
+def test_sums_are_not_compared_in_one_task(spark, monkeypatch):
+    written = []
+    keep = merge.stored
+    monkeypatch.setattr(merge, "stored", lambda df, purpose, files=None: written.append((files, df)) or keep(df, purpose, files))
+    left = spark.createDataFrame([("a", 1, 1.0, 2020), ("b", 1, 2.0, 2021)], "code string, day int, close double, part_year int")
+    right = spark.createDataFrame([("a", 1, 1.0, 2020), ("b", 1, 2.5, 2021)], left.schema)
+    found = merge.content_diff(left, right, ["code", "day"], "part_year").collect()
+    assert [(r.code, r.state) for r in found] == [("b", "changed")]
+    (files, leaves), = written
+    assert files is None and "Coalesce" not in leaves._jdf.queryExecution().executedPlan().toString()
