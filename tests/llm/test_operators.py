@@ -354,6 +354,26 @@ def test_recall_of_changed_lines(spark):
         assert np.mean(hits) >= 0.9, (kind, np.mean(hits))
 
 
+def test_lines_that_share_a_passage_cost_no_pairs(spark, monkeypatch):
+    """Lines of one passage that are not similar: their pairs are tested in the join, and no table holds them."""
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    passage = [word(12) for _ in range(4)] + [word(4) for _ in range(4)]
+    lines = [" ".join([*passage, *(word(10) for _ in range(4))]) for _ in range(200)]
+    lines.append(lines[0][:-1] + ("x" if lines[0][-1] != "x" else "y"))  # in another place of the key's order, but similar
+    counts, keep = {}, line_dedup.stored
+
+    def counting(df, purpose, files=None):
+        out = keep(df, purpose, files)
+        counts[purpose] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counting)
+    got = {r.doc_id: r._ld_removed for r in line_dedup.dedup_lines(docs_of(spark, *lines)).collect()}
+    assert got == {i: int(i == 200) for i in range(201)}
+    assert max(counts.values()) <= 10 * len(lines), counts
+
+
 SIX = [(1, "A"), (2, "A"), (2, "B"), (7, "C"), (7, "C"), (None, "A")]
 
 
