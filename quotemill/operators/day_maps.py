@@ -86,12 +86,16 @@ def counted_calendar(calendar: DataFrame, as_of: Column) -> Column:
     ``with_open_words``.
     """
     words = calendar if "bits" in calendar.columns else day_maps(calendar, ())
-    one = words.groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    edge = one.agg(F.min("word").alias("_lo"), F.max("word").alias("_hi"))
-    spine = edge.filter("_lo IS NOT NULL").select(F.explode(F.sequence("_lo", "_hi")).alias("word"))
-    upto = Window.orderBy("word").rowsBetween(Window.unboundedPreceding, -1)
-    cells = spine.join(one, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")) \
-        .withColumn("before", F.coalesce(F.sum(F.bit_count("bits")).over(upto), F.lit(0)))
+    one = words.filter("word IS NOT NULL").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    by_word = Window.orderBy("word")
+    counted = one.select(
+        F.col("word").alias("_own"), "bits", F.lead("word").over(by_word).alias("_next"),
+        F.coalesce(F.sum(F.bit_count("bits")).over(by_word.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # laid in from each word up to the next: a join of the words with themselves fails in Spark's PruneFilters inside a scalar
+    spine = counted.select("*", F.explode(F.sequence("_own", F.coalesce(F.col("_next") - 1, F.col("_own")))).alias("word"))
+    own = F.col("word") == F.col("_own")
+    cells = spine.select("word", F.when(own, F.col("bits")).otherwise(F.lit(0).cast("bigint")).alias("bits"),
+                         (F.col("before") + F.when(own, 0).otherwise(F.bit_count("bits"))).alias("before"))
     cell = F.struct("word", "bits", "before")
     packed = cells.agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     return packed.select(F.struct(F.get("cells", F.lit(0))["word"].alias("first"), F.size("cells").alias("n"), "cells",

@@ -5,7 +5,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from quotemill.operators import coverage, day_maps
-from quotemill.session import shared_dir
+from quotemill.quality import checks, report
+from quotemill.session import shared_dir, stored
 
 BASE = dt.date(1969, 9, 20)  # words before and after the epoch, ends of words included
 
@@ -97,3 +98,16 @@ def test_a_security_does_not_walk_over_the_calendar(spark):
     sec = spark.createDataFrame(lives, "code string, start_date date, end_date date")
     low = coverage.completeness(sec, _bars(spark, held), None, _day(250), _day(3)).filter("expected_days > 0")
     assert "aggregate(" not in low._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_issues_of_incomplete_series_can_be_ranked(spark):
+    """The rank is filtered below the scalars; the calendar's held there as a join of its words with themselves."""
+    sec = stored(spark.createDataFrame([("A", _day(0), None), ("B", _day(0), None)], "code string, start_date date, end_date date")
+                 .withColumns({"update_date": F.lit(BASE), "status": F.lit("normal")}), "ranked")
+    maps = stored(day_maps.day_maps(_bars(spark, [("A", _day(i)) for i in range(0, 900, 90)] + [("B", _day(0))])), "ranked")
+    low = checks.series_completeness(sec, maps, None, _day(900), 5, floor=BASE)
+    top = report.top_issues(low.unionByName(checks.table_empty(maps.limit(0), "price_data")))
+    assert [tuple(r) for r in top.select("severity", "check_name", "count", "samples").collect()] == [
+        ("critical", "table_not_empty", 0, []), ("warning", "time_series_completeness", 1, ["B(10.00%)"])]
+    top = report.top_issues(low.unionByName(checks.table_empty(maps, "price_data")))
+    assert [r.check_name for r in top.collect()] == ["time_series_completeness"]
