@@ -374,6 +374,62 @@ def test_lines_that_share_a_passage_cost_no_pairs(spark, monkeypatch):
     assert max(counts.values()) <= 10 * len(lines), counts
 
 
+def test_few_changed_words_are_told_without_letters(spark, monkeypatch):
+    """The answer is the edit distance's; of lines that differ in a word or two it is known from the words alone."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(1, 12)))
+    pairs = []
+    for n in (2, 5, 12, 40, 95, 130):
+        for changes in range(0, max(3, n // 2), max(1, n // 12)):
+            a = [word() for _ in range(n)]
+            b = list(a)
+            for at in rng.choice(n, min(n, changes), replace=False).tolist():
+                b[at] = str(rng.choice(["", word(), f"{word()} {word()}"]))
+            pairs.append((" ".join(a), " ".join(" ".join(b).split()) or "z"))
+    lines = spark.createDataFrame([(2 * i + j, x) for i, p in enumerate(pairs) for j, x in enumerate(p)], "key1 long, norm string")
+    marks = line_dedup.signed(line_dedup._normal_texts(lines))
+    side = lambda j: marks.where(F.col("key1") % 2 == j).select((F.col("key1") - j).alias("at"), *[F.col(c).alias(f"{c}_{j}") for c in line_dedup.COMPARED])
+    met = side(0).join(side(1), "at")
+
+    def close(x, y):
+        before = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            now = [i]
+            for j, d in enumerate(y, 1):
+                now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (c != d)))
+            before = now
+        return before[-1] <= int(max(len(x), len(y)) * 0.2 + 1e-9)
+
+    want = {}
+    for i, (x, y) in enumerate(pairs):
+        by_word = max(len(x.split()), len(y.split())) > line_dedup.LONG_LINE
+        want[2 * i] = close(x.split(), y.split()) if by_word else close(x, y)
+    assert 10 < sum(want.values()) < len(want) - 10
+    assert {r.at: r.same for r in met.select("at", line_dedup._similar("_0", "_1", 0.8).alias("same")).collect()} == want
+    monkeypatch.setattr(line_dedup, "_edit_distance_within", lambda *a: F.lit(False))
+    sure = {r.at for r in met.where(line_dedup._similar("_0", "_1", 0.8)).select("at").collect()}
+    assert len(sure) >= 4 and all(want[i] for i in sure)
+
+
+def test_anchors_are_the_longest_words(spark):
+    """Whether or not a line has enough wide words, and however many words are asked for."""
+    texts = ["a bb ccc dddd", "same same other", "longestword wideword otherwide anotherwide x y z", "wideword wideword wideword wideword ab",
+             "wideword otherwide anotherwide ab cde fghi fghi"]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, doc long, text string")
+    for least in (2, 6):
+        got = {r.row: r for r in line_dedup.line_table(docs, least).collect()}
+        for i, t in enumerate(texts):
+            words = set(t.split())
+            assert min(got[i].n, least) == min(len(words), least) and min(got[i].n, 4) == min(len(words), 4)
+            alone = spark.createDataFrame([(j, j, w) for j, w in enumerate(sorted(words))], "row long, doc long, text string")
+            code = {sorted(words)[r.row]: r.a0 for r in line_dedup.line_table(alone).collect()}
+            anchors = [got[i][a] for a in line_dedup.ANCHOR if got[i][a] is not None]
+            longest = sorted((len(w) for w in words), reverse=True)[:4]
+            back = {c: w for w, c in code.items()}
+            assert [len(back[a]) for a in anchors] == longest and len(set(anchors)) == len(anchors)
+            assert all((a % 2 == 1) == (len(back[a]) >= line_dedup.LETTERS) for a in anchors)
+
+
 SIX = [(1, "A"), (2, "A"), (2, "B"), (7, "C"), (7, "C"), (None, "A")]
 
 
