@@ -340,7 +340,7 @@ def write_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> N
         raise ValueError("partition columns are needed to replace part of a table")
     # rebalance: AQE splits a partition value that holds much of the data and merges small ones.
     (df.hint("rebalance", *partition_by)
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
      .partitionBy(*partition_by).parquet(path))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from quotemill.functions.values import money_sum
 from quotemill.operators import kept_states, merge
 from quotemill.schemas import SCHEMAS
-from quotemill.session import shared_dir, stored
+from quotemill.session import discard, shared_dir, stored
 from quotemill.sources import account_files as af
 
 
@@ -80,19 +80,20 @@ _FILE_LOG = T.StructType([
     T.StructField("modified", T.TimestampType()), T.StructField("file_path", T.StringType())])
 
 
-def _drop_emptied_days(table_path: str, pairs: DataFrame, schema: T.StructType, rows: DataFrame) -> None:
-    """Folders of the batch's dates in which only holdings of emptied pairs are left.
+def _drop_emptied_days(table_path: str, pairs: DataFrame, days: list, schema: T.StructType, filled: DataFrame) -> None:
+    """Folders of the batch's dates ``days`` in which only holdings of emptied pairs are left.
 
-    A write replaces only folders it has rows for, so a date that became empty must go by itself. The
-    dates fetched are those of the batch, one each.
+    A write replaces only folders it has rows for, so a date that became empty must go by itself. ``filled`` has the
+    ``position_date`` of the files with holdings.
     """
     spark = pairs.sparkSession
-    held = merge.touched_partitions(_existing(spark, table_path, schema), pairs, ["position_date"])
+    held = merge.folder_rows(_existing(spark, table_path, schema), "position_date", days)
     others = held.join(pairs, ["user_id", "position_date"], "left_anti").select("position_date")
-    filled = others.unionByName(rows.select("position_date")).distinct()
-    for r in pairs.select("position_date").distinct().join(filled, "position_date", "left_anti").collect():
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/position_date={r.position_date}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    left = set(merge.partition_values(others.unionByName(filled), "position_date"))
+    for day in days:
+        if day not in left:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/position_date={day}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def replace_snapshots(stream: DataFrame, table_path: str, checkpoint: str) -> DataStreamWriter:
@@ -103,6 +104,9 @@ def replace_snapshots(stream: DataFrame, table_path: str, checkpoint: str) -> Da
     that arrives in a later batch changes nothing. A file without holdings empties its pair; a date that
     nothing is left of loses its folder. The log is written last: a batch that fails before that runs
     again with the same result.
+
+    The dates of a batch are fetched and name the folders to read, so the table is not shuffled to find them; the parsed
+    files go when their batch is done.
     """
     schema = SCHEMAS["user_positions"]
     log_path = f"{table_path.rstrip('/')}_files"
@@ -115,21 +119,23 @@ def replace_snapshots(stream: DataFrame, table_path: str, checkpoint: str) -> Da
         good = spark.read.schema(batch.schema).parquet(path)
         newest = good.groupBy("user_id", F.col("file_date").alias("position_date")).agg(
             F.max(F.struct("modified", "file_path")).alias("_new"))
-        seen = merge.touched_partitions(
-            _existing(spark, log_path, _FILE_LOG), newest, ["position_date"]) \
+        named = merge.partition_values(newest, "position_date")
+        seen = merge.folder_rows(_existing(spark, log_path, _FILE_LOG), "position_date", named) \
             .groupBy("user_id", "position_date").agg(F.max(F.struct("modified", "file_path")).alias("_old"))
         taken = stored(newest.join(seen, ["user_id", "position_date"], "left")
                        .filter(F.col("_old").isNull() | (F.col("_new") >= F.col("_old")))
                        .select("user_id", "position_date", "_new.modified", "_new.file_path"), "batch-taken")
         files = good.join(taken.select("file_path", "modified"), ["file_path", "modified"], "left_semi")
         rows = af.positions_from(files).drop("file_path").select(*schema.fieldNames())
-        held = _existing(spark, table_path, schema)
-        kept = merge.touched_partitions(held, taken, ["position_date"]).join(
-            taken, ["user_id", "position_date"], "left_anti")
+        days = merge.partition_values(taken, "position_date")
+        held = merge.folder_rows(_existing(spark, table_path, schema), "position_date", days)
+        kept = held.join(taken, ["user_id", "position_date"], "left_anti")
         merge.write_partitions(
             kept.select(*schema.fieldNames()).unionByName(rows), table_path, ["position_date"])
-        _drop_emptied_days(table_path, taken.select("user_id", "position_date").distinct(), schema, rows)
+        filled = files.filter(F.size("positions") > 0).select(F.col("file_date").alias("position_date"))
+        _drop_emptied_days(table_path, taken.select("user_id", "position_date").distinct(), days, schema, filled)
         merge.append(taken, log_path, ("position_date",))
+        discard(spark, path)
 
     return _available(stream.writeStream.foreachBatch(put), checkpoint)
 

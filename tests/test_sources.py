@@ -184,6 +184,23 @@ def test_a_batch_of_position_files_is_parsed_once_and_written_adaptively(spark,
     assert adaptive == "true" and "from_json" not in plan
 
 
+def test_a_batch_names_its_folders_and_leaves_no_parsed_files(spark, monkeypatch):
+    base, plans, dirs = shared_dir(spark, "batch-disk"), [], []
+    write, fresh = st.merge.write_partitions, st.shared_dir
+    monkeypatch.setattr(st.merge, "write_partitions",
+                        lambda df, *args: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, *args)))
+    monkeypatch.setattr(st, "shared_dir", lambda *args: (dirs.append(fresh(*args)), dirs[-1])[1])
+    stream = st.position_file_stream(spark, f"{base}/account/*/account_positions")
+    for n, files in enumerate(([("111", "20240110", 1), ("222", "20240110", 2), ("222", "20240111", 3)], [("111", "20240110", 9)])):
+        for user, day, q in files:
+            put(base, user, "account_positions", f"{day}.json", {"account_info": ACCOUNT, "positions": [holding("A.SH", q, 1.0)]})
+        st.run(st.replace_snapshots(stream, f"{base}/table", f"{base}/checkpoint{n}"))
+    assert rows(spark.read.parquet(f"{base}/table"), "user_id", "position_quantity") == [("111", 9), ("222", 2), ("222", 3)]
+    assert len(dirs) == 2 and not any(names for d in dirs for _, _, names in os.walk(d))
+    # the table's rows meet the batch once, by pair; its folders are not looked for in a join
+    assert plans[1].count("LeftAnti") == 1 and not [x for x in plans[1].split("\n") if "LeftSemi" in x and "position_date" in x], plans[1]
+
+
 def test_position_stream_empty_and_late_files(spark):
     base = shared_dir(spark, "position-late")
     clock = iter(range(1_700_000_000, 1_800_000_000, 1000))
